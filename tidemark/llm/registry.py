@@ -1,10 +1,14 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate
+from . import decontaminate, packing, pii
 
 
 def queries() -> dict:
-    return {"op7_decontaminate": decontaminate.op7}
+    return {
+        "op1_pii_skip_chain": pii.op1,
+        "op3_packing": packing.op3,
+        "op7_decontaminate": decontaminate.op7,
+    }
 
 
 def oracle_sql() -> dict:
