@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import partitions
-from ._text import pack, pack_sorted, unpack, unpack_sorted
+from ._text import pack, unpack
 
 BLOCK_BYTES = 8 << 20
 
@@ -47,6 +47,3 @@ def small(counts: np.ndarray) -> bytes:
 
 def from_small(blob: bytes) -> np.ndarray:
     return unpack(blob, np.uint32).astype(np.int64)
-
-
-__all__ = ["block_count", "by_range", "from_small", "in_blocks", "pack", "pack_sorted", "small", "unpack", "unpack_sorted"]

@@ -1,12 +1,14 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, packing, pii
+from . import decontaminate, lm, packing, pii, substrings
 
 
 def queries() -> dict:
     return {
         "op1_pii_skip_chain": pii.op1,
         "op3_packing": packing.op3,
+        "op9_ppm_score": lm.op9,
+        "op10_substring_dedup": substrings.op10,
         "op7_decontaminate": decontaminate.op7,
     }
 

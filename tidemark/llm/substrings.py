@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
-from ._text import Words, blocks, gram_starts, grams
-from .exchange import block_count, by_range, in_blocks, pack_sorted, unpack_sorted
+from ._text import Words, blocks, gram_starts, grams, pack_sorted, unpack_sorted
+from .exchange import block_count, by_range, in_blocks
 
 WINDOW = 35
 _TOP = np.uint64(0xFFFFFFFFFFFF0000)
