@@ -96,7 +96,12 @@ class Words:
         up, down = powers(_BASE, n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self._total, self._down = total, down[self.start]
+        self.hash = mix((total[self.end] - total[self.start]) * self._down)
+
+    def heads(self, n: int) -> np.ndarray:
+        """The hash of the first n bytes of each word, or of all of a shorter one."""
+        return mix((self._total[np.minimum(self.start + n, self.end)] - self._total[self.start]) * self._down + np.uint64(n))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()

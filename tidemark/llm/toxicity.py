@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier over hashed words is trained with numpy from confirmed toxic documents (positive) and documents taken as they come
+A linear classifier over hashed words and word beginnings is trained with numpy from confirmed toxic documents (positive) and documents taken as they come
 (unlabelled, among which are toxic ones). With the class prior p, the positives' risk and both groups' risk of being
 called negative, the risk is
 
@@ -12,7 +12,7 @@ instead, so the classifier can't gain by fitting single unlabelled documents.
 The classifier is fitted on a bounded sample: the `POSITIVES` confirmed and `UNLABELLED` other documents with the smallest hashes of
 their ids, none of over `SAMPLE_BYTES`. The prior is the share of toxic rows among all labelled ones that may be used.
 A model has 2**`BITS` weights, whatever the corpus, and is sent to all tasks; every whole text is scored by its
-distinct words.
+distinct words and word beginnings.
 
 Defined results: a null or empty text gets the score of no words; repeated rows are each answered; a row without doc_id is held
 out and scored; without usable positives every score is the prior; several labels of a document count as toxic if one does; an empty table
@@ -29,16 +29,19 @@ from ._text import ALNUM, Words, blocks
 
 BITS = 18
 POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 9000, 32_768
-#: A word counts as a feature if so many sampled documents have it.
-LEAST_DOCS = 4
+#: Bytes of the word beginnings that are features.
+HEADS = (4, 5, 6)
+#: A feature counts if so many sampled documents have it, and if its shares in the two groups differ by so many standard errors.
+LEAST_DOCS, TELLING = 4, 4.0
 
 
 def features(column):
-    """The distinct hashed words of each text."""
+    """The distinct hashed words and word beginnings of each text; beginnings are what inflected words share."""
     for _, _, data, offsets in blocks(column):
         w = Words(data, offsets, ALNUM, lower=True)
-        slot = (w.hash >> np.uint64(64 - BITS)).astype(np.int64)
-        pair = np.unique((w.doc.astype(np.int64) << BITS) | slot)
+        doc = w.doc.astype(np.int64) << BITS
+        pair = np.sort(np.concatenate([doc | (h >> np.uint64(64 - BITS)).astype(np.int64) for h in (w.hash, *map(w.heads, HEADS))]))
+        pair = pair[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(pair) else pair
         first = np.searchsorted(pair, np.arange(len(w.count) + 1, dtype=np.int64) << BITS)
         for a, b in zip(first, first[1:], strict=False):
             yield pair[a:b] & ((1 << BITS) - 1)
@@ -65,7 +68,10 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     if not positive or not unlabelled:
         return model
     size = 1 << BITS
-    common = np.bincount(np.concatenate(positive + unlabelled), minlength=size) >= LEAST_DOCS
+    own, other = (np.bincount(np.concatenate(rows), minlength=size) for rows in (positive, unlabelled))
+    share = (own + other) / (len(positive) + len(unlabelled))
+    spread = np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled))) + 1e-12
+    common = (own + other >= LEAST_DOCS) & (np.abs(own / len(positive) - other / len(unlabelled)) >= TELLING * spread)
     groups = [[r[common[r]] for r in rows] for rows in (positive, unlabelled)]
     w, bias = np.zeros(size), model.bias
     m, v = np.zeros(size + 1), np.zeros(size + 1)
