@@ -1,17 +1,20 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import decontaminate, lm, packing, pii, substrings
+from . import chat, decontaminate, lm, packing, pii, quality, substrings, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_pii_skip_chain": pii.op1,
         "op3_packing": packing.op3,
+        "op4_chat_format": chat.op4,
+        "op5_quality_rules": quality.op5,
+        "op7_decontaminate": decontaminate.op7,
+        "op8_toxicity_pu": toxicity.op8,
         "op9_ppm_score": lm.op9,
         "op10_substring_dedup": substrings.op10,
-        "op7_decontaminate": decontaminate.op7,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op4_chat_format": chat.ORACLE}
