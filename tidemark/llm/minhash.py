@@ -4,12 +4,13 @@
 2. Texts with equal sets form one class, and its smallest doc_id stands for it from here on, so a group of copies
    of any size is one row.
 3. Signatures are cut into bands; classes that agree on a band are candidates. A bucket first links its members to
-   one centre only: its size, not its square, is what it emits.
+   one centre, drawn by hash: its size, not its square, is what it emits.
 4. Signatures of a candidate pair are compared batch by batch. With a uniform prior the similarity has a Beta
    posterior after each batch, and the pair goes as soon as P(similarity >= threshold) < `MISS`.
-5. Survivors are verified exactly on their full shingle sets: first the most similar centre of every class, then
-   what still lies in different components, then the rest of the buckets that aren't of one component.
-6. Verified links give connected components.
+5. Survivors are verified exactly on their full shingle sets.
+6. Verified links give connected components. Buckets whose members still lie in several of them are searched exhaustively, by the same two tests:
+   every member outside the bucket's largest component meets all members of other components. No pair is written but for
+   verified links, and a pair is looked at only in the first band that it shares.
 
 A pair at the threshold 0.85 shares none of 20 bands of 5 with probability (1 - 0.85**5)**20 = 8e-6.
 
@@ -31,6 +32,8 @@ from .components import connected_components
 
 HASHES, BANDS, BATCH = 100, 20, 20
 MISS = 1e-8
+#: Rounds of one centre per bucket before the exhaustive one, and the rows of its groups.
+STAR_ROUNDS, STRAYS, MEMBERS = 2, 512, 1024
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -90,106 +93,159 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
-def prune(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """a, b, matches of the pairs that sequential comparison leaves."""
-    least = least_matches(threshold)
+def alive(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
+    """Which rows of two arrays of signatures sequential comparison leaves; a batch is only compared for rows still left."""
+    left, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
+    for i, fewest in enumerate(least):
+        part = slice(i * BATCH, (i + 1) * BATCH)
+        matches[left] += (x[left, part] == y[left, part]).sum(1)
+        left = left[matches[left] >= fewest]
+    return left
+
+
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted distinct arrays."""
+    small, large = (x, y) if len(x) < len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def _signatures(column) -> np.ndarray:
+    return np.array([np.frombuffer(s, np.uint32) for s in column.to_pylist()]).reshape(-1, HASHES)
+
+
+def member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """doc_id, signature and shingles of the classes named, from the row that stands for each. members: doc_id, digest, signature."""
+    kind = pa.schema([("doc_id", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            x, y = (np.array([np.frombuffer(s, np.uint32) for s in batch.column(c).to_pylist()]).reshape(-1, HASHES) for c in (2, 3))
-            alive, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
-            for i, fewest in enumerate(least):
-                part = slice(i * BATCH, (i + 1) * BATCH)
-                matches[alive] += (x[alive, part] == y[alive, part]).sum(1)
-                alive = alive[matches[alive] >= fewest]
-            yield pa.record_batch([batch.column(0).take(pa.array(alive)), batch.column(1).take(pa.array(alive)), pa.array(matches[alive])], names=["a", "b", "matches"])
+            sets = list(shingle_sets(batch.column(1), shingle))
+            same = [_digest(s) == d for s, d in zip(sets, batch.column(2).to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column(0), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind).filter(pa.array(same, pa.bool_()))
 
-    s = signatures.select("doc_id", "signature")
-    both = pairs.select("a", "b").join(s.toDF("b", "sign_b"), "b").join(s.toDF("a", "sign_a"), "a")
-    return both.select("a", "b", "sign_a", "sign_b").mapInArrow(run, "a long, b long, matches long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = rows.join(members.select("doc_id", "digest", "signature"), "doc_id").select("doc_id", "text", "digest", "signature")
+    return found.mapInArrow(run, "doc_id long, signature binary, shingles binary").dropDuplicates(["doc_id"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """a, b of the pairs whose full sets have 100 * intersection >= percent * union."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that pass sequential comparison and then the exact test."""
+    least = least_matches(percent / 100)
 
     def run(batches):
-        held = {}
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                ids = part.column(0).to_pylist()
-                new = list(dict.fromkeys(a for a in ids if a not in held))
-                if new:
-                    held = {a: held[a] for a in set(ids) & set(held)} | dict(zip(new, shingle_sets(part.column(2).take(pa.array([ids.index(a) for a in new])), shingle), strict=True))
-                keep = []
-                for a, y in zip(ids, shingle_sets(part.column(3), shingle), strict=True):
-                    x = held[a]
-                    small, large = (x, y) if len(x) < len(y) else (y, x)
-                    if 100 * len(small) < percent * len(large):
-                        keep.append(False)
-                        continue
-                    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum()) if len(large) else 0
-                    keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-                yield pa.record_batch([part.column(0), part.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.select("a", "b").join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                left = alive(_signatures(part.column(2)), _signatures(part.column(4)), least)
+                x, y = (part.column(c) for c in (3, 5))
+                keep = [k for k in left.tolist() if similar(np.frombuffer(x[k].as_py(), np.uint64), np.frombuffer(y[k].as_py(), np.uint64), percent)]
+                yield pa.record_batch([part.column(0), part.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    both = pairs.select("a", "b").join(sets.toDF("b", "sign_b", "set_b"), "b").join(sets.toDF("a", "sign_a", "set_a"), "a")
+    return both.select("a", "b", "sign_a", "set_a", "sign_b", "set_b").mapInArrow(run, "a long, b long")
 
 
 def _labelled(bands: DataFrame, components: DataFrame) -> DataFrame:
     return bands.join(components.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
 
 
-def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """node, component of the classes (doc_id, n_shingles, signature, digest) that link with another."""
-    rows = HASHES // BANDS
-    keys = F.array(*[F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * rows * i, 4 * rows)) for i in range(BANDS)])
-    banded = classes.select(F.explode(keys).alias("key"), "doc_id", "n_shingles")
-    shared = banded.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    bands = materialise(banded.join(shared, "key").select("key", "doc_id", "n_shingles", "centre"))
-    close = F.lit(100) * F.least("n_a", "n_b") >= F.lit(percent) * F.greatest("n_a", "n_b")
-
-    stars = bands.where("doc_id <> centre").groupBy(F.col("centre").alias("a"), F.col("doc_id").alias("b")).agg(F.count(F.lit(1)).alias("bands"))
-    candidates = materialise(prune(stars, classes, percent / 100))
+def _torn(bands: DataFrame, components: DataFrame) -> DataFrame:
+    """The buckets whose members lie in several components, with the component most members are of, and how many are of it and of others."""
+    inside = _labelled(bands, components)
+    sizes = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    torn = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return inside.join(torn.select("key", F.col("most.component").alias("giant"), F.col("most.n").alias("own"), "size"), "key")
 
-    ids = candidates.select("a").union(candidates.select("b")).distinct().toDF("doc_id")
-    texts = materialise(_texts(docs, bands.select("doc_id").distinct(), classes, shingle))
-    del ids
 
-    best = candidates.groupBy("b").agg(F.max_by("a", "matches").alias("a"))
-    links = materialise(verify(best, texts, shingle, percent))
-    components = connected_components(links)
+def _stars(rows: DataFrame, salt: int) -> DataFrame:
+    """a, b: in each bucket, one member drawn by hash with every other one. Salted minima first, so a hot bucket is no hot task."""
+    drawn = F.struct(F.xxhash64("doc_id", F.lit(salt), "key").alias("h"), F.col("doc_id"))
+    centres = rows.groupBy("key").agg(F.min(drawn).alias("c")).select("key", F.col("c.doc_id").alias("centre"))
+    pairs = rows.join(centres, "key").where("doc_id <> centre")
+    return pairs.groupBy(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
 
-    for a_side, b_side in (("a", "b"),):
-        rest = candidates.join(best, ["a", "b"], "left_anti").join(components.toDF("a", "ca"), "a", "left").join(components.toDF("b", "cb"), "b", "left")
-        rest = rest.where(F.coalesce("ca", a_side) != F.coalesce("cb", b_side))
-        more = materialise(verify(rest, texts, shingle, percent))
-    links = links.union(more)
-    components = connected_components(links)
 
-    inside = _labelled(bands, components)
-    torn = inside.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-    inside = inside.join(torn, "key").where("doc_id <> centre")
-    x = inside.select("key", F.col("doc_id").alias("a"), F.col("n_shingles").alias("n_a"), F.col("component").alias("ca"))
-    y = inside.select("key", F.col("doc_id").alias("b"), F.col("n_shingles").alias("n_b"), F.col("component").alias("cb"))
-    pairs = x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & close).select("a", "b").distinct()
-    left = materialise(prune(pairs, classes, percent / 100))
-    last = materialise(verify(left, texts, shingle, percent))
-    return connected_components(links.union(last))
+def _across(percent: int):
+    """Of part of a torn bucket: links between strays and members of other components, one per pair of components."""
+    least = least_matches(percent / 100)
+    rows = HASHES // BANDS
 
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        band = table.column("band")[0].as_py()
+        side = np.array(table.column("stray").to_pylist(), bool)
+        ids, component = (np.array(table.column(c).to_pylist(), np.int64) for c in ("doc_id", "component"))
+        signs = _signatures(table.column("signature"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(s) for s in sets])
+        strays, others = np.flatnonzero(side), np.flatnonzero(~side)
+        join = {c: c for c in component.tolist()}
+
+        def root(c):
+            while join[c] != c:
+                join[c] = join[join[c]]
+                c = join[c]
+            return c
+
+        links = []
+        for i in strays.tolist():
+            near = others[(component[others] != component[i]) & (100 * np.minimum(size[others], size[i]) >= percent * np.maximum(size[others], size[i]))]
+            if not len(near):
+                continue
+            near = near[alive(np.broadcast_to(signs[i], (len(near), HASHES)), signs[near], least)]
+            # each pair is looked at in the first of the bands that it shares
+            shared = (signs[near] == signs[i]).reshape(-1, BANDS, rows).all(2)
+            near = near[~shared[:, :band].any(1)]
+            for j in near.tolist():
+                a, b = root(int(component[i])), root(int(component[j]))
+                if a != b and similar(sets[i], sets[j], percent):
+                    join[max(a, b)] = min(a, b)
+                    links.append((int(ids[i]), int(ids[j])))
+        a, b = zip(*links, strict=True) if links else ((), ())
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def across(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b: exact links between the components of torn buckets.
+
+    Strays, which are outside a bucket's largest component, meet all its members, in groups of at most about STRAYS and MEMBERS
+    rows: what a member of the largest component is copied for grows with the strays only.
+    """
+    stray = F.col("component") != F.col("giant")
+    n_strays, n_members = (F.greatest(F.lit(1), F.ceil(x)).cast("int") for x in ((F.col("size") - F.col("own")) / STRAYS, F.col("size") / MEMBERS))
+    rows = torn.withColumn("n_strays", n_strays).withColumn("n_members", n_members)
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id", F.lit("s")), "n_strays").cast("int")).withColumn("m", F.pmod(F.xxhash64("doc_id", F.lit("m")), "n_members").cast("int"))
+    to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    as_member = rows.select("key", "band", "doc_id", "component", to("n_strays").alias("s"), "m", F.lit(False).alias("stray"))
+    as_stray = rows.where(stray).select("key", "band", "doc_id", "component", "s", to("n_members").alias("m"), F.lit(True).alias("stray"))
+    return as_member.unionByName(as_stray).join(sets, "doc_id").groupBy("key", "s", "m").applyInArrow(_across(percent), "a long, b long")
 
-def _texts(docs, ids, classes, shingle):
-    """The texts of the classes named, each of the row that stands for its class."""
-    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 
-    def run(batches):
-        for batch in batches:
-            same = [_digest(s) == d for s, d in zip(shingle_sets(batch.column(1), shingle), batch.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(1)], schema=kind).filter(pa.array(same, pa.bool_()))
+def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """node, component of the classes (doc_id, n_shingles, signature, digest) that link with another."""
+    rows = HASHES // BANDS
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * rows * i, 4 * rows)).alias("key")) for i in range(BANDS)])
+    banded = classes.select(F.explode(keys).alias("k"), "doc_id").select("k.key", "k.band", "doc_id")
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    bands = materialise(banded.join(shared, "key"))
+    sets = materialise(member_sets(docs, classes.join(bands.select("doc_id").distinct(), "doc_id", "left_semi"), shingle))
 
-    wanted = classes.select("doc_id", "digest").join(ids, "doc_id", "left_semi")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.join(wanted, "doc_id").select("doc_id", "text", "digest").mapInArrow(run, "doc_id long, text string").dropDuplicates(["doc_id"])
+    links = materialise(verified(_stars(bands, 0), sets, percent))
+    components = connected_components(links)
+    for salt in range(1, STAR_ROUNDS):
+        torn = _torn(bands, components).select("key", "doc_id", "component")
+        more = _stars(torn, salt)
+        other = lambda c: components.toDF(c, f"c{c}")
+        apart = more.join(other("a"), "a", "left").join(other("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+        links = links.unionByName(materialise(verified(apart, sets, percent)))
+        components = connected_components(links)
+    links = links.unionByName(materialise(across(_torn(bands, components), sets, percent)))
+    return connected_components(links)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:

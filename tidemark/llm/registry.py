@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import chat, decontaminate, lm, packing, pii, quality, substrings, toxicity
+from . import chat, decontaminate, lm, minhash, packing, pii, quality, substrings, toxicity
 
 
 def queries() -> dict:
@@ -9,6 +9,7 @@ def queries() -> dict:
         "op3_packing": packing.op3,
         "op4_chat_format": chat.op4,
         "op5_quality_rules": quality.op5,
+        "op6_minhash": minhash.op6,
         "op7_decontaminate": decontaminate.op7,
         "op8_toxicity_pu": toxicity.op8,
         "op9_ppm_score": lm.op9,
