@@ -1,0 +1,71 @@
+"""The training-data pipeline: five operators over the documents, each over all that the one before kept.
+
+toxicity -> MinHash near-dedup -> benchmark decontamination -> PII -> packing. The first four return the columns of documents.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import decontaminate, minhash, packing, pii, toxicity
+from tidemark.llm._shared import materialise, table
+
+#: SQL can express neither a trained classifier nor a trained field; tests hold run() against the stages' brute-force versions.
+ORACLE_SQL = None
+SHINGLE, PERCENT = 3, 85
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier takes for toxic go. Every label but those of the held-out fold teaches it."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), lambda i: toxicity.fold(i) != 0)
+    return toxicity.score(docs, model, row=True).where("score < 0.5").select("row.*")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, that with the smallest id; rows without an id stay."""
+    found = minhash.near_duplicates(docs, SHINGLE, PERCENT)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which the benchmark covers a twentieth or more go."""
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), row=True)
+    return found.where(~F.col("contaminated")).select("row.*")
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document stays; personal data in its text becomes its kind in angle brackets, and n_chars follows."""
+    found = pii.find(docs, row=True)
+    changed = F.size("spans") > 0
+    row = F.col("row").withField("text", F.when(changed, pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row.text")))
+    if "n_chars" in docs.columns:
+        size = F.char_length(row["text"]).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(changed, size).otherwise(F.col("row.n_chars")))
+    return found.select(row.alias("row")).select("row.*")
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of 4,096 tokens, with their ids."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("pii", redact_personal_data),
+    ("packing", pack_sequences),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir))
+    return docs
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """run() with a digest for each piece's ids."""
+    return run(spark, sf_dir).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -3,6 +3,8 @@
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DEFAULT_CHECKPOINTS = "/tmp/checkpoints"
 
@@ -25,5 +27,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def named_rows(docs: DataFrame, *columns, row: bool = False) -> DataFrame:
+    """The given columns and, if row, a struct `row` of all columns of docs, whatever their names."""
+    return docs.select(*columns, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []))
+
+
+def with_row(schema: str, docs: DataFrame, row: bool) -> T.StructType:
+    """schema and, if row, the struct that named_rows() adds."""
+    found = T._parse_datatype_string(schema)
+    return found.add("row", docs.schema) if row else found
+
+
+def carried(batch, row: bool) -> dict:
+    """The batch's struct of all columns, if there is one."""
+    return {"row": batch.column("row")} if row else {}
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -16,31 +16,20 @@ or one without words matches nothing; items of equal text all count; an empty be
 besides doc_id and text are not read.
 """
 
-import hashlib
 import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._shared import table
+from ._shared import carried, named_rows, table, with_row
 from ._text import ALNUM, Words, blocks, gram_starts, grams
 
 WINDOW = 13
 BLOCK_BYTES = 8 << 20
 
-SCHEMA = T.StructType(
-    [
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("text", T.StringType()),
-        T.StructField("n_words", T.LongType()),
-        T.StructField("longest_match", T.LongType()),
-        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-        T.StructField("items", T.ArrayType(T.StringType())),
-    ]
-)
+SCHEMA = "doc_id long, text string, n_words long, longest_match long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
 class SuffixAutomaton:
@@ -182,9 +171,9 @@ def _spans(hit: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(int(a) + first, int(b) + first) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _pass(matcher):
+def _pass(matcher, row: bool):
     """One pass of the rows through one block's automaton; spans are of words, ends exclusive."""
-    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_words", pa.int64()), ("longest_match", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("items", pa.list_(pa.string()))])
+    span, names = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
     def run(batches):
         m = matcher.value
@@ -209,22 +198,23 @@ def _pass(matcher):
                 items = [sorted({*(a or []), *b}) for a, b in zip(batch.column("items").to_pylist(), items, strict=True)]
                 longest = [max(a or 0, b) for a, b in zip(batch.column("longest_match").to_pylist(), longest, strict=True)]
             counts = np.concatenate([*n_words, np.zeros(0, np.int64)]).astype(np.int64)
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(counts), pa.array(longest, pa.int64()), pa.array(spans, kind.field("spans").type), pa.array(items, kind.field("items").type)], schema=kind)
+            out = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": pa.array(counts), "longest_match": pa.array(longest, pa.int64())}
+            yield pa.RecordBatch.from_pydict(out | {"spans": pa.array(spans, span), "items": pa.array(items, names)} | carried(batch, row))
 
     return run
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """doc_id, text, n_words, longest_match, spans of hit words and the items that hit, for every row of docs."""
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, row: bool = False) -> DataFrame:
+    """doc_id, text, n_words, longest_match, spans of hit words and the items that hit, for every row of docs; if row, also a struct of all its columns."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = named_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row=row)
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
         matcher = Matcher([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()], window)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(matcher)), SCHEMA)
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(matcher), row), with_row(SCHEMA, docs, row))
     return out
 
 
@@ -239,9 +229,9 @@ def merge_spans(spans):
     return step["n"]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_percent: int = 5) -> DataFrame:
-    """Per document: n_words, n_hit, n_items, items (sorted ids) and contaminated, true when hits cover max_percent of the words or more."""
-    found = find_overlaps(docs, benchmark, window)
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_percent: int = 5, row: bool = False) -> DataFrame:
+    """Per document: text, n_words, n_hit, n_items, items (sorted ids) and contaminated, true when hits cover max_percent of the words or more."""
+    found = find_overlaps(docs, benchmark, window, row=row)
     n_hit = merge_spans(F.col("spans"))
     return (
         found.withColumn("n_hit", n_hit)
@@ -250,10 +240,28 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
 
 
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def without_spans(text, spans, longest: int = WINDOW):
+    """Column: the text without the words under spans of at least `longest` words; what stood between the words left is kept before each."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    gaps = F.split(lower, _WORD, -1)
+    sizes = F.transform(F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)), lambda w: F.char_length(w))
+    long = F.filter(spans, lambda s: s["end"] - s["start"] >= longest)
+    zero = F.lit(0)
+
+    def step(a, size, i):
+        gap = F.char_length(F.element_at(gaps, i + 1))
+        gone = F.exists(long, lambda s: (s["start"] <= i) & (i < s["end"]))
+        put = F.when(gone, F.lit("")).otherwise(F.substr(text, a["at"] + 1, gap + size))
+        return F.struct((a["at"] + gap + size).alias("at"), F.concat(a["out"], put).alias("out"))
+
+    numbered = F.transform(sizes, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
+    kept = F.aggregate(numbered, F.struct(zero.alias("at"), F.lit("").alias("out")), lambda a, x: step(a, x["n"], x["i"]), lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    return F.when(F.size(long) == 0, text).otherwise(kept)
+
+
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "longest_match")
-
-
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import carried, named_rows, table, with_row
 from ._text import buffers
 
 KINDS = ("email", "ip", "card", "phone")
@@ -271,12 +271,11 @@ def train(docs: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -
     return SkipChain().fit(g)
 
 
-def find(docs: DataFrame, model: SkipChain | None = None) -> DataFrame:
-    """doc_id, text, base and spans (arrays of kind, start and end) of every row."""
+def find(docs: DataFrame, model: SkipChain | None = None, row: bool = False) -> DataFrame:
+    """doc_id, text, base and spans (arrays of kind, start and end) of every row; if row, also a struct of all its columns."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or train(docs))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("base", span), ("spans", span)])
     named = lambda s: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s]
 
     def run(batches):
@@ -296,11 +295,12 @@ def find(docs: DataFrame, model: SkipChain | None = None) -> DataFrame:
                     more.setdefault(doc, []).append((label, a, b))
             rows = [named(base.get(k, ())) for k in range(batch.num_rows)]
             every = [named(sorted(base[k] + more[k])) if k in more else rows[k] for k in range(batch.num_rows)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(rows, span), pa.array(every, span)], schema=kind)
+            found = {"doc_id": batch.column(0), "text": batch.column(1), "base": pa.array(rows, span), "spans": pa.array(every, span)}
+            yield pa.RecordBatch.from_pydict(found | carried(batch, row))
 
     kinds = "array<struct<kind: string, start: long, end: long>>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, f"doc_id long, text string, base {kinds}, spans {kinds}")
+    rows = named_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row=row)
+    return rows.mapInArrow(run, with_row(f"doc_id long, text string, base {kinds}, spans {kinds}", docs, row))
 
 
 def redacted(text, spans):

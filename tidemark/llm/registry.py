@@ -1,11 +1,12 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import chat, decontaminate, lm, minhash, packing, pii, quality, substrings, toxicity
+from . import chat, decontaminate, lm, minhash, packing, pii, quality, substrings, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_pii_skip_chain": pii.op1,
+        "op2_warc_derivatives": warc.op2,
         "op3_packing": packing.op3,
         "op4_chat_format": chat.op4,
         "op5_quality_rules": quality.op5,

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import carried, named_rows, table, with_row
 from ._text import ALNUM, Words, blocks
 
 BITS = 18
@@ -143,17 +143,17 @@ def train(docs: DataFrame, labels: DataFrame, usable, positives: int = POSITIVES
     return fit(toxic, _sampled(rows, first(rows.select("doc_id").distinct(), unlabelled))[: 2 * unlabelled], prior) if toxic else Linear(prior)
 
 
-def score(docs: DataFrame, model: Linear) -> DataFrame:
-    """doc_id, text and score of every row."""
+def score(docs: DataFrame, model: Linear, row: bool = False) -> DataFrame:
+    """doc_id, text and score of every row; if row, also a struct of all its columns."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("score", pa.float64())])
 
     def run(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(shared.value.score(batch.column(1)))], schema=kind)
+            found = {"doc_id": batch.column(0), "text": batch.column(1), "score": pa.array(shared.value.score(batch.column(1)))}
+            yield pa.RecordBatch.from_pydict(found | carried(batch, row))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string, score double")
+    rows = named_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row=row)
+    return rows.mapInArrow(run, with_row("doc_id long, text string, score double", docs, row))
 
 
 def fold(doc_id, folds: int = 5):
