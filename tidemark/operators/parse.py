@@ -148,26 +148,34 @@ def mark_inherited(rows: DataFrame, known: DataFrame, meta_segment: tuple[str, .
     return found.drop("_thread", "_signature", "_since", "_id", "_miss")
 
 
-def legacy_events(read: DataFrame, known: DataFrame) -> DataFrame:
-    """Events from snapshots of running totals."""
+def legacy_events(read: DataFrame) -> DataFrame:
+    """Events from snapshots of running totals, not yet judged for inheritance."""
     usage = lambda name: F.when(_is_object(F.col(f"p.info.{name}")), tokens(F.col(f"p.info.{name}")))
     rows = read.where((F.col("type") == "event_msg") & F.col("at").isNotNull()).withColumns({"total": usage("total_token_usage"), "last": usage("last_token_usage"), "limit": F.coalesce("p.rate_limits.limit_id", F.lit("default"))})
     rows = snapshot_deltas(rows.where("total is not null or last is not null"), ("file", "life"), "line_no")
     rows = rows.where(~F.col("repeated") & (F.col("t.total_tokens").isNull() | (F.col("t.total_tokens") != 0)))
-    rows = rows.withColumns({"thread_id": F.col("thread"), "event_at": F.col("at"), "cutoff": F.col("edges.cutoff")})
-    rows = mark_inherited(rows, known, ("file", "segment"), "line_no").where("t.total_tokens is not null")
     content = F.to_json(F.struct("thread", "turn", "at", "signature"), {"ignoreNullFields": "false"})
     return rows.select(
-        "file", "line_no", F.concat(F.lit("legacy:"), F.sha2(content, 256)).alias("event_key"), "thread_id", F.col("turn").alias("turn_id"), F.lit(None).cast("string").alias("response_id"), "event_at", "project", "model", "effort",
-        F.lit("legacy").alias("kind"), "signature", "t.*", "incomplete", "excluded",
+        "file", "line_no", F.concat(F.lit("legacy:"), F.sha2(content, 256)).alias("event_key"), F.col("thread").alias("thread_id"), F.col("turn").alias("turn_id"), F.lit(None).cast("string").alias("response_id"), F.col("at").alias("event_at"), "project", "model", "effort",
+        F.lit("legacy").alias("kind"), "signature", "t.*", "incomplete", F.lit(0).alias("excluded"), "segment", "parent", F.col("edges.cutoff").alias("cutoff"),
     )
 
 
+def read_events(read: DataFrame) -> DataFrame:
+    """All events with what judging them needs: line_no, segment, parent and cutoff."""
+    return explicit_events(read).unionByName(legacy_events(read), allowMissingColumns=True)
+
+
+def judged(rows: DataFrame, threads: DataFrame) -> DataFrame:
+    """USAGE_EVENTS of read_events(): inherited rows excluded, and of a file's lines of one key the last."""
+    legacy = mark_inherited(rows.where("kind = 'legacy'"), threads, ("file", "segment"), "line_no")
+    rows = rows.where("kind <> 'legacy'").unionByName(legacy.where("total_tokens is not null").select(*rows.columns))
+    last = Window.partitionBy("file", "event_key").orderBy(F.desc("line_no"))
+    return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(*USAGE_EVENTS.fieldNames())
+
+
 def parse(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """USAGE_EVENTS, of which a file's later line of a key wins, and threads."""
+    """USAGE_EVENTS and threads."""
     read = read_lines(lines)
     threads = threads_of(read)
-    rows = explicit_events(read).unionByName(legacy_events(read, threads))
-    last = Window.partitionBy("file", "event_key").orderBy(F.desc("line_no"))
-    events = rows.withColumn("_n", F.row_number().over(last)).where("_n = 1")
-    return events.select(*USAGE_EVENTS.fieldNames()), threads
+    return judged(read_events(read), threads), threads
