@@ -59,7 +59,7 @@ def from_millis(ms: Column) -> Column:
 def project_path(path: Column) -> Column:
     """A normal form: dots folded; Windows paths in lower case with backslashes; no separator at the end but for a root."""
     windows = path.rlike(r"(?i)^[a-z]:") | F.startswith(path, F.lit("\\\\")) | path.rlike(r"^//[^/]+/[^/]+(/|$)")
-    bare = F.regexp_replace(F.regexp_replace(path, r"(?i)^\\\\\?\\UNC\\", r"\\\\\\\\"), r"^\\\\\?\\", "")
+    bare = F.regexp_replace(F.regexp_replace(path, r"(?i)^\\\\\?\\UNC\\", "//"), r"^\\\\\?\\", "")
     slashed = F.when(windows, F.lower(F.translate(bare, "\\", "/"))).otherwise(path)
     root = F.when(windows, F.regexp_extract(slashed, r"^(//[^/]+/[^/]+/?|[a-z]:/?)", 1)).otherwise(F.regexp_extract(slashed, r"^(/?)", 1))
 
