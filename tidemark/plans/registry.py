@@ -2,15 +2,17 @@
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.timebuckets import bucket
 from ..operators.cost import price_table
 from ..operators.filters import Filter
 from ..operators.metrics import METRICS, combined, finished
+from ..operators.parse import mark_inherited, snapshot_deltas
 from ..operators.reconcile import effective, without_mirrors
 from ..schema import TOKENS
+from ..sources import account
 from ..sources.adapters import EVENT_COLUMNS, events_from_chats, events_from_lines, events_from_stream, threads_from_stream
 from .queries import Usage
 
@@ -113,6 +115,54 @@ def _composed(turns: DataFrame) -> DataFrame:
     return turns.select("thread_id", "turn_id", "total_tokens", "event_count", F.array_join(F.transform("composition", one), ",").alias("parts"))
 
 
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """The stream as snapshots of running totals per user: every seventh falls, and own counts are missing in every third."""
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", "ts", F.round(F.col("value") * 100).cast("bigint").alias("v"))
+    order = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    n = F.row_number().over(order)
+    run = F.sum("v").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    total = F.when(n % 7 == 0, F.floor(run / 2)).otherwise(run).cast("bigint")
+    counts = lambda c: F.struct(*[(c if t in ("input_tokens", "total_tokens") else F.lit(None).cast("bigint")).alias(t) for t in TOKENS])
+    return rows.select("event_id", "user_id", "ts", n.alias("n"), counts(total).alias("total"), F.when(n % 3 != 0, counts(F.col("v"))).alias("last"), F.lit("default").alias("limit"), F.lit(None).cast("string").alias("parent"))
+
+
+def legacy_high_water(spark: SparkSession, d: str) -> DataFrame:
+    rows = snapshot_deltas(_snapshots(spark, d), ("user_id",), "n")
+    return rows.select("event_id", "user_id", "n", "repeated", "incomplete", F.col("t.input_tokens").alias("input_tokens"), F.col("t.total_tokens").alias("total_tokens"))
+
+
+def inherited_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """Each user u > 0 as a child of user (u - 1) / 2, with the event's type and k as its signature; known are users under 100."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    u = F.col("user_id")
+    rows = e.select(
+        "event_id", F.col("user_id").alias("file"), F.concat(F.lit("t"), u.cast("string")).alias("thread_id"), F.concat_ws(":", "event_type", F.get_json_object("props", "$.k")).alias("signature"), F.col("ts").cast("timestamp_ntz").alias("event_at"),
+        F.when(u > 0, F.concat(F.lit("t"), F.floor((u - 1) / 2).cast("string"))).alias("parent"), F.lit(dt.datetime(2024, 1, 20)).cast("timestamp_ntz").alias("cutoff"), F.lit(0).alias("incomplete"), F.struct("ts", "event_id").alias("at"),
+    )
+    known = e.where("user_id < 100").select(F.concat(F.lit("t"), u.cast("string")).alias("id"))
+    return mark_inherited(rows, known, ("file",), "at").select("event_id", "thread_id", "excluded", "incomplete")
+
+
+def _payloads(spark: SparkSession, d: str) -> DataFrame:
+    """A quota payload per customer, with missing and excessive numbers."""
+    c, k = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey")
+    used = F.when(k % 5 != 0, (k * 7) % 130)
+    one = lambda n: F.to_json(F.struct(F.struct(n.alias("used_percent"), ((k % 9) * 3600).alias("limit_window_seconds"), (k * 1000).alias("reset_at")).alias("primary_window")))
+    more = F.when(k % 3 == 0, F.concat(F.lit(', "additional_rate_limits": [{"limit_name": "extra", "metered_feature": "f", "rate_limit": '), one(used / 2), F.lit("}]"))).otherwise("")
+    return c.select(k.cast("string").alias("account_id"), F.concat(F.lit('{"rate_limit": '), one(used), more, F.lit("}")).alias("data"))
+
+
+def quota_windows(spark: SparkSession, d: str) -> DataFrame:
+    found = account.limits(_payloads(spark, d), "http")
+    return found.select("account_id", "id", "name", *(F.col(f"primary.{c}").alias(c) for c in ("used_percent", "remaining_percent", "window_minutes", "resets_at")), F.col("secondary").isNull().alias("no_secondary"))
+
+
+def latest_snapshot(spark: SparkSession, d: str) -> DataFrame:
+    e = spark.read.parquet(f"{d}/events.parquet")
+    rows = e.select(F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("identity_key"), F.col("event_type").alias("kind"), F.col("ts").cast("timestamp_ntz").alias("at"), F.col("props").alias("data"))
+    return account.latest_snapshots(rows)
+
+
 def daily_trend_by_model(spark: SparkSession, d: str) -> DataFrame:
     rows = effective(events_from_stream(spark, d))
     return combined(rows, {"time": bucket(F.col("event_at"), NEW_YORK, "day"), "model": F.col("model")}).select("time", "model", *finished())
@@ -245,6 +295,10 @@ def queries() -> dict:
         "cost_summary": lambda s, d: _costs_only(u(s, d, priced=True).summary()),
         "cost_by_model": lambda s, d: _costs_only(u(s, d, priced=True).groups(Filter(), "model"), "key"),
         "cost_trend": lambda s, d: _costs_only(u(s, d, NEW_YORK, priced=True).trend(), "time"),
+        "legacy_high_water": legacy_high_water,
+        "inherited_prefix": inherited_prefix,
+        "quota_windows": quota_windows,
+        "latest_snapshot": latest_snapshot,
         "cost_by_thread": lambda s, d: _costs_only(u(s, d, priced=True).groups(Filter(), "thread"), "key"),
     }
 
@@ -304,7 +358,24 @@ def oracle_sql() -> dict[str, str]:
           SELECT t.id, t.title, 'subagent' AS relation FROM threads t, me WHERE t.subagent_parent_id = me.id UNION ALL SELECT t.id, t.title, 'fork' FROM threads t, me WHERE t.forked_from_id = me.id
           UNION ALL SELECT t.id, t.title, 'subagent_parent' FROM threads t, me WHERE t.id = me.subagent_parent_id UNION ALL SELECT t.id, t.title, 'fork_parent' FROM threads t, me WHERE t.id = me.forked_from_id) SELECT * FROM pairs""",
         "cost_summary": _cost_sql(None, ""),
-        "cost_by_model": _cost_sql("model", "k AS key,").replace("SELECT model AS k, model, long", "SELECT model AS k, model, long"),
+        "cost_by_model": _cost_sql("model", "k AS key,"),
         "cost_trend": _cost_sql(_day(NEW_YORK), "k AS time,"),
+        "legacy_high_water": """WITH v AS (SELECT *, cast(round(value * 100) AS bigint) AS v FROM events),
+            r AS (SELECT *, row_number() OVER w AS n, sum(v) OVER w AS run FROM v WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+            s AS (SELECT *, cast(CASE WHEN n % 7 = 0 THEN run // 2 ELSE run END AS bigint) AS total, CASE WHEN n % 3 <> 0 THEN v END AS own FROM r),
+            h AS (SELECT *, coalesce(max(total) OVER (PARTITION BY user_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS high,
+              lag(total) OVER x AS pt, lag(own) OVER x AS po FROM s WINDOW x AS (PARTITION BY user_id ORDER BY n))
+            SELECT event_id, user_id, cast(n AS int) AS n, n > 1 AND pt = total AND po IS NOT DISTINCT FROM own AS repeated, cast(CASE WHEN own IS NULL AND total < high THEN 1 ELSE 0 END AS int) AS incomplete,
+              coalesce(own, greatest(total - high, 0)) AS input_tokens, coalesce(own, greatest(total - high, 0)) AS total_tokens FROM h""",
+        "inherited_prefix": """WITH e AS (SELECT *, event_type || ':' || json_extract_string(props, '$.k') AS sig FROM events),
+            m AS (SELECT *, EXISTS (SELECT 1 FROM e p WHERE c.user_id > 0 AND p.user_id = (c.user_id - 1) // 2 AND p.sig = c.sig AND p.ts <= timestamp '2024-01-20') AS hit FROM e c),
+            k AS (SELECT m.*, user_id > 0 AND (user_id - 1) // 2 < 100 AND EXISTS (SELECT 1 FROM events x WHERE x.user_id = (m.user_id - 1) // 2) AS parent_known FROM m),
+            w AS (SELECT *, user_id > 0 AND NOT bool_or(parent_known AND NOT hit) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS inherited FROM k)
+            SELECT event_id, 't' || user_id AS thread_id, cast(inherited AS int) AS excluded, cast(inherited AND NOT parent_known AND NOT hit AS int) AS incomplete FROM w""",
+        "quota_windows": """WITH c AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 <> 0 THEN (c_custkey * 7) % 130 END AS used FROM customer),
+            b AS (SELECT k, 'main' AS id, 'main' AS name, cast(used AS double) AS used FROM c UNION ALL SELECT k, 'additional:f:0', 'extra', used / 2 FROM c WHERE k % 3 = 0)
+            SELECT cast(k AS varchar) AS account_id, id, name, used AS used_percent, CASE WHEN used IS NOT NULL THEN greatest(0.0, least(100.0, 100.0 - used)) END AS remaining_percent,
+              CASE WHEN k % 9 > 0 THEN (k % 9) * 60.0 END AS window_minutes, make_timestamp(k * 1000 * 1000000) AS resets_at, true AS no_secondary FROM b""",
+        "latest_snapshot": "SELECT event_id AS id, cast(user_id AS varchar) AS identity_key, event_type AS kind, ts AS at, props AS data FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
         "cost_by_thread": _cost_sql("thread_id", "k AS key,"),
     }
