@@ -46,4 +46,4 @@ def test_stages_keep_the_columns(spark, sf_dir):
 
 def test_parameters():
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "pii", "packing"]
-    assert minhash.HASHES % minhash.BANDS == 0 and len(pii.KINDS) == 4
+    assert minhash.banding(0.85) == (20, 5) and minhash.banding(0.8) == (25, 4) and len(pii.KINDS) == 4

@@ -2,7 +2,7 @@
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,5 +43,15 @@ def carried(batch, row: bool) -> dict:
     return {"row": batch.column("row")} if row else {}
 
 
+def let(value: Column, body) -> Column:
+    """body of the value, which is computed once and not wherever body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def fold(doc_id: Column, folds: int = 5) -> Column:
+    """crc32 of the id as text modulo folds; null for a null id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

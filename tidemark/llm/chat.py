@@ -18,7 +18,7 @@ conv_id are one conversation; an empty table gives no rows; columns besides conv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import let, table
 
 HEAD, END = "### ", "</turn>"
 LEARNED = "assistant"
@@ -26,11 +26,6 @@ _TEXT = ((HEAD, "\\h"), (END, "\\e"))
 _ROLE = (*_TEXT, (":", "\\c"), ("*", "\\s"))
 
 
-def let(value: Column, body) -> Column:
-    """body of the value, which is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def escape(text: Column, pairs) -> Column:
     out = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     for plain, code in pairs:

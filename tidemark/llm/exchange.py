@@ -1,7 +1,7 @@
 """Blocks of documents and packed messages between them and the owners of hash ranges.
 
 Counting or matching something that occurs many times in every document (words, byte contexts, windows) as a row each
-would shuffle far more than the text. Here documents are dealt by doc_id into blocks of a few megabytes; a
+would shuffle far more than the text. Here documents are dealt by a hash into blocks of a few megabytes; a
 block sends each owner its sorted distinct 64-bit values in one packed message, the owner merges the messages of all blocks,
 and answers each block in the order of the values it sent. A block's messages follow from its rows alone,
 so both ends agree after any number of lost and repeated tasks. Owners hold a share of a value range, so a value that is
@@ -29,7 +29,8 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 def in_blocks(docs: DataFrame, n: int, *columns) -> DataFrame:
     """block, doc_id, text and the given columns, dealt by block. A null text is empty."""
     doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    block = F.pmod(F.xxhash64(doc_id), F.lit(n)).cast("int")
+    # with the text, so that rows without an id, or with one id, are dealt out too
+    block = F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("int")
     return docs.select(block.alias("block"), doc_id.alias("doc_id"), text.alias("text"), *columns).repartition(n, "block")
 
 

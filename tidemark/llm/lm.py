@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialise, table
+from ._shared import fold, materialise, table
 from ._text import LOWER, Words, blocks, mix, pack, pack_sorted, unpack, unpack_sorted
 from .exchange import block_count, by_range, from_small, in_blocks, small
 
@@ -341,10 +341,5 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 
 
-def fold(doc_id, folds: int = 5):
-    """Column: crc32 of the id as text modulo folds."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
-
-
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), fold(F.col("doc_id")) == 1)

@@ -12,7 +12,7 @@
    every member outside the bucket's largest component meets all members of other components. No pair is written but for
    verified links, and a pair is looked at only in the first band that it shares.
 
-A pair at the threshold 0.85 shares none of 20 bands of 5 with probability (1 - 0.85**5)**20 = 8e-6.
+Bands are as many rows wide as a miss of `UNSEEN` at the threshold allows: at 0.85, a pair shares none of 20 bands of 5 with probability (1 - 0.85**5)**20 = 8e-6.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing and is kept; a text
 of fewer words than a shingle is one shingle; repeated rows are each answered; a row without doc_id has no links, a null
@@ -30,8 +30,10 @@ from ._shared import materialise, table
 from ._text import Words, blocks, gram_starts, grams
 from .components import connected_components
 
-HASHES, BANDS, BATCH = 100, 20, 20
+HASHES, BATCH = 100, 20
 MISS = 1e-8
+#: A pair at the threshold shares no band with this probability at most.
+UNSEEN = 1e-5
 #: Rounds of one centre per bucket before the exhaustive one, and the rows of its groups.
 STAR_ROUNDS, STRAYS, MEMBERS = 2, 512, 1024
 
@@ -93,6 +95,15 @@ def least_matches(threshold: float, miss: float = MISS) -> list[int]:
     return out
 
 
+def banding(threshold: float) -> tuple[int, int]:
+    """Bands and rows of a band, as selective as UNSEEN allows."""
+    for rows in range(10, 0, -1):
+        bands = HASHES // rows
+        if (1 - threshold**rows) ** bands <= UNSEEN:
+            return bands, rows
+    return HASHES, 1
+
+
 def alive(x: np.ndarray, y: np.ndarray, least: list[int]) -> np.ndarray:
     """Which rows of two arrays of signatures sequential comparison leaves; a batch is only compared for rows still left."""
     left, matches = np.arange(len(x)), np.zeros(len(x), np.int64)
@@ -171,7 +182,7 @@ def _stars(rows: DataFrame, salt: int) -> DataFrame:
 def _across(percent: int):
     """Of part of a torn bucket: links between strays and members of other components, one per pair of components."""
     least = least_matches(percent / 100)
-    rows = HASHES // BANDS
+    bands, rows = banding(percent / 100)
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -197,7 +208,7 @@ def _across(percent: int):
                 continue
             near = near[alive(np.broadcast_to(signs[i], (len(near), HASHES)), signs[near], least)]
             # each pair is looked at in the first of the bands that it shares
-            shared = (signs[near] == signs[i]).reshape(-1, BANDS, rows).all(2)
+            shared = (signs[near] == signs[i])[:, : bands * rows].reshape(-1, bands, rows).all(2)
             near = near[~shared[:, :band].any(1)]
             for j in near.tolist():
                 a, b = root(int(component[i])), root(int(component[j]))
@@ -228,8 +239,8 @@ def across(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
     """node, component of the classes (doc_id, n_shingles, signature, digest) that link with another."""
-    rows = HASHES // BANDS
-    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * rows * i, 4 * rows)).alias("key")) for i in range(BANDS)])
+    n_bands, rows = banding(percent / 100)
+    keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * rows * i, 4 * rows)).alias("key")) for i in range(n_bands)])
     banded = classes.select(F.explode(keys).alias("k"), "doc_id").select("k.key", "k.band", "doc_id")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     bands = materialise(banded.join(shared, "key"))

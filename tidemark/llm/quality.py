@@ -24,7 +24,7 @@ import functools
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._shared import materialise, table
+from ._shared import let, materialise, table
 
 WINDOW = 8
 FALSE_REJECTIONS, ERROR, STRATA = 0.05, 0.05, 64
@@ -39,11 +39,6 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
 _OTHER = "\x00other"
 
 
-def let(value: Column, body) -> Column:
-    """body of the value, which is computed once and not wherever body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
 def without(text: Column, characters: str) -> Column:
     return functools.reduce(lambda x, c: F.replace(x, F.lit(c), F.lit("")), characters, text)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import carried, named_rows, table, with_row
+from ._shared import carried, fold, named_rows, table, with_row
 from ._text import ALNUM, Words, blocks
 
 BITS = 18
@@ -156,11 +156,6 @@ def score(docs: DataFrame, model: Linear, row: bool = False) -> DataFrame:
     return rows.mapInArrow(run, with_row("doc_id long, text string, score double", docs, row))
 
 
-def fold(doc_id, folds: int = 5):
-    """Column: crc32 of the id as text modulo folds; null for a null id."""
-    return F.crc32(doc_id.cast("string").cast("binary")) % folds
-
-
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs, table(spark, sf_dir, "labels"), lambda i: fold(i) != 0)
