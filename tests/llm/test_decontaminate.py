@@ -7,6 +7,8 @@ import pytest
 from tidemark.llm import decontaminate
 from tidemark.llm._shared import table
 
+from tests import oracle
+
 from .fixtures import empty, frame, odd
 
 
@@ -74,3 +76,7 @@ def test_odd_rows(spark):
     assert len(rows) == 8 and {r.doc_id for r in rows if r.contaminated} == {5}
     assert decontaminate.decontaminate(empty(spark), items).count() == 0
     assert decontaminate.decontaminate(odd(spark), items.limit(0)).where("contaminated").count() == 0
+
+
+def test_query_against_sql(spark, sf_dir):
+    assert oracle.rows(decontaminate.op7(spark, sf_dir)) == oracle.run(decontaminate.ORACLE, sf_dir)

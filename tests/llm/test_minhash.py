@@ -6,6 +6,8 @@ import pytest
 from tidemark.llm import minhash
 from tidemark.llm._shared import table
 
+from tests import oracle
+
 from .fixtures import empty, frame, odd
 
 
@@ -85,3 +87,7 @@ def test_other_shingles(spark, shingle):
     texts = dict(enumerate(near_copies(random.Random(shingle), [f"w{i}" for i in range(120)], 30, 6)))
     got = {x.doc_id: (x.n_shingles, x.component_id) for x in minhash.near_duplicates(frame(spark, texts), shingle, 80).collect()}
     assert got == brute(texts, shingle, 80)
+
+
+def test_query_against_sql(spark, sf_dir):
+    assert oracle.rows(minhash.op6(spark, sf_dir)) == oracle.run(minhash.ORACLE, sf_dir)

@@ -7,6 +7,8 @@ import pytest
 from tidemark.llm import quality
 from tidemark.llm._shared import table
 
+from tests import oracle
+
 from .fixtures import empty, frame, odd
 
 SPACE = "\x20\t\n\x0b\x0c\r"
@@ -95,3 +97,10 @@ def test_odd_rows(spark):
     assert len(rows) == 8 and all(r.base_failed for r in rows if r.doc_id in (1, 2, 4, 6))
     assert quality.apply_rules(empty(spark), labels).count() == 0
     assert quality.apply_rules(odd(spark), labels.limit(0)).where("kept").count() == 0
+
+
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1"])
+def test_query_against_sql(spark, scale):
+    """At the larger scale the holdout certifies cutoffs."""
+    sf_dir = f"/root/testdata/{scale}"
+    assert oracle.rows(quality.op5(spark, sf_dir)) == oracle.run(quality.ORACLE, sf_dir)

@@ -6,6 +6,8 @@ from collections import Counter
 from tidemark.llm import substrings
 from tidemark.llm._shared import table
 
+from tests import oracle
+
 from .fixtures import empty, frame, odd
 
 
@@ -47,3 +49,7 @@ def test_odd_rows(spark):
     assert len(rows) == 8
     assert {(r.doc_id, r.n_words, r.n_removed) for r in rows} == {(1, 0, 0), (2, 0, 0), (None, 9, 0), (3, 30_000, 30_000), (4, 0, 0), (5, 48, 48), (6, 4, 0)}
     assert substrings.remove_repeats(empty(spark)).count() == 0
+
+
+def test_query_against_sql(spark, sf_dir):
+    assert oracle.rows(substrings.op10(spark, sf_dir)) == oracle.run(substrings.ORACLE, sf_dir)

@@ -171,3 +171,38 @@ def apply_rules(docs: DataFrame, labels: DataFrame, limit: float = FALSE_REJECTI
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def _oracle() -> str:
+    cuts = ", ".join(f"('{rule}', {k}, {cut})" for rule, (_, cutoffs) in RULES.items() for k, cut in enumerate(cutoffs))
+    values = " UNION ALL ".join(
+        f"SELECT doc_id, lang, base_failed, '{rule}' AS rule, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} END AS value FROM b" for rule, (a, b) in ((r, m.split(" / ")) for r, (m, _) in RULES.items())
+    )
+    p = FALSE_REJECTIONS / len(RULES)
+    return rf"""
+WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0B\f\r]')) AS ls FROM documents
+), keys AS (SELECT doc_id, list_transform(range(1, len(ws) - 6), lambda i: md5(array_to_string(ws[i : i + 7], ' '))) AS ks FROM w WHERE len(ws) >= 8),
+starts AS (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM keys),
+again AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(8)) AS t(k) GROUP BY doc_id),
+m AS (
+  SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN inside USING (doc_id)
+), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
+v AS ({values}),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+held AS (SELECT v.* FROM v SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+cuts (rule, k, cut) AS (VALUES {cuts}),
+tried AS (SELECT lang, rule, k, cut, count(*) AS n, count(*) FILTER (WHERE value > cut) AS r FROM held JOIN cuts USING (rule) GROUP BY ALL),
+bound AS (SELECT *, CASE WHEN r > n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, r + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln({1 - p})))) END AS tail FROM tried),
+passed AS (SELECT * FROM bound QUALIFY max(tail) OVER (PARTITION BY lang, rule ORDER BY k) <= {ERROR} / (((SELECT count(DISTINCT lang) FROM held) + 1) * {len(RULES)})),
+tightest AS (SELECT lang, rule, arg_max(cut, k) AS cut FROM passed GROUP BY lang, rule),
+rejected AS (SELECT DISTINCT doc_id FROM v JOIN tightest USING (lang, rule) WHERE value > tightest.cut)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (doc_id IN (SELECT doc_id FROM rejected)) AS kept FROM b
+"""
+
+
+#: The whole procedure; strata are not pooled, so it holds for up to STRATA languages.
+ORACLE = _oracle()

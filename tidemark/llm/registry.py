@@ -19,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_chat_format": chat.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_minhash": minhash.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_substring_dedup": substrings.ORACLE}

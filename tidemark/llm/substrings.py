@@ -190,3 +190,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+keys AS (SELECT doc_id, list_transform(range(1, len(ws) - 33), lambda i: md5(array_to_string(ws[i : i + 34], ' '))) AS ks FROM w WHERE len(ws) >= 35),
+starts AS (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM keys),
+repeated AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM repeated, unnest(range(35)) AS t(k)),
+words AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+marked AS (SELECT words.*, gone.p IS NOT NULL AS out FROM words LEFT JOIN gone USING (doc_id, p)),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE out) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (WHERE NOT out) AS kept FROM marked GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN sums USING (doc_id)
+"""
