@@ -4,8 +4,8 @@ The normalised test items become one generalised suffix automaton over words, wh
 training text streams past it and every position learns the longest suffix that occurs in some item. Where
 that length reaches the window, the words are hit, and the item sets of the automaton's states say by whom.
 
-The items go to the driver a block at a time, each block of at most `block_bytes` of item text by a hash of the item's
-id; every block is one automaton and one pass of the text through it, so what is broadcast has a fixed bound
+The items go to the driver a block at a time, each block of about `block_bytes` of item text
+by a hash; every block is one automaton and one pass of the text through it, so what is broadcast has a fixed bound
 however many items there are.
 
 Most text never reaches the automaton: only runs of word pairs that all occur in some item can hold a match,
@@ -27,7 +27,7 @@ from ._shared import carried, named_rows, table, with_row
 from ._text import ALNUM, Words, blocks, gram_starts, grams
 
 WINDOW = 13
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 1 << 20
 
 SCHEMA = "doc_id long, text string, n_words long, longest_match long, spans array<struct<start: long, end: long>>, items array<string>"
 
@@ -212,7 +212,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     n = max(1, math.ceil(total / block_bytes))
     out = named_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row=row)
     for k in range(n):
-        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
+        block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         matcher = Matcher([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()], window)
         out = out.mapInArrow(_pass(spark.sparkContext.broadcast(matcher), row), with_row(SCHEMA, docs, row))
     return out

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import materialise, table
-from ._text import Words, blocks, gram_starts, grams
+from ._text import Words, blocks, grams
 from .components import connected_components
 
 HASHES, BATCH = 100, 20

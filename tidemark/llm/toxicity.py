@@ -112,8 +112,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return model
 
 
-def _sampled(docs: DataFrame, chosen: DataFrame) -> list[np.ndarray]:
-    """The features of the documents whose ids are in the bounded table chosen."""
+def _sampled(docs: DataFrame, chosen: DataFrame, most: int) -> list[np.ndarray]:
+    """The features of the documents whose ids are in the bounded table chosen; of rows with repeated ids no more than `most`."""
     kind = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
 
     def run(batches):
@@ -121,7 +121,7 @@ def _sampled(docs: DataFrame, chosen: DataFrame) -> list[np.ndarray]:
             found = [f.astype(np.uint32).tobytes() for f in features(batch.column(1))]
             yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], schema=kind)
 
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, features binary")
+    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, features binary").limit(most)
     return [np.frombuffer(r[1], np.uint32).astype(np.int64) for r in sorted(rows.collect())]
 
 
@@ -139,8 +139,8 @@ def train(docs: DataFrame, labels: DataFrame, usable, positives: int = POSITIVES
         # ids alone are chosen, and ties of a hash are cut by the id
         return ids.select("doc_id").orderBy(order, "doc_id").limit(n)
 
-    toxic = _sampled(rows, first(marks.where("toxic = 1"), positives))[: 2 * positives]
-    return fit(toxic, _sampled(rows, first(rows.select("doc_id").distinct(), unlabelled))[: 2 * unlabelled], prior) if toxic else Linear(prior)
+    toxic = _sampled(rows, first(marks.where("toxic = 1"), positives), 2 * positives)
+    return fit(toxic, _sampled(rows, first(rows.select("doc_id").distinct(), unlabelled), 2 * unlabelled), prior) if toxic else Linear(prior)
 
 
 def score(docs: DataFrame, model: Linear, row: bool = False) -> DataFrame:
