@@ -38,7 +38,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Every document stays; personal data in its text becomes its kind in angle brackets, and n_chars follows."""
     found = pii.find(docs, row=True)
     changed = F.size("spans") > 0
-    row = F.col("row").withField("text", F.when(changed, pii.redacted(F.col("text"), F.col("spans"))).otherwise(F.col("row.text")))
+    row = F.col("row").withField("text", F.when(changed, pii.redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")))
     if "n_chars" in docs.columns:
         size = F.char_length(row["text"]).cast(docs.schema["n_chars"].dataType)
         row = row.withField("n_chars", F.when(changed, size).otherwise(F.col("row.n_chars")))

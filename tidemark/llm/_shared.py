@@ -27,20 +27,39 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def named_rows(docs: DataFrame, *columns, row: bool = False) -> DataFrame:
-    """The given columns and, if row, a struct `row` of all columns of docs, whatever their names."""
-    return docs.select(*columns, *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []))
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of whole documents are large: the session's default of 10,000 rows can be a gigabyte of text.
 
+    Rows and bytes of a batch are lowered for the session, never raised. A batch's size changes no result.
+    """
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
 
-def with_row(schema: str, docs: DataFrame, row: bool) -> T.StructType:
-    """schema and, if row, the struct that named_rows() adds."""
+
+def given_rows(docs: DataFrame, row: bool = False) -> DataFrame:
+    """doc_id and text; or, if row, one struct `row` of all columns of docs, whatever their names."""
+    small_batches(docs.sparkSession)
+    if row:
+        return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def found_rows(schema: str, docs: DataFrame, row: bool) -> T.StructType:
+    """The schema of carried() and what is found."""
     found = T._parse_datatype_string(schema)
-    return found.add("row", docs.schema) if row else found
+    return T.StructType([*(T.StructType().add("row", docs.schema) if row else T._parse_datatype_string("doc_id long, text string")), *found])
+
+
+def text_of(batch):
+    """The texts of a batch of given_rows()."""
+    return batch.column("row").field("text") if "row" in batch.schema.names else batch.column("text")
 
 
-def carried(batch, row: bool) -> dict:
-    """The batch's struct of all columns, if there is one."""
-    return {"row": batch.column("row")} if row else {}
+def carried(batch) -> dict:
+    """The columns of a batch of given_rows(), which go with what is found."""
+    return {c: batch.column(c) for c in ("row", "doc_id", "text") if c in batch.schema.names}
 
 
 def let(value: Column, body) -> Column:

@@ -37,7 +37,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             p[0] = 1
             out.append(np.cumprod(p, dtype=np.uint64))
         have = tuple(out)
-        if size <= 8 * BLOCK:
+        if size <= 2 * BLOCK:
             _powers[base] = have
     return have[0][:n], have[1][:n]
 

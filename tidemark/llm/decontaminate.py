@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import carried, named_rows, table, with_row
+from ._shared import carried, found_rows, given_rows, table, text_of
 from ._text import ALNUM, Words, blocks, gram_starts, grams
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
 
-SCHEMA = "doc_id long, text string, n_words long, longest_match long, spans array<struct<start: long, end: long>>, items array<string>"
+FOUND = "n_words long, longest_match long, spans array<struct<start: long, end: long>>, items array<string>"
 
 
 class SuffixAutomaton:
@@ -171,7 +171,7 @@ def _spans(hit: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(int(a) + first, int(b) + first) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _pass(matcher, row: bool):
+def _pass(matcher):
     """One pass of the rows through one block's automaton; spans are of words, ends exclusive."""
     span, names = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
@@ -179,7 +179,7 @@ def _pass(matcher, row: bool):
         m = matcher.value
         for batch in batches:
             n_words, spans, items, longest = [], [], [], []
-            for _, _, data, offsets in blocks(batch.column("text")):
+            for _, _, data, offsets in blocks(text_of(batch)):
                 w = Words(data, offsets, ALNUM, lower=True)
                 found = {}
                 for a, b in zip(*m.runs(w), strict=True):
@@ -198,23 +198,23 @@ def _pass(matcher, row: bool):
                 items = [sorted({*(a or []), *b}) for a, b in zip(batch.column("items").to_pylist(), items, strict=True)]
                 longest = [max(a or 0, b) for a, b in zip(batch.column("longest_match").to_pylist(), longest, strict=True)]
             counts = np.concatenate([*n_words, np.zeros(0, np.int64)]).astype(np.int64)
-            out = {"doc_id": batch.column("doc_id"), "text": batch.column("text"), "n_words": pa.array(counts), "longest_match": pa.array(longest, pa.int64())}
-            yield pa.RecordBatch.from_pydict(out | {"spans": pa.array(spans, span), "items": pa.array(items, names)} | carried(batch, row))
+            out = {"n_words": pa.array(counts), "longest_match": pa.array(longest, pa.int64()), "spans": pa.array(spans, span), "items": pa.array(items, names)}
+            yield pa.RecordBatch.from_pydict(carried(batch) | out)
 
     return run
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, row: bool = False) -> DataFrame:
-    """doc_id, text, n_words, longest_match, spans of hit words and the items that hit, for every row of docs; if row, also a struct of all its columns."""
+    """doc_id, text, n_words, longest_match, spans of hit words and the items that hit, for every row of docs; if row, a struct of all its columns instead of doc_id and text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    out = named_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row=row)
+    out = given_rows(docs, row)
     for k in range(n):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         matcher = Matcher([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()], window)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(matcher), row), with_row(SCHEMA, docs, row))
+        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(matcher)), found_rows(FOUND, docs, row))
     return out
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import fold, materialise, table
+from ._shared import fold, materialise, small_batches, table
 from ._text import LOWER, Words, blocks, mix, pack, pack_sorted, unpack, unpack_sorted
 from .exchange import block_count, by_range, from_small, in_blocks, small
 
@@ -328,6 +328,7 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     held_out: a boolean column of docs; where it is true (or null), a document teaches nothing.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     held_out = F.coalesce(held_out, F.lit(True))
     short = spark.sparkContext.broadcast(Short(pair_counts(docs.where(~held_out))))
     n = block_count(docs)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import materialise, table
+from ._shared import materialise, small_batches, table
 from ._text import Words, blocks, grams
 from .components import connected_components
 
@@ -36,6 +36,8 @@ MISS = 1e-8
 UNSEEN = 1e-5
 #: Rounds of one centre per bucket before the exhaustive one, and the rows of its groups.
 STAR_ROUNDS, STRAYS, MEMBERS = 2, 512, 1024
+#: Shingles in such a group, about.
+GROUP_SHINGLES = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _A = _rng.integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -71,6 +73,7 @@ def _digest(shingles: np.ndarray) -> bytes:
 
 def sketch(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id, n_shingles, digest and signature (both null for an empty set)."""
+    small_batches(docs.sparkSession)
     kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
 
     def run(batches):
@@ -166,9 +169,9 @@ def _labelled(bands: DataFrame, components: DataFrame) -> DataFrame:
 def _torn(bands: DataFrame, components: DataFrame) -> DataFrame:
     """The buckets whose members lie in several components, with the component most members are of, and how many are of it and of others."""
     inside = _labelled(bands, components)
-    sizes = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    torn = sizes.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    return inside.join(torn.select("key", F.col("most.component").alias("giant"), F.col("most.n").alias("own"), "size"), "key")
+    sizes = inside.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    torn = sizes.groupBy("key").agg(F.max(F.struct("n", "component", "m")).alias("most"), F.sum("n").alias("size"), F.sum("m").alias("shingles"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return inside.join(torn.select("key", F.col("most.component").alias("giant"), F.col("most.n").alias("own"), F.col("most.m").alias("own_shingles"), "size", "shingles"), "key")
 
 
 def _stars(rows: DataFrame, salt: int) -> DataFrame:
@@ -228,7 +231,8 @@ def across(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows: what a member of the largest component is copied for grows with the strays only.
     """
     stray = F.col("component") != F.col("giant")
-    n_strays, n_members = (F.greatest(F.lit(1), F.ceil(x)).cast("int") for x in ((F.col("size") - F.col("own")) / STRAYS, F.col("size") / MEMBERS))
+    parts = lambda rows, limit, shingles: F.greatest(F.lit(1), F.ceil(rows / limit), F.ceil(shingles / GROUP_SHINGLES)).cast("int")
+    n_strays, n_members = parts(F.col("size") - F.col("own"), STRAYS, F.col("shingles") - F.col("own_shingles")), parts(F.col("size"), MEMBERS, F.col("shingles"))
     rows = torn.withColumn("n_strays", n_strays).withColumn("n_members", n_members)
     rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id", F.lit("s")), "n_strays").cast("int")).withColumn("m", F.pmod(F.xxhash64("doc_id", F.lit("m")), "n_members").cast("int"))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
@@ -241,7 +245,7 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     """node, component of the classes (doc_id, n_shingles, signature, digest) that link with another."""
     n_bands, rows = banding(percent / 100)
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * rows * i, 4 * rows)).alias("key")) for i in range(n_bands)])
-    banded = classes.select(F.explode(keys).alias("k"), "doc_id").select("k.key", "k.band", "doc_id")
+    banded = classes.select(F.explode(keys).alias("k"), "doc_id", "n_shingles").select("k.key", "k.band", "doc_id", "n_shingles")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     bands = materialise(banded.join(shared, "key"))
     sets = materialise(member_sets(docs, classes.join(bands.select("doc_id").distinct(), "doc_id", "left_semi"), shingle))

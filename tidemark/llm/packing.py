@@ -27,18 +27,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import small_batches, table
 from ._text import buffers
 
 WINDOW, END, BLOCK = 4096, 2, 1 << 20
 SENTENCE, ANYWHERE, STRIDE = 8.0, 48.0, 32
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
-FAST = np.zeros(256, bool)
-FAST[[*range(0x61, 0x7B), *range(0x41, 0x5B)]] = True
-STOPS = np.zeros(256, bool)
-STOPS[[0x2C, 0x2E]] = True
+#: Words whose ids a Python worker remembers; beyond it only those of the texts at hand stay.
+REMEMBERED = 1_000_000
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[[*range(0x61, 0x7B), *range(0x41, 0x5B)]] = True
+#: ASCII characters that never share a token with a letter; an apostrophe may.
+MARK[[ord(c) for c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"]] = True
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -60,11 +60,13 @@ class WordTokenizer:
         self.stops = np.array(sorted({x[0] for x in stops if len(x) == 1}), np.uint32)
 
     def words(self, text: bytes) -> list[bytes]:
-        if b"<|" not in text:
-            text = text.lower()
+        if b"<|" in text:
+            return text.split()
+        text = text.lower()
         data = np.frombuffer(text, np.uint8)
-        # A space before a comma or stop that follows a letter changes no id and lets more words be alike.
-        at = np.flatnonzero(STOPS[data[1:]] & FAST[data[:-1]]) + 1
+        # A space between a letter and a mark changes no id and lets more words be alike.
+        mark, letter = MARK[data], LETTER[data]
+        at = np.flatnonzero((mark[1:] & letter[:-1]) | (letter[1:] & mark[:-1])) + 1
         if len(at):
             out = np.full(len(data) + len(at), 0x20, np.uint8)
             keep = np.ones(len(out), bool)
@@ -76,9 +78,10 @@ class WordTokenizer:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         split = [self.words(t) for t in texts]
         known = self.known
+        own = set().union(*split)
         if len(known) > REMEMBERED:
-            known.clear()
-        new = list({w for words in split for w in words if w not in known})
+            known = self.known = {w: known[w] for w in own if w in known}
+        new = [w for w in own if w not in known]
         for i in range(0, len(new), 4096):
             part = new[i : i + 4096]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
@@ -182,6 +185,7 @@ def pieces(names: list, ids: list[np.ndarray], ends: list[int], first: int):
 
 def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str = TOKENIZER, end_id: int = END) -> DataFrame:
     """The pieces of all documents with their ids as little-endian unsigned 32-bit integers; see SCHEMA."""
+    small_batches(docs.sparkSession)
     names = [x.split()[0] for x in SCHEMA.split(", ")]
     kinds = pa.schema([(n, pa.binary() if n == "ids" else pa.int64()) for n in names])
 

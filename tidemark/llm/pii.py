@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import carried, named_rows, table, with_row
+from ._shared import carried, found_rows, given_rows, table, text_of
 from ._text import buffers
 
 KINDS = ("email", "ip", "card", "phone")
@@ -272,7 +272,7 @@ def train(docs: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -
 
 
 def find(docs: DataFrame, model: SkipChain | None = None, row: bool = False) -> DataFrame:
-    """doc_id, text, base and spans (arrays of kind, start and end) of every row; if row, also a struct of all its columns."""
+    """doc_id, text, base and spans (arrays of kind, start and end) of every row; if row, a struct of all its columns and the two arrays."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or train(docs))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -282,7 +282,7 @@ def find(docs: DataFrame, model: SkipChain | None = None, row: bool = False) ->
         evidence = np.zeros(256, bool)
         evidence[[*range(0x30, 0x3A), 0x40]] = True
         for batch in batches:
-            data, offsets = buffers(batch.column(1))
+            data, offsets = buffers(text_of(batch))
             total = np.concatenate(([0], np.cumsum(evidence[data], dtype=np.int64)))
             g, base = Graph(), {}
             for k in np.flatnonzero(np.diff(total[offsets])):
@@ -295,12 +295,10 @@ def find(docs: DataFrame, model: SkipChain | None = None, row: bool = False) ->
                     more.setdefault(doc, []).append((label, a, b))
             rows = [named(base.get(k, ())) for k in range(batch.num_rows)]
             every = [named(sorted(base[k] + more[k])) if k in more else rows[k] for k in range(batch.num_rows)]
-            found = {"doc_id": batch.column(0), "text": batch.column(1), "base": pa.array(rows, span), "spans": pa.array(every, span)}
-            yield pa.RecordBatch.from_pydict(found | carried(batch, row))
+            yield pa.RecordBatch.from_pydict(carried(batch) | {"base": pa.array(rows, span), "spans": pa.array(every, span)})
 
     kinds = "array<struct<kind: string, start: long, end: long>>"
-    rows = named_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), row=row)
-    return rows.mapInArrow(run, with_row(f"doc_id long, text string, base {kinds}, spans {kinds}", docs, row))
+    return given_rows(docs, row).mapInArrow(run, found_rows(f"base {kinds}, spans {kinds}", docs, row))
 
 
 def redacted(text, spans):

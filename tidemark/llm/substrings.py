@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import small_batches, table
 from ._text import Words, blocks, gram_starts, grams, pack_sorted, unpack_sorted
 from .exchange import block_count, by_range, in_blocks
 
@@ -176,6 +176,7 @@ def _remove(size: int, window: int):
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by single spaces) of every row."""
+    small_batches(docs.sparkSession)
     size = (window + 1) // 2
     n = block_count(docs)
     rows = in_blocks(docs, n)

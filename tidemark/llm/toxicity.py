@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import carried, fold, named_rows, table, with_row
+from ._shared import carried, fold, found_rows, given_rows, small_batches, table, text_of
 from ._text import ALNUM, Words, blocks
 
 BITS = 18
@@ -127,6 +127,7 @@ def _sampled(docs: DataFrame, chosen: DataFrame, most: int) -> list[np.ndarray]:
 
 def train(docs: DataFrame, labels: DataFrame, usable, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_bytes: int = SAMPLE_BYTES) -> Linear:
     """usable: from a doc_id column, a column that is true where a document may be learned from."""
+    small_batches(docs.sparkSession)
     order = F.xxhash64("doc_id")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(usable(F.col("doc_id")) & F.col("toxic").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -144,16 +145,14 @@ def train(docs: DataFrame, labels: DataFrame, usable, positives: int = POSITIVES
 
 
 def score(docs: DataFrame, model: Linear, row: bool = False) -> DataFrame:
-    """doc_id, text and score of every row; if row, also a struct of all its columns."""
+    """doc_id, text and score of every row; if row, a struct of all its columns and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            found = {"doc_id": batch.column(0), "text": batch.column(1), "score": pa.array(shared.value.score(batch.column(1)))}
-            yield pa.RecordBatch.from_pydict(found | carried(batch, row))
+            yield pa.RecordBatch.from_pydict(carried(batch) | {"score": pa.array(shared.value.score(text_of(batch)))})
 
-    rows = named_rows(docs, F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row=row)
-    return rows.mapInArrow(run, with_row("doc_id long, text string, score double", docs, row))
+    return given_rows(docs, row).mapInArrow(run, found_rows("score double", docs, row))
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import small_batches, table
 
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the RFC 4122 name space of URLs
 DATE = "1970-01-01T00:00:00Z"
@@ -105,6 +105,7 @@ def derive(records: DataFrame) -> DataFrame:
                     rows += [(source, *x) for x in derivatives(own, uri, date or DATE, head, page)]
                 yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), kind, strict=True)], schema=kind)
 
+    small_batches(records.sparkSession)
     return records.select(*[x.split()[0] for x in RESPONSE.split(", ")]).mapInArrow(run, DERIVED)
 
 
