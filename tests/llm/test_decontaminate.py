@@ -61,13 +61,25 @@ def test_query_on_the_table(spark, sf_dir):
     assert [(rows[d.doc_id].n_words, rows[d.doc_id].n_hit, rows[d.doc_id].items_sha256, rows[d.doc_id].contaminated) for d in docs] == want
 
 
-def test_span_removal(spark):
-    text = "One two, THREE four; five six seven. eight nine"
-    docs = frame(spark, [text, "nothing here"])
-    items = spark.createDataFrame([(1, "three four five six")], "item_id long, text string")
-    found = decontaminate.find_overlaps(docs, items, 4)
-    out = {r.doc_id: r.t for r in found.select("doc_id", decontaminate.without_spans(found.text, found.spans, 4).alias("t")).collect()}
-    assert out == {0: "One two seven. eight nine", 1: "nothing here"}
+@pytest.mark.parametrize("block_bytes", [1 << 23, 60])
+def test_span_removal(spark, block_bytes):
+    texts = ["One two, THREE four; five six seven. eight nine", "nothing here", "three four five six", "é x. Three four five six three four five six, z", "three four five"]
+    items = spark.createDataFrame([(1, "three four five six"), (None, "one two three"), (3, "q " * 20)], "item_id long, text string")
+    found = decontaminate.find_overlaps(frame(spark, texts), items, 4, block_bytes, row=True)
+    out = {r.row.doc_id: r.cleaned for r in decontaminate.without_spans(found, 4).collect()}
+    assert out == {0: " seven. eight nine", 1: None, 2: "", 3: "é x, z", 4: None}
+    names = {r.row.doc_id: (r.items, r.longest_match) for r in found.collect()}
+    # matches shorter than every window of a block of items are not looked for
+    assert names.pop(4)[0] == [] and names == {0: (["1"], 4), 1: ([], 0), 2: (["1"], 4), 3: (["1"], 4)}
+
+
+def test_removal_is_linear(spark):
+    """A megabyte of text with thousands of spans."""
+    item = "three four five six"
+    docs = frame(spark, [f"word word {item} other " * 30_000])
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = decontaminate.find_overlaps(docs, items, 4, row=True)
+    assert decontaminate.without_spans(found, 4).first().cleaned == "word word other " * 29_999 + "word word other "
 
 
 def test_odd_rows(spark):

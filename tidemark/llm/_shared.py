@@ -1,46 +1,52 @@
 """What the operators share about Spark itself."""
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_CHECKPOINTS = "/tmp/checkpoints"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.lru_cache
+def _own_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's spark.checkpoint.dir, or one set here where there is none."""
+    """The folder that all executors see: the session's spark.checkpoint.dir. Only a session within one process may do without it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (found or DEFAULT_CHECKPOINTS).rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+    return _own_dir(spark.sparkContext.applicationId)
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again, which ends its lineage: a lost executor costs no recomputation."""
+def materialise(df: DataFrame, *instead: DataFrame) -> DataFrame:
+    """Writes df to the shared folder and reads it again, which ends its lineage: a lost executor costs no recomputation.
+
+    instead: materialised tables that nothing reads once df is written; they are deleted. All others stay until the folder is cleared.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Arrow batches of whole documents are large: the session's default of 10,000 rows can be a gigabyte of text.
-
-    Rows and bytes of a batch are lowered for the session, never raised. A batch's size changes no result.
-    """
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
-        now = spark.conf.get(key, None)
-        if now is None or not now.isdigit() or not 0 < int(now) <= most:
-            spark.conf.set(key, str(most))
+    for old in instead:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old.stored_at)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
 
 
 def given_rows(docs: DataFrame, row: bool = False) -> DataFrame:
     """doc_id and text; or, if row, one struct `row` of all columns of docs, whatever their names."""
-    small_batches(docs.sparkSession)
     if row:
         return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -49,17 +55,17 @@ def given_rows(docs: DataFrame, row: bool = False) -> DataFrame:
 def found_rows(schema: str, docs: DataFrame, row: bool) -> T.StructType:
     """The schema of carried() and what is found."""
     found = T._parse_datatype_string(schema)
-    return T.StructType([*(T.StructType().add("row", docs.schema) if row else T._parse_datatype_string("doc_id long, text string")), *found])
+    return T.StructType([*(T.StructType().add("row", docs.schema) if row else T._parse_datatype_string("doc_id long")), *found])
 
 
 def text_of(batch):
     """The texts of a batch of given_rows()."""
-    return batch.column("row").field("text") if "row" in batch.schema.names else batch.column("text")
+    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
 
 
 def carried(batch) -> dict:
-    """The columns of a batch of given_rows(), which go with what is found."""
-    return {c: batch.column(c) for c in ("row", "doc_id", "text") if c in batch.schema.names}
+    """The columns of a batch of given_rows() that go with what is found: the whole row, or its id."""
+    return {c: batch.column(c) for c in ("row", "doc_id") if c in batch.schema.names}
 
 
 def let(value: Column, body) -> Column:

@@ -19,8 +19,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("component").alias("near"))
         hooked = labels.join(near, "node").select("node", F.least("component", "near").alias("to"), F.col("component").alias("was"))
         jump = labels.select(F.col("node").alias("to"), F.col("component").alias("next"))
-        after = materialise(hooked.join(jump, "to", "left").select("node", F.coalesce(F.least("to", "next"), "to").alias("component"), "was"))
-        changed = after.where("component <> was").limit(1).count()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
+        after = materialise(hooked.join(jump, "to", "left").select("node", F.coalesce(F.least("to", "next"), "to").alias("component"), "was"), labels)
+        if not after.where("component <> was").limit(1).count():
+            return after.select("node", "component")
+        labels = after

@@ -4,16 +4,16 @@ The normalised test items become one generalised suffix automaton over words, wh
 training text streams past it and every position learns the longest suffix that occurs in some item. Where
 that length reaches the window, the words are hit, and the item sets of the automaton's states say by whom.
 
-The items go to the driver a block at a time, each block of about `block_bytes` of item text
-by a hash; every block is one automaton and one pass of the text through it, so what is broadcast has a fixed bound
-however many items there are.
+The items go to the driver a block at a time, each block of about `block_bytes` of item text by a hash; every block is one automaton and one pass
+of the text through it, and the next automaton is built when the hits of the last one are written. So one automaton is alive at a time, of a
+size that doesn't grow with the number of items.
 
 Most text never reaches the automaton: only runs of word pairs that all occur in some item can hold a match,
 and those runs are found with numpy on word hashes. The automaton then compares the words themselves.
 
-Defined results: a null or empty text has no words and no hits; repeated rows are each answered; a null item text
-or one without words matches nothing; items of equal text all count; an empty benchmark hits nothing; columns
-besides doc_id and text are not read.
+Defined results: a null or empty text has no words and no hits; a very long text is held by one task, about fifty bytes for each of its words; repeated rows
+are each answered; a null item text or one without words matches nothing; an item without an id hits words but is not named or counted; items of
+equal text all count; an empty benchmark hits nothing; an empty table gives no rows; columns besides doc_id and text are not read.
 """
 
 import math
@@ -22,14 +22,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import carried, found_rows, given_rows, table, text_of
+from ._shared import carried, found_rows, given_rows, materialise, table, text_of
 from ._text import ALNUM, Words, blocks, gram_starts, grams
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
 
 FOUND = "n_words long, longest_match long, spans array<struct<start: long, end: long>>, items array<string>"
+FOUND_NAMES = ("n_words", "longest_match", "spans", "items")
 
 
 class SuffixAutomaton:
@@ -171,9 +173,11 @@ def _spans(hit: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(int(a) + first, int(b) + first) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
-def _pass(matcher):
-    """One pass of the rows through one block's automaton; spans are of words, ends exclusive."""
-    span, names = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+_SPANS, _NAMES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
+
+
+def _pass(matcher, others: bool = True):
+    """One pass of the rows through one block's automaton; spans are of words, ends exclusive. others: rows that nothing hits are given out too."""
 
     def run(batches):
         m = matcher.value
@@ -191,31 +195,64 @@ def _pass(matcher):
                 for doc in range(len(w.count)):
                     s, i, l = found.get(doc, ((), (), 0))
                     spans.append([{"start": a, "end": b} for a, b in s])
-                    items.append(sorted(i))
+                    items.append(sorted(x for x in i if x is not None))
                     longest.append(l)
-            if "spans" in batch.schema.names:
-                spans = [(a or []) + b for a, b in zip(batch.column("spans").to_pylist(), spans, strict=True)]
-                items = [sorted({*(a or []), *b}) for a, b in zip(batch.column("items").to_pylist(), items, strict=True)]
-                longest = [max(a or 0, b) for a, b in zip(batch.column("longest_match").to_pylist(), longest, strict=True)]
             counts = np.concatenate([*n_words, np.zeros(0, np.int64)]).astype(np.int64)
-            out = {"n_words": pa.array(counts), "longest_match": pa.array(longest, pa.int64()), "spans": pa.array(spans, span), "items": pa.array(items, names)}
-            yield pa.RecordBatch.from_pydict(carried(batch) | out)
+            out = {"n_words": pa.array(counts), "longest_match": pa.array(longest, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _NAMES)}
+            if others:
+                yield pa.RecordBatch.from_pydict(carried(batch) | out)
+            else:
+                rows = pa.RecordBatch.from_pydict({"t": batch.column("t"), "u": batch.column("u")} | out)
+                yield rows.filter(pa.array([bool(x) for x in longest], pa.bool_()))
 
     return run
 
 
+def _key(text):
+    """Two hashes of a text, 96 bits."""
+    return F.xxhash64(text).alias("t"), F.hash(text).alias("u")
+
+
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, row: bool = False) -> DataFrame:
-    """doc_id, text, n_words, longest_match, spans of hit words and the items that hit, for every row of docs; if row, a struct of all its columns instead of doc_id and text."""
+    """doc_id, n_words, longest_match, spans of hit words and the items that hit, for every row of docs; if row, a struct of all its columns instead of doc_id.
+
+    The first block of items goes by in the pass that answers all rows. Each further one is a pass by itself, written before the next automaton is built: it keeps
+    only what it has hit, by the hash of the text. longest_match is 0 where no run of words is as long as the shortest window of the items.
+    """
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
-    out = given_rows(docs, row)
-    for k in range(n):
+
+    def matcher(k):
         block = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        matcher = Matcher([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()], window)
-        out = out.mapInArrow(_pass(spark.sparkContext.broadcast(matcher)), found_rows(FOUND, docs, row))
-    return out
+        return spark.sparkContext.broadcast(Matcher([(r[0], r[1]) for r in block.orderBy("item_id", "text").collect()], window))
+
+    text = F.col("text").cast("string")
+    more = None
+    for k in range(1, n):
+        sent = matcher(k)
+        hits = docs.select(*_key(text), text.alias("text")).mapInArrow(_pass(sent, others=False), f"t long, u int, {FOUND}").dropDuplicates(["t", "u"])
+        hits = materialise(hits.drop("n_words"))
+        more = hits if more is None else more.unionByName(hits)
+        sent.destroy()
+    given = given_rows(docs, row)
+    own = F.col("row.text").cast("string") if row else F.col("text")
+    keyed = given if more is None else given.withColumns(dict(zip(("t", "u"), _key(own), strict=True)))
+    schema = found_rows(FOUND, docs, row)
+    if more is None:
+        return keyed.mapInArrow(_pass(matcher(0)), schema)
+    # the keys ride in the row that is handed back
+    names = [f.name for f in schema][:1]
+    inside = keyed.select(F.struct(*names, "t", "u").alias("row"), own.alias("text")) if not row else keyed.select(F.struct("row", "t", "u").alias("row"), own.alias("text"))
+    first = inside.mapInArrow(_pass(matcher(0)), T.StructType([inside.schema["row"], *T._parse_datatype_string(FOUND)])).select("row.*", *FOUND_NAMES)
+    of_text = more.groupBy("t", "u").agg(F.flatten(F.collect_list("spans")).alias("spans2"), F.flatten(F.collect_list("items")).alias("items2"), F.max("longest_match").alias("longest2"))
+    both = first.join(of_text, ["t", "u"], "left")
+    none = lambda c, like: F.coalesce(c, F.array().cast(both.schema[like].dataType))
+    return both.select(
+        *names, "n_words", F.greatest("longest_match", F.coalesce("longest2", F.lit(0).cast("long"))).alias("longest_match"), F.concat("spans", none("spans2", "spans")).alias("spans"),
+        F.array_sort(F.array_distinct(F.concat("items", none("items2", "items")))).alias("items"),
+    )
 
 
 def merge_spans(spans):
@@ -230,7 +267,7 @@ def merge_spans(spans):
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_percent: int = 5, row: bool = False) -> DataFrame:
-    """Per document: text, n_words, n_hit, n_items, items (sorted ids) and contaminated, true when hits cover max_percent of the words or more."""
+    """Per document: n_words, n_hit, n_items, items (sorted ids) and contaminated, true when hits cover max_percent of the words or more."""
     found = find_overlaps(docs, benchmark, window, row=row)
     n_hit = merge_spans(F.col("spans"))
     return (
@@ -240,26 +277,39 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
 
 
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+def _without(data: np.ndarray, w: Words, first: int, last: int, begin: int, end: int, spans, longest: int) -> bytes | None:
+    """The bytes from begin to end without the words (first to last of w) under runs of at least `longest` hit words and what stands before each; None if there are none."""
+    hit = np.zeros(last - first, bool)
+    for s in spans:
+        hit[s["start"] : s["end"]] = True
+    runs = [(a, b) for a, b in _spans(hit, 0) if b - a >= longest]
+    if not runs:
+        return None
+    out, at = [], begin
+    for a, b in runs:
+        out.append(data[at : w.end[first + a - 1] if a else begin].tobytes())
+        at = int(w.end[first + b - 1])
+    return b"".join([*out, data[at:end].tobytes()])
 
 
-def without_spans(text, spans, longest: int = WINDOW):
-    """Column: the text without the words under spans of at least `longest` words; what stood between the words left is kept before each."""
-    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    gaps = F.split(lower, _WORD, -1)
-    sizes = F.transform(F.regexp_extract_all(lower, F.lit(_WORD), F.lit(0)), lambda w: F.char_length(w))
-    long = F.filter(spans, lambda s: s["end"] - s["start"] >= longest)
-    zero = F.lit(0)
+def without_spans(found: DataFrame, longest: int = WINDOW) -> DataFrame:
+    """Rows of find_overlaps(row=True) with `cleaned`: the text without spans of `longest` hit words or more; null if it has none."""
 
-    def step(a, size, i):
-        gap = F.char_length(F.element_at(gaps, i + 1))
-        gone = F.exists(long, lambda s: (s["start"] <= i) & (i < s["end"]))
-        put = F.when(gone, F.lit("")).otherwise(F.substr(text, a["at"] + 1, gap + size))
-        return F.struct((a["at"] + gap + size).alias("at"), F.concat(a["out"], put).alias("out"))
+    def run(batches):
+        for batch in batches:
+            cleaned: list = []
+            spans = batch.column("spans").to_pylist()
+            for row, _, data, offsets in blocks(text_of(batch)):
+                if not any(spans[row : row + len(offsets) - 1]):
+                    cleaned += [None] * (len(offsets) - 1)
+                    continue
+                w = Words(data, offsets, ALNUM, lower=True)
+                for k in range(len(offsets) - 1):
+                    own = spans[row + k]
+                    cleaned.append(_without(data, w, int(w.first[k]), int(w.first[k + 1]), int(offsets[k]), int(offsets[k + 1]), own, longest) if own else None)
+            yield batch.append_column("cleaned", pa.array(cleaned, pa.binary()).cast(pa.string()))
 
-    numbered = F.transform(sizes, lambda n, i: F.struct(n.alias("n"), i.alias("i")))
-    kept = F.aggregate(numbered, F.struct(zero.alias("at"), F.lit("").alias("out")), lambda a, x: step(a, x["n"], x["i"]), lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
-    return F.when(F.size(long) == 0, text).otherwise(kept)
+    return found.mapInArrow(run, T.StructType([*found.schema, T.StructField("cleaned", T.StringType())]))
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -275,7 +325,7 @@ item_windows AS (SELECT DISTINCT item_id, n, array_to_string(ws[i : i + n - 1],
 doc_windows AS (SELECT doc_id, i, n, array_to_string(ws[i : i + n - 1], ' ') AS k FROM (SELECT d.*, s.n, unnest(range(1, len(ws) - s.n + 2)) AS i FROM d, (SELECT DISTINCT n FROM sized) s WHERE len(ws) >= s.n)),
 hits AS (SELECT doc_id, i, n, item_id FROM doc_windows JOIN item_windows USING (n, k)),
 covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hits) GROUP BY doc_id),
-named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id)
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM hits WHERE item_id IS NOT NULL) GROUP BY doc_id)
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit > 0 AND 20 * n_hit >= len(ws), false) AS contaminated
 FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)

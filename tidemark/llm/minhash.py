@@ -1,8 +1,8 @@
 """Near-duplicate groups by MinHash with sequential Bayesian verification.
 
 1. Every text becomes its set of word shingles, a digest of that set and `HASHES` minhashes (one scan).
-2. Texts with equal sets form one class, and its smallest doc_id stands for it from here on, so a group of copies
-   of any size is one row.
+2. Texts with equal sets form one class, with a number of its own; the row with its smallest doc_id stands for it from here on, so a group
+   of copies of any size is one row.
 3. Signatures are cut into bands; classes that agree on a band are candidates. A bucket first links its members to
    one centre, drawn by hash: its size, not its square, is what it emits.
 4. Signatures of a candidate pair are compared batch by batch. With a uniform prior the similarity has a Beta
@@ -15,8 +15,9 @@
 Bands are as many rows wide as a miss of `UNSEEN` at the threshold allows: at 0.85, a pair shares none of 20 bands of 5 with probability (1 - 0.85**5)**20 = 8e-6.
 
 Defined results: a null or empty text, or one without words, has an empty set, links with nothing and is kept; a text
-of fewer words than a shingle is one shingle; repeated rows are each answered; a row without doc_id has no links, a null
-component and is kept; columns besides doc_id and text are not read.
+of fewer words than a shingle is one shingle; a very long text is a set of as many shingles, held by one task; repeated rows, several texts of one doc_id and rows
+without a doc_id are rows like others, of which each component keeps one: that with the smallest doc_id, of those any one, rows without an id last (their component has a null component_id
+if none of its rows has one); an empty table gives no rows; columns besides doc_id and text are not read, but for first_rows(), which returns them.
 """
 
 import math
@@ -25,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._shared import materialise, small_batches, table
+from ._shared import materialise, table
 from ._text import Words, blocks, grams
 from .components import connected_components
 
@@ -71,18 +73,25 @@ def _digest(shingles: np.ndarray) -> bytes:
     return np.array([shingles.sum(dtype=np.uint64), (x ^ (x >> np.uint64(29)) ^ np.uint64(len(shingles))).sum(dtype=np.uint64)]).tobytes()
 
 
-def sketch(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """doc_id, n_shingles, digest and signature (both null for an empty set)."""
-    small_batches(docs.sparkSession)
-    kind = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+def sketch(docs: DataFrame, shingle: int = 3, row: bool = False) -> DataFrame:
+    """doc_id, text_key (a hash of the text), n_shingles, digest and signature (both null for an empty set); if row, also a struct of all columns."""
+    kind = pa.schema([("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
+    names = ["doc_id", "text_key", *(["row"] if row else [])]
 
     def run(batches):
         for batch in batches:
-            rows = [(len(s), _digest(s), signature(s).tobytes()) if len(s) else (0, None, None) for s in shingle_sets(batch.column(1), shingle)]
-            n, digest, sign = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.record_batch([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], schema=kind)
+            rows = [(len(s), _digest(s), signature(s).tobytes()) if len(s) else (0, None, None) for s in shingle_sets(batch.column("text"), shingle)]
+            found = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {f.name: pa.array(x, f.type) for f, x in zip(kind, found, strict=True)})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, digest binary, signature binary")
+    given = docs.select(*_keys(), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []), F.col("text").cast("string").alias("text"))
+    schema = T.StructType([*given.drop("text").schema, *T._parse_datatype_string("n_shingles long, digest binary, signature binary")])
+    return given.mapInArrow(run, schema)
+
+
+def _keys() -> tuple:
+    """What tells the rows of a text: several may have one doc_id, or none."""
+    return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -131,39 +140,44 @@ def _signatures(column) -> np.ndarray:
 
 
 def member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
-    """doc_id, signature and shingles of the classes named, from the row that stands for each. members: doc_id, digest, signature."""
-    kind = pa.schema([("doc_id", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
+    """node and shingles of the classes named, from a row that stands for each. members: node, doc_id, text_key, digest."""
+    kind = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), shingle))
-            same = [_digest(s) == d for s, d in zip(sets, batch.column(2).to_pylist(), strict=True)]
-            yield pa.record_batch([batch.column(0), batch.column(3), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind).filter(pa.array(same, pa.bool_()))
+            sets = list(shingle_sets(batch.column("text"), shingle))
+            same = [_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
+            yield pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind).filter(pa.array(same, pa.bool_()))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = rows.join(members.select("doc_id", "digest", "signature"), "doc_id").select("doc_id", "text", "digest", "signature")
-    return found.mapInArrow(run, "doc_id long, signature binary, shingles binary").dropDuplicates(["doc_id"])
+    rows = docs.select(*_keys(), F.col("text").cast("string").alias("text"))
+    own = members.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "digest")
+    found = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "digest", "text")
+    return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs a, b that pass sequential comparison and then the exact test."""
+def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b that pass sequential comparison and then the exact test; only survivors of the first meet their sets. signs: node, signature."""
     least = least_matches(percent / 100)
 
-    def run(batches):
+    def compared(batches):
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                left = alive(_signatures(part.column(2)), _signatures(part.column(4)), least)
-                x, y = (part.column(c) for c in (3, 5))
-                keep = [k for k in left.tolist() if similar(np.frombuffer(x[k].as_py(), np.uint64), np.frombuffer(y[k].as_py(), np.uint64), percent)]
-                yield pa.record_batch([part.column(0), part.column(1)], names=["a", "b"]).take(pa.array(keep, pa.int64()))
+            x, y = (_signatures(batch.column(c)) for c in ("sign_a", "sign_b"))
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(alive(x, y, least), pa.int64()))
+
+    def exact(batches):
+        for batch in batches:
+            keep = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), percent) for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True)]
+            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    def of_both(rows, values, name):
+        return rows.join(values.toDF("b", f"{name}_b"), "b").join(values.toDF("a", f"{name}_a"), "a")
 
-    both = pairs.select("a", "b").join(sets.toDF("b", "sign_b", "set_b"), "b").join(sets.toDF("a", "sign_a", "set_a"), "a")
-    return both.select("a", "b", "sign_a", "set_a", "sign_b", "set_b").mapInArrow(run, "a long, b long")
+    left = of_both(pairs.select("a", "b"), signs, "sign").mapInArrow(compared, "a long, b long")
+    return of_both(left, sets, "set").mapInArrow(exact, "a long, b long")
 
 
 def _labelled(bands: DataFrame, components: DataFrame) -> DataFrame:
-    return bands.join(components.toDF("doc_id", "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    return bands.join(components.toDF("node", "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
 
 def _torn(bands: DataFrame, components: DataFrame) -> DataFrame:
@@ -176,10 +190,10 @@ def _torn(bands: DataFrame, components: DataFrame) -> DataFrame:
 
 def _stars(rows: DataFrame, salt: int) -> DataFrame:
     """a, b: in each bucket, one member drawn by hash with every other one. Salted minima first, so a hot bucket is no hot task."""
-    drawn = F.struct(F.xxhash64("doc_id", F.lit(salt), "key").alias("h"), F.col("doc_id"))
-    centres = rows.groupBy("key").agg(F.min(drawn).alias("c")).select("key", F.col("c.doc_id").alias("centre"))
-    pairs = rows.join(centres, "key").where("doc_id <> centre")
-    return pairs.groupBy(F.least("centre", "doc_id").alias("a"), F.greatest("centre", "doc_id").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
+    drawn = F.struct(F.xxhash64("node", F.lit(salt), "key").alias("h"), F.col("node"))
+    centres = rows.groupBy("key").agg(F.min(drawn).alias("c")).select("key", F.col("c.node").alias("centre"))
+    pairs = rows.join(centres, "key").where("node <> centre")
+    return pairs.groupBy(F.least("centre", "node").alias("a"), F.greatest("centre", "node").alias("b")).agg(F.lit(1).alias("one")).select("a", "b")
 
 
 def _across(percent: int):
@@ -191,7 +205,7 @@ def _across(percent: int):
         table = table.combine_chunks()
         band = table.column("band")[0].as_py()
         side = np.array(table.column("stray").to_pylist(), bool)
-        ids, component = (np.array(table.column(c).to_pylist(), np.int64) for c in ("doc_id", "component"))
+        ids, component = (np.array(table.column(c).to_pylist(), np.int64) for c in ("node", "component"))
         signs = _signatures(table.column("signature"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         size = np.array([len(s) for s in sets])
@@ -224,7 +238,7 @@ def _across(percent: int):
     return run
 
 
-def across(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def across(torn: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """a, b: exact links between the components of torn buckets.
 
     Strays, which are outside a bucket's largest component, meet all its members, in groups of at most about STRAYS and MEMBERS
@@ -234,49 +248,69 @@ def across(torn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     parts = lambda rows, limit, shingles: F.greatest(F.lit(1), F.ceil(rows / limit), F.ceil(shingles / GROUP_SHINGLES)).cast("int")
     n_strays, n_members = parts(F.col("size") - F.col("own"), STRAYS, F.col("shingles") - F.col("own_shingles")), parts(F.col("size"), MEMBERS, F.col("shingles"))
     rows = torn.withColumn("n_strays", n_strays).withColumn("n_members", n_members)
-    rows = rows.withColumn("s", F.pmod(F.xxhash64("doc_id", F.lit("s")), "n_strays").cast("int")).withColumn("m", F.pmod(F.xxhash64("doc_id", F.lit("m")), "n_members").cast("int"))
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("node", F.lit("s")), "n_strays").cast("int")).withColumn("m", F.pmod(F.xxhash64("node", F.lit("m")), "n_members").cast("int"))
     to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    as_member = rows.select("key", "band", "doc_id", "component", to("n_strays").alias("s"), "m", F.lit(False).alias("stray"))
-    as_stray = rows.where(stray).select("key", "band", "doc_id", "component", "s", to("n_members").alias("m"), F.lit(True).alias("stray"))
-    return as_member.unionByName(as_stray).join(sets, "doc_id").groupBy("key", "s", "m").applyInArrow(_across(percent), "a long, b long")
+    as_member = rows.select("key", "band", "node", "component", to("n_strays").alias("s"), "m", F.lit(False).alias("stray"))
+    as_stray = rows.where(stray).select("key", "band", "node", "component", "s", to("n_members").alias("m"), F.lit(True).alias("stray"))
+    return as_member.unionByName(as_stray).join(signs, "node").join(sets, "node").groupBy("key", "s", "m").applyInArrow(_across(percent), "a long, b long")
 
 
 def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """node, component of the classes (doc_id, n_shingles, signature, digest) that link with another."""
+    """node, component of the classes (node, doc_id, text_key, n_shingles, signature, digest) that link with another."""
     n_bands, rows = banding(percent / 100)
     keys = F.array(*[F.struct(F.lit(i).alias("band"), F.xxhash64(F.lit(i), F.substring("signature", 1 + 4 * rows * i, 4 * rows)).alias("key")) for i in range(n_bands)])
-    banded = classes.select(F.explode(keys).alias("k"), "doc_id", "n_shingles").select("k.key", "k.band", "doc_id", "n_shingles")
+    banded = classes.select(F.explode(keys).alias("k"), "node", "n_shingles").select("k.key", "k.band", "node", "n_shingles")
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     bands = materialise(banded.join(shared, "key"))
-    sets = materialise(member_sets(docs, classes.join(bands.select("doc_id").distinct(), "doc_id", "left_semi"), shingle))
+    members = classes.join(bands.select("node").distinct(), "node", "left_semi")
+    sets, signs = materialise(member_sets(docs, members, shingle)), classes.select("node", "signature")
 
-    links = materialise(verified(_stars(bands, 0), sets, percent))
+    links = materialise(verified(_stars(bands, 0), signs, sets, percent))
     components = connected_components(links)
     for salt in range(1, STAR_ROUNDS):
-        torn = _torn(bands, components).select("key", "doc_id", "component")
+        torn = _torn(bands, components).select("key", "node", "component")
         more = _stars(torn, salt)
         other = lambda c: components.toDF(c, f"c{c}")
         apart = more.join(other("a"), "a", "left").join(other("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-        links = links.unionByName(materialise(verified(apart, sets, percent)))
+        links = links.unionByName(materialise(verified(apart, signs, sets, percent)))
         components = connected_components(links)
-    links = links.unionByName(materialise(across(_torn(bands, components), sets, percent)))
+    links = links.unionByName(materialise(across(_torn(bands, components), signs, sets, percent)))
     return connected_components(links)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs."""
-    sketches = materialise(sketch(docs, shingle))
-    first = sketches.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("r"))
-    classes = materialise(first.select("digest", "r.*"))
+def _linked(docs: DataFrame, shingle: int, percent: int, row: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows with a row_no; digest and component of the classes; and by component the smallest doc_id and the row_no of its first row."""
+    sketches = materialise(sketch(docs, shingle, row).withColumn("row_no", F.monotonically_increasing_id()))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no", "text_key", "signature"))
+    first = sketches.where("digest is not null").groupBy("digest").agg(least.alias("r"), F.first("n_shingles").alias("n_shingles"))
+    # written once, so a class has one number wherever it is read
+    classes = materialise(first.select("digest", "n_shingles", "r.*", F.monotonically_increasing_id().alias("node")))
     components = link_classes(docs, classes, shingle, percent)
-    of_class = classes.select("digest", "doc_id").join(components.toDF("doc_id", "component"), "doc_id", "left").select("digest", F.coalesce("component", "doc_id").alias("component"))
-    out = sketches.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    of_class = classes.drop("signature").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    heads = of_class.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "row_no")).alias("h")).select("component", F.col("h.doc_id").alias("component_id"), F.col("h.row_no").alias("first_row"))
+    return sketches, of_class.select("digest", "component"), heads
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of docs; of a component's rows exactly one is kept."""
+    sketches, of_class, heads = _linked(docs, shingle, percent)
+    # rows without words get keys of their own, which match nothing: as nulls they would meet in one task
+    key = F.coalesce("digest", F.col("row_no").cast("string").cast("binary"))
+    rows = sketches.select("doc_id", "n_shingles", "row_no", key.alias("digest"), F.col("digest").isNull().alias("empty"))
+    out = rows.join(of_class.join(heads, "component"), "digest", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("empty") | (F.col("first_row") == F.col("row_no"))).alias("kept"))
+
+
+def first_rows(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, whole, that near_duplicates() keeps: one of each component, and all without words."""
+    sketches, _, heads = _linked(docs, shingle, percent, row=True)
+    first = heads.select(F.col("first_row").alias("row_no"), F.lit(True).alias("first"))
+    return sketches.select("row_no", "row", F.col("digest").isNull().alias("empty")).join(first, "row_no", "left").where("empty or first").select("row.*")
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("kept")).alias("kept"))
 
 
 ORACLE = r"""

@@ -1,23 +1,24 @@
 """Personal data by patterns and a skip-chain conditional random field.
 
-Patterns with checks (address octets, Luhn, digit counts) give the base spans. The field then labels the tokens that show
-any evidence (a digit, an @, or the same key as a token that does) with one of the kinds or none:
+Patterns with checks (address octets, Luhn, digit counts) give the base spans, and an assignment to a name like token or password gives secrets. Both are
+observed. The field decides on the tokens that patterns don't recognise but that are alike to an observed one, anywhere in the document:
 
-* node potentials come from the token's shape;
-* chain edges join neighbouring tokens;
-* skip edges join each token to the next one with the same or a similar key (same digits, or same letters and digits whatever the case,
-  or the name of an address), so n alike tokens have n - 1 edges and not n * n.
+* candidates share a key with an observed token: the same digits, the same letters and digits whatever the case and punctuation, or the name of an address; a number
+  may be split by blanks or written in another format;
+* node potentials come from the token's shape; chain edges join neighbouring tokens that show a digit or an @;
+* skip edges join a candidate to the token with its key before it and to the nearest observed one, so n alike tokens have 2 n edges at most and not n * n.
 
-Weights are fitted by pseudo-likelihood, with the base spans as labels, on a bounded sample of documents (`SAMPLE` of at most
-`SAMPLE_BYTES` each). At inference, tokens of base spans are observed and loopy sum-product messages run over all documents of a
-batch at once. A token is added when its marginal reaches `SURE` and a token joined to it by a skip edge has the
-same label: a bare number or name repeated from a recognised one, far from it in the text.
+Weights are fitted by pseudo-likelihood on a bounded sample of documents (`SAMPLE`, and `SAMPLE_BYTES` of text). A repeated observed token is taught once more with its label hidden: it
+shows its coarse shape only, and its neighbours over skip edges have to tell what it is, which is what the gain over a skip edge is learned from. `VIRTUAL` agreeing
+pairs of each kind stand for what is known before. At inference loopy sum-product messages run over one document at a time, so no document's marginals depend on
+others. A token is added when its marginal reaches `SURE` and an observed token joined to it by a skip edge has the same label.
 
-Defined results: a null or empty text has no spans; rows are answered one by one, so ties and repeated rows need no rule; a row without
-doc_id is answered; an empty table gives no rows; columns besides doc_id and text are not read.
+Defined results: a null or empty text has no spans; rows are answered one by one, so ties and repeated rows need no rule; a very long text is held by one task, with
+some hundred bytes for each of its candidates; a row without doc_id is answered; an empty table gives no rows; columns besides doc_id and text are not read.
 """
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from ._shared import carried, found_rows, given_rows, table, text_of
 from ._text import buffers
 
 KINDS = ("email", "ip", "card", "phone")
-LABELS = 1 + len(KINDS)  # 0: none
-SAMPLE, SAMPLE_BYTES = 1000, 32_768
-SURE, ROUNDS = 0.8, 20
-#: The mean of the prior of the gain over a skip edge, and its strength. Few documents repeat what is recognised, so the prior is firm.
-SKIP, FIRM = 6.0, 0.1
+SECRET = "secret"
+NAMES = (*KINDS, SECRET)
+LABELS = 1 + len(NAMES)  # 0: none
+SAMPLE, SAMPLE_BYTES = 1000, 32 << 20
+SURE, ROUNDS, VIRTUAL = 0.8, 20, 4.0
 
 _RUN = re.compile(r"[A-Za-z0-9._%+@-]+")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -41,6 +42,9 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EVIDENCE = re.compile(r"[0-9@]")
+_NUMBERS = re.compile(r"[0-9](?:[\x20()./-]{0,3}[0-9])+")
+#: What is assigned to a name that says so. All repetitions but the last are bounded, so a search is linear in the text.
+_ASSIGNED = re.compile(r"(?:token|secret|key|passw(?:or)?d|pwd|credential)[A-Za-z0-9_]{0,32}[\"']?[\x20\t]{0,8}[:=][\x20\t]{0,8}[\"']?([A-Za-z0-9_+/=-]{16,})", re.I)
 _TRIM = "()[]{}<>\"'.,;:!?"
 
 
@@ -89,7 +93,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-FEATURES = 32
+def secrets(text: str) -> list[tuple[int, int, int]]:
+    """(label - 1, start, end) of assigned values with a digit and a letter."""
+    if "=" not in text and ":" not in text:
+        return []
+    at = [m.span(1) for m in _ASSIGNED.finditer(text)]
+    return [(len(KINDS), a, b) for a, b in at if any("0" <= c <= "9" for c in text[a:b]) and any(c.isalpha() for c in text[a:b])]
+
+
+FEATURES = 31
+#: Of shape(): what a token shows whatever its format.
+COARSE = frozenset({*range(8), 18, 23, 24, 25})
 
 
 def shape(word: str) -> list[int]:
@@ -106,6 +120,7 @@ def shape(word: str) -> list[int]:
     out += [20] * word.startswith("+") + [21] * ("(" in word or ")" in word) + [22] * ("-" in word)
     out.append(23 + (letters > 0) + (letters > digits))
     out += [26] * ("=" in word) + [27] * (not letters and digits + word.count(".") == len(word)) + [28] * (digits == len(word))
+    out += [29] * (len(word) >= 16 and letters > 0 and digits > 0) + [30] * (len(word) >= 16 and all(c in "0123456789abcdefABCDEF" for c in word))
     return out
 
 
@@ -118,201 +133,249 @@ def keys(word: str) -> set[str]:
         found.add(plain)
     if len(digits) >= 7:
         found.add(digits)
-    if "@" in word and len(name := word.partition("@")[0].casefold()) >= 4:
-        found.add("".join(c for c in name if c.isalnum()))
+    if "@" in word and len(name := "".join(c for c in word.partition("@")[0].casefold() if c.isalnum())) >= 5:
+        found.add(name)
     return found
 
 
-class Graph:
-    """Of a batch: spans of its tokens, their documents, features and base labels; chain and skip edges."""
-
-    def __init__(self):
-        self.doc, self.start, self.end, self.features, self.label = [], [], [], [], []
-        self.chain, self.skip = [], []
-
-    def add(self, doc: int, text: str, spans: list[tuple[int, int, int]]) -> None:
-        words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
-        shown = [i for i, (a, b) in enumerate(words) if _EVIDENCE.search(text, a, b)]
-        own = {i: keys(text[slice(*words[i])]) for i in shown}
-        wanted = set().union(*own.values()) if own else set()
-        if wanted:
-            seen = set(shown)
-            for i, (a, b) in enumerate(words):
-                if i not in seen and b - a >= 4 and (k := keys(text[a:b]) & wanted):
-                    own[i] = k
-        kinds = sorted((s, e, k + 1) for k, s, e in spans)
-        at, last, holders, skip = 0, None, {}, {}
-        for i in sorted(own):
-            a, b = words[i]
-            while at < len(kinds) and kinds[at][1] <= a:
-                at += 1
-            near, label = at, 0
-            while not label and near < len(kinds) and kinds[near][0] < b:
-                label = kinds[near][2] * (kinds[near][1] > a)
-                near += 1
-            node = len(self.doc)
-            core = text[a:b].strip(_TRIM) or text[a:b]
-            a += text[a:b].index(core)
-            self.doc.append(doc)
-            self.start.append(a)
-            self.end.append(a + len(core))
-            self.features.append(shape(core))
-            self.label.append(label)
-            if last == i - 1:
-                self.chain.append((node - 1, node))
-            last = i
-            for k in own[i]:
-                if k in holders:
-                    skip[holders[k], node] = True
-                holders[k] = node
-        self.skip += skip
-
-    def matrix(self) -> np.ndarray:
-        x = np.zeros((len(self.doc), FEATURES))
-        for i, f in enumerate(self.features):
-            x[i, f] = 1
+class Document:
+    """Tokens of one text, by place: spans, labels (0 where not observed) and the keys of those alike to another; chain and skip edges between them."""
+
+    def __init__(self, text: str, observed: list[tuple[int, int, int]], evidence: bool):
+        """evidence: with all tokens that show a digit or an @, as for training; else only with candidates and what they touch."""
+        self.text = text
+        taken = sorted((a, b, k + 1) for k, a, b in observed)
+        starts = [a for a, _, _ in taken]
+        reach = np.maximum.accumulate([b for _, b, _ in taken]).tolist() if taken else []
+        free = lambda a, b: not ((i := bisect_left(starts, b)) and reach[i - 1] > a)
+        nodes = {(a, b): (k, keys(text[a:b])) for a, b, k in taken}
+        wanted = set().union(*(k for _, k in nodes.values())) if nodes else set()
+        shown, near = [], {}
+        for i, m in enumerate(_WORD.finditer(text)) if wanted or evidence else ():
+            a, b = m.span()
+            has = _EVIDENCE.search(text, a, b) is not None
+            if not has and b - a < 5:
+                continue
+            core = m[0].strip(_TRIM) or m[0]
+            a += m[0].index(core)
+            b = a + len(core)
+            if not free(a, b):
+                continue
+            own = keys(core)
+            if own & wanted:
+                nodes[a, b] = (0, own)
+            elif has and evidence:
+                nodes[a, b] = (0, own)
+            if has:
+                shown.append((i, a, b))
+                near[a, b] = own
+        digits = {d for k, (label, own) in nodes.items() if label for d in own if d.isdigit()}
+        for m in _NUMBERS.finditer(text) if digits else ():
+            plain = re.sub("[^0-9]", "", m[0])
+            for d in digits:
+                if len(d) <= len(plain) and (at := plain.find(d)) >= 0:
+                    place = [i for i, c in enumerate(m[0], m.start()) if "0" <= c <= "9"]
+                    a, b = place[at], place[at + len(d) - 1] + 1
+                    if free(a, b) and (a, b) not in nodes:
+                        nodes[a, b] = (0, {d})
+        if not evidence:
+            # candidates feel their neighbours too
+            for (i, *x), (j, *y) in zip(shown, shown[1:], strict=False):
+                if j == i + 1 and (tuple(x) in nodes) != (tuple(y) in nodes):
+                    for z in (tuple(x), tuple(y)):
+                        nodes.setdefault(z, (0, near[z]))
+        self.spans = sorted(nodes)
+        self.label = np.array([nodes[s][0] for s in self.spans], np.int64)
+        at = {s: k for k, s in enumerate(self.spans)}
+        self.chain = [(at[tuple(x)], at[tuple(y)]) for (i, *x), (j, *y) in zip(shown, shown[1:], strict=False) if j == i + 1 and tuple(x) in at and tuple(y) in at]
+        by_key: dict[str, list[int]] = {}
+        for k, s in enumerate(self.spans):
+            for key in nodes[s][1]:
+                by_key.setdefault(key, []).append(k)
+        skip = set()
+        for group in by_key.values():
+            seen = [k for k in group if self.label[k]]
+            for before, k in zip(group, group[1:], strict=False):
+                if evidence or not (self.label[before] and self.label[k]):
+                    skip.add((before, k))
+            for k in group if seen else ():
+                if not self.label[k]:
+                    i = bisect_left(seen, k)
+                    other = min(seen[max(0, i - 1) : i + 1], key=lambda x: abs(x - k))
+                    skip.add((min(k, other), max(k, other)))
+        self.skip = sorted(skip)
+
+    def candidates(self) -> np.ndarray:
+        """True where a token isn't observed but joined to an observed one by a skip edge."""
+        out = np.zeros(len(self.spans), bool)
+        for a, b in self.skip:
+            out[a] |= not self.label[a] and self.label[b] > 0
+            out[b] |= not self.label[b] and self.label[a] > 0
+        return out
+
+    def matrix(self, coarse: np.ndarray) -> np.ndarray:
+        """The features of every token; of those of the mask only the coarse ones."""
+        x = np.zeros((len(self.spans), FEATURES))
+        for i, (a, b) in enumerate(self.spans):
+            own = shape(self.text[a:b])
+            x[i, [f for f in own if f in COARSE] if coarse[i] else own] = 1
         return x
 
 
+def _pairs(edges) -> np.ndarray:
+    return np.array(edges, np.int64).reshape(-1, 2)
+
+
 class SkipChain:
     """node: FEATURES x LABELS, chain: LABELS x LABELS, skip: the gain of equal labels over a skip edge."""
 
     def __init__(self):
-        self.node, self.chain, self.skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), SKIP
+        self.node, self.chain, self.skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), 0.0
 
-    def fit(self, g: Graph, steps: int = 300, decay: float = 1e-3) -> "SkipChain":
+    def fit(self, docs: list[Document], steps: int = 300, decay: float = 1e-3) -> "SkipChain":
         """By gradient ascent on the pseudo-likelihood: each label given the token and the labels of its neighbours."""
-        n = len(g.doc)
-        if not n:
-            return self
-        x, y = g.matrix(), np.array(g.label)
+        first = np.concatenate(([0], np.cumsum([len(d.spans) for d in docs]))).astype(np.int64)
         one = np.eye(LABELS)
-        chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in (g.chain, g.skip))
+        y = np.concatenate([d.label for d in docs] + [np.zeros(0, np.int64)])
+        n = len(y)
+        chain, skip = (np.concatenate([_pairs(e) + f for e, f in zip(edges, first, strict=False)] + [_pairs([])]) for edges in ([d.chain for d in docs], [d.skip for d in docs]))
         near = np.zeros((n, LABELS))
         np.add.at(near, skip[:, 0], one[y[skip[:, 1]]])
         np.add.at(near, skip[:, 1], one[y[skip[:, 0]]])
-        # a token alike to a recognised one but not itself recognised is what the field is to decide: it teaches nothing
-        taught = ((y > 0) | (near[:, 1:].sum(1) == 0))[:, None]
-        parts, means = [self.node, self.chain, np.array([SKIP])], [0, 0, SKIP]
-        first, second = ([np.zeros_like(p) for p in parts] for _ in range(2))
+        # what is alike to an observed token but not observed is what the field is to decide: it teaches nothing
+        taught = (y > 0) | (near[:, 1:].sum(1) == 0)
+        hidden = np.flatnonzero(taught & (near.sum(1) > 0))
+        full = np.concatenate([d.matrix(np.zeros(len(d.spans), bool)) for d in docs] + [np.zeros((0, FEATURES))])
+        coarse = full * np.isin(np.arange(FEATURES), list(COARSE))
+        virtual = np.arange(1, LABELS)
+        bias = np.zeros((len(virtual), FEATURES))
+        bias[:, 0] = 1
+        # rows: every token as it is, repeated ones with their labels hidden, virtual pairs
+        x, y_all, near_all = np.concatenate([full, coarse[hidden], bias]), np.concatenate([y, y[hidden], virtual]), np.concatenate([near, near[hidden], one[virtual]])
+        weight = np.concatenate([taught / max(1, n), np.ones(len(hidden)) / (len(hidden) + VIRTUAL * len(virtual)), np.full(len(virtual), VIRTUAL) / (len(hidden) + VIRTUAL * len(virtual))])[:, None]
+        parts = [self.node, self.chain, np.zeros(1)]
+        m, v = ([np.zeros_like(p) for p in parts] for _ in range(2))
         for t in range(1, steps + 1):
-            logits = x @ parts[0] + parts[2][0] * near
+            logits = x @ parts[0] + parts[2][0] * near_all
             np.add.at(logits, chain[:, 1], parts[1][y[chain[:, 0]]])
             np.add.at(logits, chain[:, 0], parts[1][:, y[chain[:, 1]]].T)
             p = np.exp(logits - logits.max(1, keepdims=True))
-            rest = (one[y] - p / p.sum(1, keepdims=True)) * taught
+            rest = (one[y_all] - p / p.sum(1, keepdims=True)) * weight
             pair = np.zeros_like(parts[1])
             np.add.at(pair, y[chain[:, 0]], rest[chain[:, 1]])
             np.add.at(pair.T, y[chain[:, 1]], rest[chain[:, 0]])
-            slopes = [x.T @ rest / n, pair / n, np.array([(rest * near).sum() / n])]
-            for part, slope, m, v, mean in zip(parts, slopes, first, second, means, strict=True):
-                slope -= (FIRM if mean else decay) * (part - mean)
-                m += 0.1 * (slope - m)
-                v += 0.01 * (slope**2 - v)
-                part += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+            for k, slope in enumerate((x.T @ rest, pair, np.array([(rest * near_all).sum()]))):
+                slope = slope - decay * parts[k]
+                m[k] += 0.1 * (slope - m[k])
+                v[k] += 0.01 * (slope**2 - v[k])
+                parts[k] += 0.1 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-8)
         self.node, self.chain, self.skip = parts[0], parts[1], float(max(0.0, parts[2][0]))
         return self
 
-    def marginals(self, g: Graph, rounds: int = ROUNDS) -> np.ndarray:
-        """Beliefs after loopy sum-product with the base labels observed."""
-        n, label = len(g.doc), np.array(g.label)
-        unary = g.matrix() @ self.node
-        unary[label > 0] = -1e3
-        unary[np.flatnonzero(label), label[label > 0]] = 0
-        chain, skip = (np.array(e, np.int64).reshape(-1, 2) for e in (g.chain, g.skip))
+    def marginals(self, d: Document, rounds: int = ROUNDS) -> np.ndarray:
+        """Beliefs after loopy sum-product with the labels of observed tokens given."""
+        unary = d.matrix(d.candidates()) @ self.node
+        given = np.flatnonzero(d.label)
+        unary[given] = -1e3
+        unary[given, d.label[given]] = 0
+        chain, skip = _pairs(d.chain), _pairs(d.skip)
+        c, e = len(chain), len(chain) + len(skip)
         one = np.concatenate([chain, skip])
         source, target = np.concatenate([one[:, 0], one[:, 1]]), np.concatenate([one[:, 1], one[:, 0]])
-        e = len(one)
         back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-        alike = self.skip * np.eye(LABELS)
-        psi = np.empty((2 * e, LABELS, LABELS))
-        psi[: len(chain)], psi[e : e + len(chain)] = self.chain, self.chain.T
-        psi[len(chain) : e], psi[e + len(chain) :] = alike, alike
+        of_skip = np.concatenate([np.arange(2 * e) % e >= c]) if e else np.zeros(0, bool)
+        forward, backward = np.exp(self.chain), np.exp(self.chain.T)
         message = np.zeros((2 * e, LABELS))
         for _ in range(rounds if e else 0):
             belief = unary.copy()
             np.add.at(belief, target, message)
-            out = (belief[source] - message[back])[:, :, None] + psi
-            top = out.max(1)
-            new = top + np.log(np.exp(out - top[:, None]).sum(1))
+            out = belief[source] - message[back]
+            out = np.exp(out - out.max(1, keepdims=True))
+            new = out.sum(1, keepdims=True) + np.expm1(self.skip) * out
+            new[:c], new[e : e + c] = out[:c] @ forward, out[e : e + c] @ backward
+            new = np.log(np.maximum(new, 1e-300))
             new -= new.max(1, keepdims=True)
             change = np.abs(new - message).max()
             message = 0.5 * message + 0.5 * new
-            if change < 1e-4:
+            if change < 1e-6:
                 break
         belief = unary.copy()
         np.add.at(belief, target, message)
-        belief -= belief.max(1, keepdims=True)
-        p = np.exp(belief)
+        p = np.exp(belief - belief.max(1, keepdims=True))
         return p / p.sum(1, keepdims=True)
 
-    def added(self, g: Graph, sure: float = SURE):
-        """(doc, kind, start, end) of the tokens that the field adds."""
-        p = self.marginals(g)
-        best, label = p.argmax(1), np.array(g.label)
-        held = np.zeros(len(best), bool)
-        for a, b in g.skip:
-            if best[a] == best[b]:
-                held[a] = held[b] = True
-        for i in np.flatnonzero((label == 0) & (best > 0) & held & (p.max(1) >= sure)):
-            yield g.doc[i], int(best[i]) - 1, g.start[i], g.end[i]
+    def added(self, d: Document, sure: float = SURE) -> list[tuple[int, int, int]]:
+        """(label - 1, start, end) of the tokens that the field adds; of two that overlap the surer one."""
+        if not d.candidates().any():
+            return []
+        p = self.marginals(d)
+        best, top = p.argmax(1), p.max(1)
+        held = {k for a, b in d.skip for k, o in ((a, b), (b, a)) if not d.label[k] and d.label[o] and best[k] == d.label[o] and top[k] >= sure}
+        out: list[tuple[int, int, int]] = []
+        last = 0
+        for k in sorted(held, key=lambda k: (d.spans[k][0], -top[k])):
+            a, b = d.spans[k]
+            if a >= last:
+                out.append((int(best[k]) - 1, a, b))
+                last = b
+        return sorted(out)
 
 
 def train(docs: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> SkipChain:
-    """A field fitted on at most `size` documents with evidence, none longer than `most_bytes`; the base spans are the labels."""
-    text, order = F.col("text").cast("string"), F.xxhash64("doc_id")
-    some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(text.rlike("[0-9@]") & (F.octet_length("text") <= most_bytes))
-    # only hashes go to the driver from every task, then the texts of the chosen documents
-    last = some.select(order.alias("h")).orderBy("h").limit(size).agg(F.max("h")).first()[0]
-    some = some.where(order <= F.lit(last if last is not None else 0))
-    g = Graph()
-    for k, row in enumerate(some.orderBy(order, "doc_id", "text").limit(size).collect()):
-        g.add(k, row.text, base_spans(row.text))
-    return SkipChain().fit(g)
+    """A field fitted on the first documents with evidence by a hash of their ids: at most `size`, and those after `most_bytes` of text are left out."""
+    text = F.col("text").cast("string")
+    some = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.xxhash64(text).alias("t"), text.alias("text")).where(text.rlike("[0-9@]"))
+    # only hashes and sizes go to the driver from every task, then the texts of the chosen documents
+    total, last = 0, None
+    for r in some.select("h", "t", F.octet_length("text").alias("size")).orderBy("h", "t").limit(size).collect():
+        total += r["size"]
+        if last is not None and total > most_bytes:
+            break
+        last = (r.h, r.t)
+    if last is None:
+        return SkipChain().fit([])
+    chosen = some.where(F.struct("h", "t") <= F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).alias("t"))).dropDuplicates(["h", "t"])
+    return SkipChain().fit([Document(r.text, base_spans(r.text) + secrets(r.text), True) for r in chosen.orderBy("h", "t").collect()])
+
+
+def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:
+    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first one counts."""
+    out, at = [], 0
+    for a, b, k in sorted((a, b, k) for k, a, b in spans):
+        if a >= at:
+            out += [text[at:a], f"<{NAMES[k]}>"]
+        at = max(at, b)
+    return "".join([*out, text[at:]])
 
 
 def find(docs: DataFrame, model: SkipChain | None = None, row: bool = False) -> DataFrame:
-    """doc_id, text, base and spans (arrays of kind, start and end) of every row; if row, a struct of all its columns and the two arrays."""
+    """doc_id, base, spans and secrets (arrays of kind, start and end) of every row, and redacted, the text with all of them replaced, null if there are none; if row, a struct of all columns instead of doc_id."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model or train(docs))
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-    named = lambda s: [{"kind": KINDS[k], "start": a, "end": b} for k, a, b in s]
+    named = lambda s: [{"kind": NAMES[k], "start": a, "end": b} for k, a, b in s]
 
     def run(batches):
         evidence = np.zeros(256, bool)
         evidence[[*range(0x30, 0x3A), 0x40]] = True
         for batch in batches:
             data, offsets = buffers(text_of(batch))
-            total = np.concatenate(([0], np.cumsum(evidence[data], dtype=np.int64)))
-            g, base = Graph(), {}
-            for k in np.flatnonzero(np.diff(total[offsets])):
+            own = data[offsets[0] : offsets[-1]]
+            total = np.concatenate(([0], np.cumsum(evidence[own], dtype=np.int64)))
+            base, spans, hidden = ([[] for _ in range(batch.num_rows)] for _ in range(3))
+            changed: list = [None] * batch.num_rows
+            for k in np.flatnonzero(np.diff(total[offsets - offsets[0]])).tolist():
                 text = data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")
-                base[k] = base_spans(text)
-                g.add(int(k), text, base[k])
-            more: dict[int, list] = {}
-            if g.doc:
-                for doc, label, a, b in shared.value.added(g):
-                    more.setdefault(doc, []).append((label, a, b))
-            rows = [named(base.get(k, ())) for k in range(batch.num_rows)]
-            every = [named(sorted(base[k] + more[k])) if k in more else rows[k] for k in range(batch.num_rows)]
-            yield pa.RecordBatch.from_pydict(carried(batch) | {"base": pa.array(rows, span), "spans": pa.array(every, span)})
+                found, values = base_spans(text), secrets(text)
+                more = shared.value.added(Document(text, found + values, False)) if found or values else []
+                every = sorted(found + [x for x in more if x[0] < len(KINDS)])
+                values = sorted(values + [x for x in more if x[0] == len(KINDS)])
+                base[k], spans[k], hidden[k] = named(found), named(every), named(values)
+                changed[k] = redacted(text, every + values) if every or values else None
+            yield pa.RecordBatch.from_pydict(carried(batch) | {"base": pa.array(base, span), "spans": pa.array(spans, span), "secrets": pa.array(hidden, span), "redacted": pa.array(changed, pa.string())})
 
     kinds = "array<struct<kind: string, start: long, end: long>>"
-    return given_rows(docs, row).mapInArrow(run, found_rows(f"base {kinds}, spans {kinds}", docs, row))
-
-
-def redacted(text, spans):
-    """Column: text with every span replaced by its kind in angle brackets; of overlapping spans the first one counts."""
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("at"), F.lit("").alias("out"))
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def step(a, s):
-        gap = F.substr(text, (a["at"] + 1).cast("int"), F.greatest(zero, s["start"] - a["at"]).cast("int"))
-        put = F.concat(a["out"], gap, F.lit("<"), s["kind"], F.lit(">"))
-        return F.when(s["start"] >= a["at"], F.struct(s["end"].alias("at"), put.alias("out"))).otherwise(F.struct(F.greatest(a["at"], s["end"]).alias("at"), a["out"].alias("out")))
-
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(ordered, start, step, lambda a: F.concat(a["out"], F.substr(text, (a["at"] + 1).cast("int")))))
+    return given_rows(docs, row).mapInArrow(run, found_rows(f"base {kinds}, spans {kinds}, secrets {kinds}, redacted string", docs, row))
 
 
 def listed(spans):
@@ -328,4 +391,8 @@ def number(spans, kind: str):
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents"))
     counts = [number(F.col("base"), k).alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+    size = lambda c: F.size(c).cast("long")
+    return found.select(
+        "doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
+        (size("spans") - size("base")).alias("n_added"), listed(F.col("secrets")).alias("secrets"), (size("spans") + size("secrets")).alias("n_found"),
+    )

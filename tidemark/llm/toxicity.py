@@ -9,12 +9,12 @@ called negative, the risk is
 where the second term estimates the negatives' risk; where a batch takes it below zero, the step goes against it
 instead, so the classifier can't gain by fitting single unlabelled documents.
 
-The classifier is fitted on a bounded sample: the `POSITIVES` confirmed and `UNLABELLED` other documents with the smallest hashes of
-their ids, none of over `SAMPLE_BYTES`. The prior is the share of toxic rows among all labelled ones that may be used.
+The classifier is fitted on a bounded sample: the `POSITIVES` confirmed and `UNLABELLED` other rows with the smallest hashes of
+their ids, as far as `SAMPLE_BYTES` of text in each group, whatever the length of a single text. The prior is the share of toxic rows among all labelled ones that may be used.
 A model has 2**`BITS` weights, whatever the corpus, and is sent to all tasks; every whole text is scored by its
 distinct words and word beginnings.
 
-Defined results: a null or empty text gets the score of no words; repeated rows are each answered; a row without doc_id is held
+Defined results: a null or empty text gets the score of no words; a very long text has the score of all its words and is held by one task, a few bytes for each of its bytes; repeated rows are each answered; a row without doc_id is held
 out and scored; without usable positives every score is the prior; several labels of a document count as toxic if one does; an empty table
 gives no rows; columns besides doc_id and text, or doc_id and toxic, are not read.
 """
@@ -24,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import carried, fold, found_rows, given_rows, small_batches, table, text_of
+from ._shared import carried, fold, found_rows, given_rows, table, text_of
 from ._text import ALNUM, Words, blocks
 
 BITS = 18
-POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 9000, 32_768
+POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 9000, 64 << 20
 #: Bytes of the word beginnings that are features.
 HEADS = (4, 5, 6)
 #: A feature counts if so many sampled documents have it, and if its shares in the two groups differ by so many standard errors.
@@ -112,40 +112,47 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return model
 
 
-def _sampled(docs: DataFrame, chosen: DataFrame, most: int) -> list[np.ndarray]:
-    """The features of the documents whose ids are in the bounded table chosen; of rows with repeated ids no more than `most`."""
-    kind = pa.schema([("doc_id", pa.int64()), ("features", pa.binary())])
+def _sampled(rows: DataFrame, most: int, most_bytes: int) -> list[np.ndarray]:
+    """The features of the first rows by a hash of their ids: at most `most` rows, and those after `most_bytes` of text are left out."""
+    kind = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("features", pa.binary())])
 
     def run(batches):
         for batch in batches:
-            found = [f.astype(np.uint32).tobytes() for f in features(batch.column(1))]
-            yield pa.record_batch([batch.column(0), pa.array(found, pa.binary())], schema=kind)
-
-    rows = docs.join(F.broadcast(chosen), "doc_id", "left_semi").mapInArrow(run, "doc_id long, features binary").limit(most)
-    return [np.frombuffer(r[1], np.uint32).astype(np.int64) for r in sorted(rows.collect())]
+            found = [f.astype(np.uint32).tobytes() for f in features(batch.column("text"))]
+            yield pa.record_batch([batch.column("h"), batch.column("doc_id"), pa.array(found, pa.binary())], schema=kind)
+
+    # of rows with one id those with the least text hash come first; hashes and sizes alone are ordered
+    order = ["h", "doc_id", "t"]
+    hashed = rows.withColumns({"h": F.xxhash64("doc_id"), "t": F.xxhash64("text")})
+    first = hashed.select(*order, F.octet_length("text").alias("size")).orderBy(*order).limit(most).collect()
+    total, last = 0, None
+    for r in first:
+        total += r["size"]
+        if last is not None and total > most_bytes:
+            break
+        last = (r.h, r.doc_id, r.t)
+    if last is None:
+        return []
+    at = F.struct(*order)
+    chosen = hashed.where(at <= F.struct(*[F.lit(x).alias(c) for x, c in zip(last, order, strict=True)]))
+    # a row that is repeated teaches once
+    chosen = chosen.dropDuplicates(order)
+    return [np.frombuffer(r.features, np.uint32).astype(np.int64) for r in sorted(chosen.mapInArrow(run, "h long, doc_id long, features binary").collect())]
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_bytes: int = SAMPLE_BYTES) -> Linear:
     """usable: from a doc_id column, a column that is true where a document may be learned from."""
-    small_batches(docs.sparkSession)
-    order = F.xxhash64("doc_id")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(usable(F.col("doc_id")) & F.col("toxic").isNotNull())
     marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     text = F.col("text").cast("string")
-    all_rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = all_rows.where(usable(F.col("doc_id")) & (F.octet_length("text") <= most_bytes))
-
-    def first(ids, n):
-        # ids alone are chosen, and ties of a hash are cut by the id
-        return ids.select("doc_id").orderBy(order, "doc_id").limit(n)
-
-    toxic = _sampled(rows, first(marks.where("toxic = 1"), positives), 2 * positives)
-    return fit(toxic, _sampled(rows, first(rows.select("doc_id").distinct(), unlabelled), 2 * unlabelled), prior) if toxic else Linear(prior)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(usable(F.col("doc_id")) & text.isNotNull())
+    toxic = _sampled(rows.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives, most_bytes)
+    return fit(toxic, _sampled(rows, unlabelled, most_bytes), prior) if toxic else Linear(prior)
 
 
 def score(docs: DataFrame, model: Linear, row: bool = False) -> DataFrame:
-    """doc_id, text and score of every row; if row, a struct of all its columns and the score."""
+    """doc_id and score of every row; if row, a struct of all its columns and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
