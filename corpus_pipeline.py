@@ -1,9 +1,13 @@
 """The training-data pipeline: five operators over the documents, each over all that the one before kept.
 
 toxicity -> MinHash near-dedup -> benchmark decontamination -> PII -> packing. The first four return the columns of documents.
+
+Defined results of all stages: a null or empty text is clean, kept and packed as its end mark; very long texts are treated whole; repeated rows, several texts of one
+doc_id and rows without a doc_id are rows like others: none is dropped but by a stage's own decision, and near-dedup keeps one row of each group, whatever the ids in it; among rows that
+tie for it any one; an empty table gives no rows; columns besides those of documents are carried along.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, minhash, packing, pii, toxicity
@@ -22,27 +26,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, that with the smallest id; rows without an id stay."""
-    found = minhash.near_duplicates(docs, SHINGLE, PERCENT)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, that with the smallest id; rows without words stay."""
+    return minhash.first_rows(docs, SHINGLE, PERCENT)
+
+
+def _replaced(row: Column, text: Column, docs: DataFrame) -> Column:
+    """The row with the new text, where there is one, and n_chars after it."""
+    out = row.withField("text", F.coalesce(text, row["text"]))
+    if "n_chars" in docs.columns:
+        size = F.char_length(text).cast(docs.schema["n_chars"].dataType)
+        out = out.withField("n_chars", F.coalesce(size, row["n_chars"]))
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which the benchmark covers a twentieth or more go."""
+    """Documents of which the benchmark covers a twentieth or more go; from the others, spans of thirteen benchmark words or more are cut out."""
     found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), row=True)
-    return found.where(~F.col("contaminated")).select("row.*")
+    kept = decontaminate.without_spans(found.where(~F.col("contaminated")))
+    return kept.select(_replaced(F.col("row"), F.col("cleaned"), docs).alias("row")).select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document stays; personal data in its text becomes its kind in angle brackets, and n_chars follows."""
+    """Every document stays; personal data and secrets in its text become their kinds in angle brackets."""
     found = pii.find(docs, row=True)
-    changed = F.size("spans") > 0
-    row = F.col("row").withField("text", F.when(changed, pii.redacted(F.col("row.text"), F.col("spans"))).otherwise(F.col("row.text")))
-    if "n_chars" in docs.columns:
-        size = F.char_length(row["text"]).cast(docs.schema["n_chars"].dataType)
-        row = row.withField("n_chars", F.when(changed, size).otherwise(F.col("row.n_chars")))
-    return found.select(row.alias("row")).select("row.*")
+    return found.select(_replaced(F.col("row"), F.col("redacted"), docs).alias("row")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +68,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages over documents, each written and read again before the next."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
+        docs = materialise(stage(spark, docs, sf_dir), *before)
+        before = [docs]
     return docs
 
 
