@@ -7,12 +7,12 @@ Under the empty context all symbols not seen at all are alike. A document begins
 of texts sum to one.
 
 The trie is never in one place. A context is a run of bytes read backwards, so sorted keys (context backwards, symbol) are the
-trie, and all contexts that end in the same two bytes are one owner's. Blocks of documents send the owners their
+trie, and all contexts that end in the same two bytes are one owner's, to whom each comes once, merged from many blocks. Blocks of documents send the owners their
 distinct keys and counts, and get the log probability of every key back (see exchange.py). The owners share one small table, of pairs of
 bytes, of at most 65,536 counts. Words are counted in the same way, by ranges of their hashes; two words share
 a 64-bit hash with a probability of 5e-20.
 
-Defined results: a null or empty text is the end alone; repeated rows each count and are each answered; a row without doc_id is
+Defined results: a null or empty text is the end alone; a very long text is held by one task, some tens of bytes for each of its bytes; repeated rows each count and are each answered; a row without doc_id is
 held out; without training documents all symbols are alike; an empty table gives no rows; columns besides doc_id and text are
 not read.
 """
@@ -23,16 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import fold, materialise, table
-from ._text import LOWER, Words, blocks, mix, pack, pack_sorted, unpack, unpack_sorted
-from .exchange import block_count, by_range, from_small, in_blocks, small
+from ._text import LOWER, Words, blocks, mix
+from .exchange import SENT, Work, answers_of, block_count, exchange, in_blocks, levels, runs, sums
+from .exchange import table as table_of
 
 ORDER = 5
 END = 0xFF  # no byte of UTF-8
 PAIRS = 1 << 16
 _END_WORD = np.uint64(0x5851F42D4C957F2D)
 
-SENT = "kind int, owner int, block int, keys binary, counts binary"
-ANSWER = "kind int, owner int, block int, answer binary, tokens long, distinct long"
+WORDS, CONTEXTS = 0, 1
 SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, base_log double, score double"
 
 
@@ -114,16 +114,6 @@ class Short:
         return out
 
 
-def _sums(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct keys and the sums of their counts."""
-    if not len(keys):
-        return keys, counts
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return keys[first], np.add.reduceat(counts, first)
-
-
 def ppm(keys: np.ndarray, counts: np.ndarray, order: int, short: Short) -> np.ndarray:
     """Log10 probability of every key (sorted, distinct; all keys of their contexts' last two bytes are here); a count may be 0."""
     symbol = np.uint64(0xFF)
@@ -136,7 +126,7 @@ def ppm(keys: np.ndarray, counts: np.ndarray, order: int, short: Short) -> np.nd
         if length < order:
             # one byte less of context: drop it from between the context and the symbol
             longer = level_keys
-            level_keys, level_counts = _sums(((level_keys >> np.uint64(16)) << np.uint64(8)) | (level_keys & symbol), level_counts)
+            level_keys, level_counts = sums(((level_keys >> np.uint64(16)) << np.uint64(8)) | (level_keys & symbol), level_counts)
         contexts = level_keys >> np.uint64(8)
         if len(contexts):
             first = np.flatnonzero(np.concatenate(([True], contexts[1:] != contexts[:-1])))
@@ -186,83 +176,54 @@ def ppm(keys: np.ndarray, counts: np.ndarray, order: int, short: Short) -> np.nd
     return out
 
 
-def _owner_of(keys: np.ndarray, order: int, owners: int) -> np.ndarray:
-    return (mix(keys >> np.uint64(8 * (order - 1))) % np.uint64(owners)).astype(np.int64)
+def _work(order: int, short) -> Work:
+    """Words are answered with their counts, keys of contexts with log probabilities. All contexts that end in the same two bytes have one owner."""
+
+    def address(kind: int, keys: np.ndarray) -> np.ndarray:
+        return mix(keys >> np.uint64(8 * (order - 1))) if kind == CONTEXTS else keys
+
+    def reply(kind: int, keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        return ppm(keys, counts, order, short.value) if kind == CONTEXTS else counts
+
+    return Work(reply, {WORDS: np.uint64, CONTEXTS: np.float32}, address)
 
 
 class Block:
-    """What a block of documents counts: sorted distinct words and context keys, with the places of each owner's share."""
+    """What a block of documents counts: sorted distinct words and context keys, and how often they occur in its training documents."""
 
-    def __init__(self, docs: pa.Table, order: int, owners: int, counted: bool):
+    def __init__(self, docs: pa.Table, order: int, counted: bool):
         trained = ~np.array(docs.column("held_out").to_pylist(), bool)
         words, word_counts, keys, key_counts = [], [], [], []
         for a, b, data, offsets in blocks(docs.column("text")):
             w = Words(data, offsets, lower=True)
             marked, marks = with_marks(data, offsets)
             k = context_keys(marked, marks, order)
-            for parts, sums, values, own in (
+            for parts, numbers, values, own in (
                 (words, word_counts, w.hash, trained[a:b][w.doc]),
                 (keys, key_counts, k, np.repeat(trained[a:b], np.diff(marks))),
             ):
-                every = self._runs(np.sort(values))
+                every = runs(np.sort(values))
                 parts.append(every[0])
                 if counted:
-                    mine = self._runs(np.sort(values[own]))
+                    mine = runs(np.sort(values[own]))
                     n = np.zeros(len(every[0]), np.int64)
                     n[np.searchsorted(every[0], mine[0])] = mine[1]
-                    sums.append(n)
+                    numbers.append(n)
                 else:
-                    sums.append(every[1])
+                    numbers.append(every[1])
         n = docs.num_rows
         words.append(np.array([_END_WORD]))
         word_counts.append(np.array([trained.sum()]) if counted else np.array([n]))
-        self.words, self.word_counts = _sums(np.concatenate(words), np.concatenate(word_counts))
-        self.keys, self.key_counts = _sums(np.concatenate(keys), np.concatenate(key_counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        self.word_parts = by_range(self.words, owners)
-        owner = _owner_of(self.keys, order, owners)
-        self.key_order = np.argsort(owner, kind="stable")
-        self.key_edges = np.searchsorted(owner[self.key_order], np.arange(owners + 1))
-
-    @staticmethod
-    def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(values):
-            return values, np.zeros(0, np.int64)
-        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        return values[first], np.diff(np.append(first, len(values)))
+        self.words, self.word_counts = sums(np.concatenate(words), np.concatenate(word_counts))
+        self.keys, self.key_counts = sums(np.concatenate(keys), np.concatenate(key_counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def key_part(self, k: int) -> np.ndarray:
-        return self.key_order[self.key_edges[k] : self.key_edges[k + 1]]
 
+def _send(order: int, parts: int):
+    work = _work(order, None)
 
-def _send(order: int, owners: int):
     def run(docs: pa.Table) -> pa.Table:
-        x, block = Block(docs, order, owners, True), docs.column("block")[0].as_py()
-        rows = [(0, k, block, pack_sorted(x.words[s]), small(x.word_counts[s])) for k, s in enumerate(x.word_parts) if s.stop > s.start]
-        rows += [(1, k, block, pack_sorted(x.keys[p]), small(x.key_counts[p])) for k in range(owners) if len(p := x.key_part(k))]
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["kind", "owner", "block", "keys", "counts"])
-
-    return run
-
-
-def _answer(order: int, short):
-    """Of one owner: the count of every word, or the log probability of every key, to each block in its order; and sums."""
-
-    def run(sent: pa.Table) -> pa.Table:
-        kind, block = sent.column("kind")[0].as_py(), sent.column("block").to_pylist()
-        inbox = [unpack_sorted(x, np.uint64) for x in sent.column("keys").to_pylist()]
-        keys, counts = _sums(np.concatenate(inbox), np.concatenate([from_small(x) for x in sent.column("counts").to_pylist()]))
-        if kind:
-            found = ppm(keys, counts, order, short.value)
-            answers = [pack(found[np.searchsorted(keys, v)].astype(np.float32)) for v in inbox]
-        else:
-            answers = [pack(counts[np.searchsorted(keys, v)].astype(np.uint64)) for v in inbox]
-        n = len(block)
-        once = np.zeros((2, n), np.int64)
-        once[:, 0] = (counts.sum(), np.count_nonzero(counts)) if not kind else (0, 0)
-        return pa.table(
-            [sent.column("kind"), sent.column("owner"), pa.array(block, pa.int32()), pa.array(answers, pa.binary()), pa.array(once[0]), pa.array(once[1])],
-            names=["kind", "owner", "block", "answer", "tokens", "distinct"],
-        )
+        x, block = Block(docs, order, True), docs.column("block")[0].as_py()
+        return table_of(work.messages(WORDS, x.words, x.word_counts, parts, block) + work.messages(CONTEXTS, x.keys, x.key_counts, parts, block), SENT)
 
     return run
 
@@ -287,20 +248,15 @@ class Lookup:
         return self.values[at]
 
 
-def _score(order: int, owners: int):
-    names = [x.split()[0] for x in SCORED.split(", ")]
+def _score(order: int, parts: int):
+    names, work = [x.split()[0] for x in SCORED.split(", ")], _work(order, None)
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())], names=names)
-        x = Block(docs, order, owners, False)
-        counts, logs = np.zeros(len(x.words), np.int64), np.zeros(len(x.keys))
-        for kind, owner, answer in zip(*(found.column(c).to_pylist() for c in ("kind", "owner", "answer")), strict=True):
-            if kind:
-                logs[x.key_part(owner)] = unpack(answer, np.float32)
-            else:
-                counts[x.word_parts[owner]] = unpack(answer, np.uint64).astype(np.int64)
-        of_word, of_key = Lookup(x.words, counts), Lookup(x.keys, logs)
+        x = Block(docs, order, False)
+        counts, logs = (work.gathered(kind, keys, parts, answers_of(found, kind)) for kind, keys in ((WORDS, x.words), (CONTEXTS, x.keys)))
+        of_word, of_key = Lookup(x.words, counts.astype(np.int64)), Lookup(x.keys, logs.astype(np.float64))
         end = int(of_word(np.array([_END_WORD]))[0])
         columns: list[list] = [[], [], [], []]
         for _, _, data, offsets in blocks(docs.column("text")):
@@ -331,12 +287,13 @@ def score(docs: DataFrame, held_out, order: int = ORDER) -> DataFrame:
     held_out = F.coalesce(held_out, F.lit(True))
     short = spark.sparkContext.broadcast(Short(pair_counts(docs.where(~held_out))))
     n = block_count(docs)
+    parts = levels(n)[0]
     rows = in_blocks(docs, n, held_out.alias("held_out"))
-    sent = rows.groupBy("block").applyInArrow(_send(order, n), SENT)
-    answers = materialise(sent.groupBy("kind", "owner").applyInArrow(_answer(order, short), ANSWER))
-    tokens, distinct = answers.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    to_block = answers.select("kind", "owner", "block", "answer")
-    scored = rows.groupBy("block").cogroup(to_block.groupBy("block")).applyInArrow(_score(order, n), SCORED)
+    found, owned = exchange(rows.groupBy("block").applyInArrow(_send(order, parts), SENT), n, _work(order, short))
+    if found is owned:
+        found = owned = materialise(found)
+    tokens, distinct = owned.where(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
+    scored = rows.groupBy("block").cogroup(found.select("kind", "part", "source", "answer").groupBy("source")).applyInArrow(_score(order, parts), SCORED)
     base = F.col("base_log") - F.col("n_tokens") * F.log10(F.lit(float(tokens) + 0.5 * (distinct + 1)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
 

@@ -13,7 +13,7 @@ non-overlapping blocking, wherever it starts. So:
 So a group of copies of any size is never paired. Probes use the upper 48 bits of a hash, which can only add work to step 3; its
 windows are compared by 64-bit hashes, of which two different ones are equal with a probability of 5e-20.
 
-Defined results: a null or empty text has no words; repeated rows repeat each other's windows, so both lose them; a row without doc_id
+Defined results: a null or empty text has no words; a very long text is held by one task, some tens of bytes for each word; repeated rows repeat each other's windows, so both lose them; a row without doc_id
 takes part; an empty table gives no rows; columns besides doc_id and text are not read.
 """
 
@@ -23,25 +23,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import table
-from ._text import Words, blocks, gram_starts, grams, pack_sorted, unpack_sorted
-from .exchange import block_count, by_range, in_blocks
+from ._text import Words, blocks, gram_starts, grams
+from .exchange import SENT, Work, block_count, echoed, exchange, in_blocks, levels, runs, sums
+from .exchange import table as table_of
 
 WINDOW = 35
 _TOP = np.uint64(0xFFFFFFFFFFFF0000)
 
-SENT = "owner int, block int, values binary, many binary, anchors binary"
-ANSWER = "block int, values binary"
 KEPT = "doc_id long, n_words long, n_removed long, kept string"
 
 
-def _bits(mask: np.ndarray) -> bytes:
-    return np.packbits(mask).tobytes()
-
-
-def _mask(blob: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(blob, np.uint8), count=n).astype(bool)
-
-
 def _is_in(x: np.ndarray, values: np.ndarray) -> np.ndarray:
     """values: sorted."""
     if not len(values) or not len(x):
@@ -61,42 +52,30 @@ def _anchors(w: Words, size: int) -> np.ndarray:
     return np.flatnonzero((place[: len(whole)] % size == 0) & whole)
 
 
-def _column(found: pa.Table, name: str) -> list:
-    return found.column(name).to_pylist() if found.num_rows else []
+def _again(kind: int, values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Whether a value occurs more than once, in whatever blocks."""
+    return counts % ASKED > 1
 
 
-def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The sorted distinct values, and which of them occur more than once."""
-    values = np.sort(np.concatenate([*parts, np.zeros(0, np.uint64)]))
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
-    at = np.flatnonzero(new)
-    return values[at], np.diff(np.append(at, len(values))) > 1
-
+def _union(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of several lists: two occurrences are as good as any number, and who asks is known at home."""
+    values, n = sums(values, counts % ASKED)
+    return values, np.minimum(n, 2)
 
-def _messages(block: int, values: np.ndarray, many: np.ndarray, asked: np.ndarray, owners: int) -> pa.Table:
-    rows = [(k, block, pack_sorted(values[s]), _bits(many[s]), _bits(asked[s])) for k, s in enumerate(by_range(values, owners)) if s.stop > s.start]
-    kinds = [("owner", pa.int32()), ("block", pa.int32()), ("values", pa.binary()), ("many", pa.binary()), ("anchors", pa.binary())]
-    columns = zip(*rows, strict=True) if rows else [()] * 5
-    return pa.table([pa.array(c, k) for c, (_, k) in zip(columns, kinds, strict=True)], names=[n for n, _ in kinds])
 
+#: Added to the count of a value of which a block wants to know.
+ASKED = 4
+WORK = Work(_again, {0: np.uint8}, merge=_union, echo=lambda counts, again: (counts >= ASKED) & (again > 0))
 
-def _answer(sent: pa.Table) -> pa.Table:
-    """Of one owner: to every block, which of the values it asks for also occur elsewhere, in it or in another block."""
-    inbox = [(b, v := unpack_sorted(x, np.uint64), _mask(m, len(v)), _mask(a, len(v))) for b, x, m, a in zip(*(_column(sent, c) for c in ("block", "values", "many", "anchors")), strict=True)]
-    values, several = _distinct([v for _, v, _, _ in inbox])
-    repeated = values[several]
-    out = [(b, pack_sorted(v[asked & (many | _is_in(v, repeated))])) for b, v, many, asked in inbox]
-    out = [(b, x) for b, x in out if x]
-    return pa.table([pa.array([b for b, _ in out], pa.int32()), pa.array([x for _, x in out], pa.binary())], names=["block", "values"])
 
-
-def _answered(found: pa.Table) -> np.ndarray:
-    return np.sort(np.concatenate([np.zeros(0, np.uint64), *(unpack_sorted(x, np.uint64) for x in _column(found, "values"))]))
+def _distinct(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and how often each occurs, or 2 for more."""
+    values, n = runs(np.sort(np.concatenate([*parts, np.zeros(0, np.uint64)])))
+    return values, np.minimum(n, 2)
 
 
-def _probe(size: int, owners: int):
-    """Of one block: all its rolling windows, and which of them are reference blocks."""
+def _probe(size: int, parts: int):
+    """Of one block: all its rolling windows; it asks about those that are reference blocks."""
 
     def run(docs: pa.Table) -> pa.Table:
         every, own = [], []
@@ -105,8 +84,8 @@ def _probe(size: int, owners: int):
             g = grams(w.hash, size) & _TOP
             every.append(g[gram_starts(w, size)])
             own.append(g[_anchors(w, size)])
-        values, many = _distinct(every)
-        return _messages(docs.column("block")[0].as_py(), values, many, _is_in(values, _distinct(own)[0]), owners)
+        values, n = _distinct(every)
+        return table_of(WORK.messages(0, values, n + ASKED * _is_in(values, _distinct(own)[0]), parts, docs.column("block")[0].as_py()), SENT)
 
     return run
 
@@ -129,25 +108,24 @@ def _windows(w: Words, hits: np.ndarray, size: int, window: int) -> tuple[np.nda
     return starts, grams(w.hash, window)[starts] if len(starts) else np.zeros(0, np.uint64)
 
 
-def _extend(size: int, window: int, owners: int):
+def _extend(size: int, window: int, parts: int):
     """Of one block: the windows around its hit anchors."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        hits = _answered(found)
+        hits = echoed(found)
         if not docs.num_rows or not len(hits):
-            return _messages(0, *[np.zeros(0, t) for t in (np.uint64, bool, bool)], owners)
-        every = [_windows(Words(data, offsets), hits, size, window)[1] for _, _, data, offsets in blocks(docs.column("text"))]
-        values, many = _distinct(every)
-        return _messages(docs.column("block")[0].as_py(), values, many, np.ones(len(values), bool), owners)
+            return table_of([], SENT)
+        values, n = _distinct([_windows(Words(data, offsets), hits, size, window)[1] for _, _, data, offsets in blocks(docs.column("text"))])
+        return table_of(WORK.messages(0, values, n + ASKED, parts, docs.column("block")[0].as_py()), SENT)
 
     return run
 
 
-def _remove(size: int, window: int):
+def _remove(window: int):
     """Of one block: what is left of each text without the words under repeated windows."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        repeated = _answered(found)
+        repeated = echoed(found)
         n_words, n_removed, kept = [], [], []
         for _, _, data, offsets in blocks(docs.column("text")):
             w = Words(data, offsets)
@@ -178,13 +156,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words left, joined by single spaces) of every row."""
     size = (window + 1) // 2
     n = block_count(docs)
+    parts = levels(n)[0]
     rows = in_blocks(docs, n)
     # the text is shuffled once: all three uses share the exchange
-    sent = rows.groupBy("block").applyInArrow(_probe(size, n), SENT)
-    hits = sent.groupBy("owner").applyInArrow(_answer, ANSWER)
-    windows = rows.groupBy("block").cogroup(hits.groupBy("block")).applyInArrow(_extend(size, window, n), SENT)
-    repeated = windows.groupBy("owner").applyInArrow(_answer, ANSWER)
-    return rows.groupBy("block").cogroup(repeated.groupBy("block")).applyInArrow(_remove(size, window), KEPT)
+    hits, _ = exchange(rows.groupBy("block").applyInArrow(_probe(size, parts), SENT), n, WORK)
+    windows = rows.groupBy("block").cogroup(hits.groupBy("source")).applyInArrow(_extend(size, window, parts), SENT)
+    repeated, _ = exchange(windows, n, WORK)
+    return rows.groupBy("block").cogroup(repeated.groupBy("source")).applyInArrow(_remove(window), KEPT)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
