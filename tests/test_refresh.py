@@ -1,28 +1,99 @@
-from tests.test_parse import T4, context, legacy, meta, record, text
-from tidemark.streaming.refresh import Store, follow
+import datetime as dt
+
+import pytest
+
+from tests.logbook import Log
+from tidemark.operators.parse import judged
+from tidemark.operators.reconcile import effective
+from tidemark.streaming.refresh import Store, caveats, follow
+
+
+def facts(df):
+    return sorted((r.event_key, r.file, r.thread_id, r.total_tokens, r.incomplete, r.kind) for r in df.collect())
 
 
 def total(store):
-    return {r.thread_id: r.n for r in store.effective().groupBy("thread_id").sum("total_tokens").withColumnRenamed("sum(total_tokens)", "n").collect()}
+    """By task; and the stored facts are those of judging everything anew."""
+    found = store.effective()
+    assert facts(found) == facts(effective(judged(store.events(), store.threads())))
+    return {r.thread_id: r.n for r in found.groupBy("thread_id").agg({"total_tokens": "sum"}).toDF("thread_id", "n").collect()}
 
 
-def test_refresh_reads_only_what_changed(spark, tmp_path):
-    logs = tmp_path / "logs"
-    logs.mkdir()
-    child = text(meta("child", "parent", T4), context(), legacy(10, 10, "2026-09-08T03:59:00Z"), legacy(15, 5, "2026-09-08T04:01:00Z"))
-    (logs / "child.jsonl").write_text(child)
+@pytest.fixture()
+def place(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
     store = Store(spark, str(tmp_path / "store"))
-    assert store.refresh([str(logs)], 1) == 1 and total(store) == {}
+    batches = iter(range(1, 100))
+
+    def refresh(**files):
+        for name, log in files.items():
+            path = tmp_path / "logs" / f"{name}.jsonl"
+            path.write_text(log.text()) if log else path.unlink()
+        return store.refresh([str(tmp_path / "logs")], next(batches))
+
+    return store, refresh
+
+
+def test_late_parents_records_and_vanished_files(place):
+    store, refresh = place
+    parent = Log().session("p").turn("t").totals(33, 33)
+    child = Log(hour=11).fork("c", "p").turn("t")
+    child.lines.append(parent.lines[-1])
+    child.totals(45, 12)
+    assert refresh(c=child) == 1 and total(store) == {}
     # the parent comes later, and ends the doubt about its child
-    (logs / "parent.jsonl").write_text(text(meta("parent"), context(), legacy(10, 10, "2026-09-08T03:59:00Z")))
-    assert store.refresh([str(logs)], 2) == 1 and total(store) == {"parent": 10, "child": 5}
+    assert refresh(p=parent) == 1 and total(store) == {"p": 33, "c": 12}
     assert store.effective().where("incomplete = 1").count() == 0
-    assert store.refresh([str(logs)], 3) == 0
-    with (logs / "child.jsonl").open("a") as f:
-        f.write(text(record("r", 7)) + '{"type": "tok')
-    (logs / "parent.jsonl").unlink()
-    # the record replaces the child's mirrored snapshots of the same turn; a vanished file keeps its events
-    assert store.refresh([str(logs)], 4) == 1 and total(store) == {"parent": 10, "child": 7}
+    assert refresh() == 0
+    # the record replaces the child's mirrored totals of the same turn; a vanished file keeps its events
+    child.spent("r", 14)
+    assert refresh(c=child, p=None) == 1 and total(store) == {"p": 33, "c": 14}
+
+
+def test_copies_of_a_key_over_days_and_files(place, spark):
+    store, refresh = place
+    first = Log().session("a").turn("t").spent("k", 5, at="2031-03-01T10:00:00Z").spent("m", 6, at="2031-03-02T10:00:00Z").spent("n", 7, at="2031-03-03T10:00:00Z")
+    refresh(b=first)
+    assert total(store) == {"a": 18}
+    # a copy in a file that comes first wins, with another day and task
+    refresh(a=Log().session("z").spent("k", 50, at="2031-03-04T10:00:00Z"))
+    assert total(store) == {"a": 13, "z": 50}
+    # only the days of the key were written anew
+    assert {d.day: v for d, v in store._days().items()} == {2: 1, 3: 1, 4: 2}
+    # a rewritten file gives back what it took
+    refresh(a=Log().session("z").spent("q", 1, at="2031-03-04T11:00:00Z"))
+    assert total(store) == {"a": 18, "z": 1}
+    plan = store.effective(dt.datetime(2031, 3, 2, 9), dt.datetime(2031, 3, 3))
+    assert [r.total_tokens for r in plan.collect()] == [6] and len(plan.inputFiles()) == 1 and "date=2031-03-02" in plan.inputFiles()[0]
+    assert store.effective(dt.datetime(2031, 4, 1)).count() == 0
+
+
+def test_a_batch_that_failed_is_tried_again(place, spark, monkeypatch):
+    store, refresh = place
+    refresh(a=Log().session("a").spent("1", 5))
+    write = Store._write
+
+    def failing(self, df, name, batch):
+        if name == "files":
+            raise OSError("no more disk")
+        write(self, df, name, batch)
+
+    monkeypatch.setattr(Store, "_write", failing)
+    with pytest.raises(OSError):
+        refresh(b=Log().session("b").spent("2", 6))
+    monkeypatch.setattr(Store, "_write", write)
+    assert total(store) == {"a": 5}
+    assert store.refresh([str(store.path).replace("store", "logs")], 2) == 1 and total(store) == {"a": 5, "b": 6}
+
+
+def test_status_and_caveats(place):
+    store, refresh = place
+    assert tuple(store.status().first()) == (None, 0, 0, 0, 0)
+    refresh(a=Log().session("a").spent("1", 5).raw("{"), b=Log().fork("b", "nobody").totals(4, 4))
+    refresh(a=Log().session("a").spent("1", 5).raw("{").spent("2", {"input_tokens": 1}))
+    assert tuple(store.status().first()) == (2, 2, 1, 1, 3)
+    assert sorted((r.line_no, r.issue) for r in store.issues().collect()) == [(1, "orphan"), (2, "json"), (3, "total")]
+    assert {r.caveat for r in caveats(store.status()).collect()} == {"retained_logs_only", "unattributed_lines"}
 
 
 def test_new_files_as_a_stream(spark, tmp_path):
@@ -30,7 +101,7 @@ def test_new_files_as_a_stream(spark, tmp_path):
     logs.mkdir()
     store = Store(spark, str(tmp_path / "store"))
     for k, name in enumerate(("a", "b")):
-        (logs / f"{name}.jsonl").write_text(text(meta(name), context(), record(name, 5 + k)))
+        (logs / f"{name}.jsonl").write_text(Log().session(name).turn("t").spent(name, 11 + k).text())
         follow(store, str(logs), str(tmp_path / "checkpoint")).awaitTermination()
-    assert total(store) == {"a": 5, "b": 6}
+    assert total(store) == {"a": 11, "b": 12}
     assert store.files().count() == 2

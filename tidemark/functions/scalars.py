@@ -29,6 +29,11 @@ def ratio(part: Column, whole: Column) -> Column:
     return ((scaled - scaled % base) / base).cast("double") / F.lit(1_000_000.0)
 
 
+def plotted(total: Column) -> Column:
+    """A total in millions, cut off after three decimals, as charts show it; 0 for a null total."""
+    return F.coalesce((total.cast("decimal(38,0)") - total.cast("decimal(38,0)") % 1000) / 1000, F.lit(0)).cast("double") / 1000
+
+
 def label(value: Column) -> Column:
     """The last part of a path that isn't empty; the value itself if there is none; a word for an unknown value."""
     last = F.try_element_at(F.filter(F.split(value, r"[\\/]"), lambda x: x != ""), F.lit(-1))

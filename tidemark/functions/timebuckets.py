@@ -40,12 +40,13 @@ def bucket_start(at: Column, zone: str, size: str) -> Column:
     """The UTC time at which the local bucket begins."""
     there = local(at, zone)
     if size == "day":
-        return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.date_trunc("DAY", there).cast("timestamp_ntz"))
+        return F.convert_timezone(F.lit(zone), F.lit("UTC"), F.to_date(there).cast("timestamp_ntz"))
     return at - (there - _hour(there))
 
 
 def _hour(there: Column) -> Column:
-    return F.to_timestamp_ntz(F.date_format(there, "yyyy-MM-dd'T'HH:00:00"))
+    zero = F.lit(0)
+    return F.make_timestamp_ntz(F.year(there), F.month(there), F.day(there), F.hour(there), zero, zero.cast("decimal(16,6)"))
 
 
 def _utc(moment: dt.datetime) -> dt.datetime:

@@ -50,12 +50,11 @@ def _micro(price: str) -> Column:
 def costs(events: DataFrame, prices: DataFrame, keys: dict[str, Column]) -> DataFrame:
     """The keys, amount (USD with twelve decimals; null if nothing could be priced), complete, and notes on what is missing.
 
-    Prices are broadcast: price_table() bounds them.
+    Prices are joined with all of their table; Spark broadcasts it if it is small, as that of price_table() always is.
     """
     rates = prices.select(
         F.col("model").alias("_model"), F.col("long_context_threshold").alias("_over"), *(_micro(r).alias(f"_{r}") for r in RATES), *(_micro(f"long_{r}").alias(f"_long_{r}") for r in RATES)
     )
-    rates = F.broadcast(rates.limit(MOST_PRICES))
     tiered = events.join(rates.select("_model", "_over"), F.col("model") == F.col("_model"), "left")
     tier = F.coalesce(F.col("input_tokens") > F.col("_over"), F.lit(False))
     sums = combined(tiered, {**keys, "model": F.col("model"), "long": tier}).join(rates, F.col("model") == F.col("_model"), "left")

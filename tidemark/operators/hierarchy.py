@@ -3,26 +3,27 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Spark's limits of a recursive query; beyond, it fails rather than answer in part.
-LEVELS, ROWS = 100, 1_000_000
+from ..functions.stored import materialise
+
+#: Levels after which what has been found is put in one table.
+TOGETHER = 20
 
 
 def subtree(threads: DataFrame, root: str) -> DataFrame:
-    """id, depth and path of the root and its descendants, each once; an edge back to a node of its own path is not followed."""
-    spark = threads.sparkSession
+    """id, depth and path of the root and its descendants, each once: an edge to a node that was reached before is not followed, so cycles end.
+
+    One join of the edges with the last level for each level, however many there are; only the tree's own nodes are ever kept.
+    """
     edges = threads.select("id", F.col("subagent_parent_id").alias("parent")).distinct()
-    return spark.sql(
-        """
-        WITH RECURSIVE tree (id, path) AS (
-            SELECT id, array(id) FROM (SELECT DISTINCT id FROM {edges}) WHERE id = :root
-            UNION ALL
-            SELECT e.id, array_append(t.path, e.id) FROM tree t JOIN {edges} e ON e.parent = t.id WHERE NOT array_contains(t.path, e.id)
-        )
-        SELECT id, size(min(path)) - 1 AS depth, min(path) AS path FROM tree GROUP BY id
-        """,
-        args={"root": root},
-        edges=edges,
-    )
+    seen = level = materialise(edges.where(F.col("id") == root).select("id", F.array("id").alias("path")).distinct())
+    depth = 0
+    while not level.isEmpty():
+        below = edges.join(level.select(F.col("id").alias("parent"), "path"), "parent").groupBy("id").agg(F.min(F.array_append("path", F.col("id"))).alias("path"))
+        level = materialise(below.join(seen.select("id"), "id", "left_anti"))
+        seen, depth = seen.unionByName(level), depth + 1
+        if depth % TOGETHER == 0:
+            seen = materialise(seen)
+    return seen.select("id", (F.size("path") - 1).alias("depth"), "path")
 
 
 def related(threads: DataFrame, thread: str) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import instant, project_path, whole_number
 from ..schema import TOKENS, USAGE_EVENTS
+from ..sources.logs import issues as unusable
 
 VERSION = 1
 _UUID = r"([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})"
@@ -131,7 +132,7 @@ def snapshot_deltas(rows: DataFrame, thread_segment: tuple[str, ...], order: str
 
 
 def mark_inherited(rows: DataFrame, known: DataFrame, meta_segment: tuple[str, ...], order: str) -> DataFrame:
-    """Adds excluded. rows: legacy rows; known: ids of known threads.
+    """Adds excluded, and orphan for rows whose parent isn't known. rows: legacy rows; known: ids of known threads.
 
     A row is inherited if its parent has its signature at or before the cutoff, and so have all rows of its segment before it. A
     child whose parent isn't known can't be told apart, so its rows are excluded and incomplete.
@@ -144,16 +145,20 @@ def mark_inherited(rows: DataFrame, known: DataFrame, meta_segment: tuple[str, .
     so_far = Window.partitionBy(*meta_segment).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     inherited = F.col("parent").isNotNull() & (F.max("_miss").over(so_far) == 0)
     lost = inherited & F.col("_id").isNull() & ~matched
-    found = found.withColumn("excluded", inherited.cast("int")).withColumn("incomplete", F.greatest("incomplete", lost.cast("int")))
+    found = found.withColumn("excluded", inherited.cast("int")).withColumn("incomplete", F.greatest("incomplete", lost.cast("int"))).withColumn("orphan", lost.cast("int"))
     return found.drop("_thread", "_signature", "_since", "_id", "_miss")
 
 
-def legacy_events(read: DataFrame) -> DataFrame:
-    """Events from snapshots of running totals, not yet judged for inheritance."""
+def _snapshot_rows(read: DataFrame) -> DataFrame:
+    """Snapshots of running totals with their deltas; of repeated ones too."""
     usage = lambda name: F.when(_is_object(F.col(f"p.info.{name}")), tokens(F.col(f"p.info.{name}")))
     rows = read.where((F.col("type") == "event_msg") & F.col("at").isNotNull()).withColumns({"total": usage("total_token_usage"), "last": usage("last_token_usage"), "limit": F.coalesce("p.rate_limits.limit_id", F.lit("default"))})
-    rows = snapshot_deltas(rows.where("total is not null or last is not null"), ("file", "life"), "line_no")
-    rows = rows.where(~F.col("repeated") & (F.col("t.total_tokens").isNull() | (F.col("t.total_tokens") != 0)))
+    return snapshot_deltas(rows.where("total is not null or last is not null"), ("file", "life"), "line_no")
+
+
+def legacy_events(read: DataFrame) -> DataFrame:
+    """Events from snapshots of running totals, not yet judged for inheritance."""
+    rows = _snapshot_rows(read).where(~F.col("repeated") & (F.col("t.total_tokens").isNull() | (F.col("t.total_tokens") != 0)))
     content = F.to_json(F.struct("thread", "turn", "at", "signature"), {"ignoreNullFields": "false"})
     return rows.select(
         "file", "line_no", F.concat(F.lit("legacy:"), F.sha2(content, 256)).alias("event_key"), F.col("thread").alias("thread_id"), F.col("turn").alias("turn_id"), F.lit(None).cast("string").alias("response_id"), F.col("at").alias("event_at"), "project", "model", "effort",
@@ -161,6 +166,28 @@ def legacy_events(read: DataFrame) -> DataFrame:
     )
 
 
+def issues(lines: DataFrame) -> DataFrame:
+    """file, line_no and issue of every line that can't be used as it is.
+
+    json: no JSON; time: usage without a time; total: usage without a total; baseline: a running total that fell, or the first one of a task that has a parent.
+    Snapshots whose parent isn't known are told by judging all files together: see orphans().
+    """
+    read = read_lines(lines)
+    of = lambda rows, name: rows.select("file", "line_no", F.lit(name).alias("issue"))
+    recorded = F.col("type") == "token_usage_record"
+    timed = read.where(recorded | (F.col("type") == "event_msg"))
+    explicit = timed.where(recorded & F.col("at").isNotNull() & tokens(F.col("p.usage"))["total_tokens"].isNull())
+    snapshots = _snapshot_rows(read)
+    found = of(unusable(lines), "json").unionByName(of(timed.where("at is null"), "time")).unionByName(of(explicit, "total"))
+    return found.unionByName(of(snapshots.where("incomplete = 1"), "baseline")).unionByName(of(snapshots.where(~F.col("repeated") & F.col("t.total_tokens").isNull()), "total"))
+
+
+def orphans(rows: DataFrame, threads: DataFrame) -> DataFrame:
+    """file, line_no and issue of the snapshots of read_events() that can't be told from their parent's, which isn't known."""
+    found = mark_inherited(rows.where("kind = 'legacy'"), threads, ("file", "segment"), "line_no")
+    return found.where("orphan = 1").select("file", "line_no", F.lit("orphan").alias("issue"))
+
+
 def read_events(read: DataFrame) -> DataFrame:
     """All events with what judging them needs: line_no, segment, parent and cutoff."""
     return explicit_events(read).unionByName(legacy_events(read), allowMissingColumns=True)

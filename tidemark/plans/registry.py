@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import plotted
 from ..functions.timebuckets import bucket
 from ..operators.cost import price_table
 from ..operators.filters import Filter
@@ -288,7 +289,15 @@ def queries() -> dict:
         "filter_values": lambda s, d: u(s, d).filter_values(),
         "compare_project": lambda s, d: u(s, d).compare(WEEK, "project"),
         "compare_thread": lambda s, d: u(s, d).compare(WEEK, "thread"),
-        "agents_tree": lambda s, d: u(s, d).agents("t2", WEEK).withColumn("path", F.array_join("path", "/")),
+        "threads_count_low_cache": lambda s, d: u(s, d).count_threads(Filter(effort="low"), cache_below=0.5),
+        "turns_count": lambda s, d: u(s, d).count_turns(WEEK),
+        "compare_summaries": lambda s, d: u(s, d).compare_summaries(WEEK),
+        "agents_tree": lambda s, d: u(s, d).agents("t2", WEEK).withColumns({"path": F.array_join("path", "/"), "models": F.array_join("models", ",", "-")}),
+        "agents_cost": lambda s, d: _costs_only(u(s, d, priced=True).agents("t2"), "id"),
+        "thread_models": lambda s, d: u(s, d).models("t10"),
+        "thread_detail_cost": lambda s, d: _costs_only(u(s, d, priced=True).detail("t10")),
+        "threads_page_cost": lambda s, d: _costs_only(u(s, d, priced=True).threads_page(limit=30, offset=10), "thread_id"),
+        "trend_plotted": lambda s, d: u(s, d).trend().select("time", plotted(F.col("total_tokens")).alias("millions")),
         "agents_team": lambda s, d: u(s, d).team("t2", Filter(model="view", thread="t99")),
         "thread_detail": lambda s, d: u(s, d).detail("t10").drop("source", "parent_id"),
         "thread_related": lambda s, d: u(s, d).related("t10"),
@@ -348,9 +357,21 @@ def oracle_sql() -> dict[str, str]:
         "filter_values": f"{e} SELECT DISTINCT dimension, value FROM (SELECT 'project' AS dimension, project AS value FROM effective UNION ALL SELECT 'model', model FROM effective UNION ALL SELECT 'effort', effort FROM effective) WHERE value IS NOT NULL",
         "compare_project": _compare_sql("project", _PATH_LABEL.replace("project", "key")),
         "compare_thread": _compare_sql("thread_id", "key"),
-        "agents_tree": f"""WITH RECURSIVE {_EFFECTIVE}, {_THREADS}, {_TREE}, g AS (SELECT thread_id, {_METRICS} FROM effective WHERE {_WEEK} GROUP BY thread_id)
-          SELECT tree.id, cast(len(path) - 1 AS int) AS depth, array_to_string(path, '/') AS path, title, {', '.join(f'CASE WHEN thread_id IS NULL THEN 0 ELSE {m} END AS {m}' if m != 'cache_ratio' else m for m in METRICS)}
-          FROM tree LEFT JOIN g ON thread_id = tree.id LEFT JOIN threads ON threads.id = tree.id""",
+        "agents_tree": f"""WITH RECURSIVE {_EFFECTIVE}, {_THREADS}, {_TREE}, g AS (SELECT thread_id, {_METRICS} FROM effective WHERE {_WEEK} GROUP BY thread_id),
+          m AS (SELECT thread_id AS mt, string_agg(coalesce(model, '-'), ',' ORDER BY model NULLS FIRST) AS models FROM (SELECT DISTINCT thread_id, model FROM effective WHERE {_WEEK}) GROUP BY thread_id)
+          SELECT tree.id, cast(len(path) - 1 AS int) AS depth, array_to_string(path, '/') AS path, title, subagent_parent_id AS parent_id, cast(NULL AS varchar) AS project, coalesce(models, '') AS models, {', '.join(f'CASE WHEN thread_id IS NULL THEN 0 ELSE {m} END AS {m}' if m != 'cache_ratio' else m for m in METRICS)}
+          FROM tree LEFT JOIN g ON thread_id = tree.id LEFT JOIN m ON mt = tree.id LEFT JOIN threads ON threads.id = tree.id""",
+        "agents_cost": f"""WITH RECURSIVE {_THREADS}, {_TREE} SELECT id, coalesce(cost_amount, CASE WHEN c.id2 IS NULL THEN '0.000000000000' END) AS cost_amount, coalesce(cost_complete, true) AS cost_complete, coalesce(cost_notes, 0) AS cost_notes
+          FROM tree LEFT JOIN ({_cost_sql("thread_id", "k AS id2,")}) c ON id2 = id""",
+        "threads_count_low_cache": f"""{e} SELECT count(*) AS total FROM (SELECT thread_id FROM effective WHERE effort = 'low' GROUP BY thread_id
+          HAVING sum(input_tokens) FILTER (WHERE {_PAIRED}) > 0 AND cast(sum(cached_input_tokens) FILTER (WHERE {_PAIRED}) AS double) / cast(sum(input_tokens) FILTER (WHERE {_PAIRED}) AS double) < 0.5)""",
+        "turns_count": f"{e} SELECT count(*) AS total FROM (SELECT DISTINCT thread_id, turn_id FROM effective WHERE {_WEEK})",
+        "compare_summaries": " UNION ALL ".join(f"({e} SELECT '{k}' AS period, timestamp '{a}' AS start, timestamp '{b}' AS \"end\", {_METRICS} FROM effective WHERE event_at >= timestamp '{a}' AND event_at < timestamp '{b}')" for k, (a, b) in Usage.compared(WEEK).items()),
+        "thread_models": _groups_sql("model", "thread_id = 't10'"),
+        "thread_detail_cost": _cost_sql(None, "").replace("FROM effective e LEFT JOIN", "FROM (SELECT * FROM effective WHERE thread_id = 't10') e LEFT JOIN"),
+        "threads_page_cost": f"""WITH {_EFFECTIVE}, page AS (SELECT thread_id FROM effective GROUP BY 1 ORDER BY sum(total_tokens) DESC NULLS LAST, thread_id LIMIT 30 OFFSET 10)
+          SELECT thread_id, cost_amount, cost_complete, cost_notes FROM page JOIN ({_cost_sql("thread_id", "k,")}) ON k = thread_id""",
+        "trend_plotted": f"{e} SELECT {_day('UTC')} AS time, cast(sum(total_tokens) // 1000 AS double) / 1000 AS millions FROM effective GROUP BY 1",
         "agents_team": f"""WITH RECURSIVE {_EFFECTIVE}, {_THREADS}, {_TREE}, own AS (SELECT e.*, len(path) AS l FROM effective e JOIN tree ON id = thread_id WHERE model = 'view')
           SELECT 'team' AS part, {_METRICS} FROM own UNION ALL SELECT 'self', {_METRICS} FROM own WHERE l = 1 UNION ALL SELECT 'subagents', {_METRICS} FROM own WHERE l > 1""",
         "thread_detail": f"WITH {_EFFECTIVE}, {_THREADS}, g AS (SELECT {_METRICS}, min(event_at) AS first_at, max(event_at) AS last_at FROM effective WHERE thread_id = 't10') SELECT threads.*, g.* FROM threads, g WHERE id = 't10'",

@@ -1,26 +1,39 @@
 """Keeping effective facts fresh as log files arrive and grow.
 
 Every refresh adds a batch with the events of new and changed files; a file's latest batch is what counts, and files that vanish keep theirs. A
-file that grew is read again from its start, which gives the events it had and the new ones. Effective facts are a view over all
-stored events: a late parent, copy or record changes the verdict on rows of other files, and no watermark may cut it off.
+file that grew is read again from its start, which gives the events it had and the new ones.
+
+Effective facts are stored by day. A late parent, copy or record changes the verdict on rows of other files, however old, so a batch is judged with all that it can touch, and
+with nothing else:
+
+* its tasks, those of its files before, and their children (a parent may have come);
+* the event keys of these tasks, and all tasks that have one of the keys.
+
+Days on which such a key was or is effective are written anew, as the batch's version of them; the listing of versions, written last, makes them count. So a query
+over a range reads its days only, and no verdict is taken twice.
 
 Logs grow in place, which Spark's file source doesn't follow, so a refresh compares listings; for logs that are only ever added, new_files()
 is a stream, and each micro-batch is stored in the same way.
 """
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.parse import VERSION, judged, read_events, read_lines, threads_of
+from ..operators.parse import VERSION, issues, judged, orphans, read_events, read_lines, threads_of
 from ..operators.reconcile import effective
+from ..schema import USAGE_EVENTS
 from ..sources.logs import manifest, read_logs
 
 
 class Store:
-    """events, threads and files as Parquet below a folder that all executors see. Batches are only added: the latest listing of a file names its batch."""
+    """events, threads, issues, files, effective facts and their versions as Parquet below a folder that all executors see.
+
+    Each has a folder for each batch. A batch that failed half-way has no listing of files, so nothing of it is seen, and trying it again overwrites what it left.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -33,32 +46,46 @@ class Store:
                 return None
             raise
 
+    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+
+    def _listed(self, name: str) -> DataFrame | None:
+        """All rows of a table, of batches that have a listing."""
+        rows, files = self._read(name), self._read("files")
+        return None if rows is None or files is None else rows.join(F.broadcast(files.select("batch").distinct()), "batch", "left_semi")
+
     def files(self) -> DataFrame | None:
         """The latest listing of each file."""
         rows = self._read("files")
-        return None if rows is None else rows.groupBy("file").agg(F.max_by(F.struct("size", "modified", "version"), "batch").alias("r")).select("file", "r.*")
+        return None if rows is None else rows.groupBy("file").agg(F.max_by(F.struct("size", "modified", "version", "batch"), "batch").alias("r")).select("file", "r.*")
+
+    def _latest(self, name: str) -> DataFrame | None:
+        """Rows of the latest batch of each file."""
+        rows, files = self._read(name), self.files()
+        return None if rows is None or files is None else rows.join(files.select("file", "batch"), ["file", "batch"], "left_semi")
 
     def events(self) -> DataFrame | None:
-        """The events of the latest batch of each file."""
-        rows = self._read("events")
-        if rows is None:
-            return None
-        last = self._read("files").groupBy("file").agg(F.max("batch").alias("batch"))
-        return rows.join(last, ["file", "batch"], "left_semi").drop("batch")
+        rows = self._latest("events")
+        return None if rows is None else rows.drop("batch")
 
     def threads(self) -> DataFrame | None:
-        rows = self._read("threads")
+        rows = self._listed("threads")
         if rows is None:
             return None
         known = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c)
         edge = lambda c: F.max_by(F.struct(F.col(c).alias("v")), "batch")["v"].alias(c)
         return rows.groupBy("id").agg(known("project"), known("source"), *(edge(c) for c in ("parent_id", "subagent_parent_id", "forked_from_id")))
 
+    def issues(self) -> DataFrame | None:
+        """file, line_no and issue of all lines that couldn't be used as they are."""
+        rows = self._latest("issues")
+        return None if rows is None else rows.drop("batch").unionByName(orphans(self.events(), self.threads()))
+
     def refresh(self, roots: Sequence[str], batch: int) -> int:
         """Reads the files that are new or changed since the last refresh; the number of them. Batches must rise."""
         now, had = manifest(self.spark, roots, VERSION), self.files()
         changed = now if had is None else now.join(had, ["file", "size", "modified", "version"], "left_anti")
-        changed = changed.withColumn("batch", F.lit(batch)).cache()
+        changed = changed.cache()
         n = changed.count()
         if n:
             lines = read_logs(self.spark, roots).join(changed.select("file"), "file", "left_semi")
@@ -67,16 +94,92 @@ class Store:
         return n
 
     def store(self, lines: DataFrame, files: DataFrame, batch: int) -> None:
-        """The listing goes last: a batch that failed half-way has no listing, so its events are never seen."""
+        """The listing goes last but for the verdicts, which a reader of versions doesn't see before theirs."""
+        # judged with the rows that the batch replaces, which no reader sees after the listing
+        had = self._latest("events")
+        before = None if had is None else had.join(files.select("file"), "file", "left_semi").select("thread_id", "event_key")
+        if before is not None:
+            self._write(before.distinct(), "replaced", batch)
         read = read_lines(lines)
-        events, threads = read_events(read), threads_of(read)
-        events.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/events")
-        threads.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{self.path}/threads")
-        files.write.mode("append").parquet(f"{self.path}/files")
-
-    def effective(self) -> DataFrame:
-        """Over all files, with inheritance judged anew, since parents and children may come in any order."""
-        return effective(judged(self.events(), self.threads()))
+        self._write(read_events(read), "events", batch)
+        self._write(threads_of(read), "threads", batch)
+        self._write(issues(lines), "issues", batch)
+        self._write(files.select("file", "size", "modified", "version"), "files", batch)
+        self.judge(batch, before is not None)
+
+    def judge(self, batch: int, again: bool = True) -> None:
+        """Writes the verdicts that a stored batch can change. If a run failed before this, calling it again completes the batch."""
+        events, threads = self.events(), self.threads()
+        mine = self.spark.read.parquet(f"{self.path}/events/batch={batch}").select("thread_id", "event_key")
+        if again:
+            mine = mine.unionByName(self.spark.read.parquet(f"{self.path}/replaced/batch={batch}"))
+        own = mine.select(F.col("thread_id").alias("id")).distinct().unionByName(self.spark.read.parquet(f"{self.path}/threads/batch={batch}").select("id")).distinct()
+        tasks = own.unionByName(threads.join(own.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")).distinct()
+        of = lambda ids: events.join(ids.withColumnRenamed("id", "thread_id"), "thread_id", "left_semi")
+        self._write(mine.select("event_key").unionByName(of(tasks).select("event_key")).distinct(), "touched", batch)
+        keys = self.spark.read.parquet(f"{self.path}/touched/batch={batch}")
+        wide = events.join(keys, "event_key", "left_semi").select(F.col("thread_id").alias("id")).distinct()
+        parents = of(wide).where("parent is not null").select(F.col("parent").alias("id"))
+        rows = judged(of(wide.unionByName(parents).distinct()), threads).join(wide.withColumnRenamed("id", "thread_id"), "thread_id", "left_semi").select(*USAGE_EVENTS.fieldNames())
+        new = effective(rows).join(keys, "event_key", "left_semi").withColumn("date", F.to_date("event_at"))
+        self._write(new, "verdicts", batch)
+        new, had = self.spark.read.parquet(f"{self.path}/verdicts/batch={batch}"), self._days()
+        days, old = new.select("date").distinct(), None
+        if had:
+            old = self._of_days(had)
+            days = days.unionByName(old.join(keys, "event_key", "left_semi").select("date")).distinct()
+        # one row for each day that changes: a few thousand in ten years
+        changed = sorted(r.date for r in days.collect())
+        if old is not None and (kept := {d: had[d] for d in changed if d in had}):
+            new = new.unionByName(self._of_days(kept).join(keys, "event_key", "left_anti").select(*new.columns))
+        new.repartition("date", F.pmod(F.xxhash64("thread_id"), F.lit(16))).write.mode("overwrite").partitionBy("date").parquet(f"{self.path}/effective/version={batch}")
+        found = {r.date for r in self.spark.read.parquet(f"{self.path}/effective/version={batch}").select("date").distinct().collect()} if changed and not new.isEmpty() else set()
+        self._write(self.spark.createDataFrame([(d, d in found) for d in changed], "date date, rows boolean"), "versions", batch)
+
+    def _days(self) -> dict[dt.date, int]:
+        """The version that counts of each day that has effective facts."""
+        rows = self._read("versions")
+        if rows is None:
+            return {}
+        last = rows.groupBy("date").agg(F.max_by(F.struct("batch", "rows"), "batch").alias("r"))
+        return {r.date: r.batch for r in last.select("date", "r.*").collect() if r.rows}
+
+    def _of_days(self, days: dict[dt.date, int]) -> DataFrame:
+        paths = [f"{self.path}/effective/version={v}/date={d}" for d, v in sorted(days.items())]
+        rows = self.spark.read.option("basePath", f"{self.path}/effective").parquet(*paths)
+        return rows.withColumn("date", F.col("date").cast("date")).select(*USAGE_EVENTS.fieldNames(), "date")
+
+    def effective(self, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+        """The stored effective facts of [start, end), of which only its days are read."""
+        days = {d: v for d, v in self._days().items() if (start is None or d >= start.date()) and (end is None or dt.datetime.combine(d, dt.time()) < end)}
+        if not days:
+            return self.spark.createDataFrame([], USAGE_EVENTS)
+        rows = self._of_days(days).drop("date")
+        at = F.col("event_at")
+        within = [at >= F.lit(start).cast("timestamp_ntz")] * (start is not None) + [at < F.lit(end).cast("timestamp_ntz")] * (end is not None)
+        for condition in within:
+            rows = rows.where(condition)
+        return rows
+
+    def status(self) -> DataFrame:
+        """One row: the last batch, files that are known and that it changed, effective events and issues."""
+        files, none = self.files(), self.spark.createDataFrame([(0,)], "n long")
+        if files is None:
+            return none.select(F.lit(None).cast("int").alias("batch"), *(F.lit(0).cast("long").alias(c) for c in ("files", "files_changed", "events", "issues")))
+        last = F.max("batch").alias("batch")
+        counts = files.agg(last, F.count(F.lit(1)).alias("files"), F.count_if(F.col("batch") == files.agg(last).scalar()).alias("files_changed"))
+        number = lambda df: df.agg(F.count(F.lit(1))).scalar()
+        return counts.withColumns({"events": number(self.effective()), "issues": number(self.issues())})
+
+
+#: What an answer from local logs has to be read with, by the condition on status() under which it holds.
+CAVEATS = (("retained_logs_only", "true"), ("unattributed_lines", "issues > 0"), ("import_running", "running"))
+
+
+def caveats(status: DataFrame, running: bool = False) -> DataFrame:
+    """caveat: what holds for answers from a store in this status."""
+    told = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(name)) for name, c in CAVEATS]))
+    return status.withColumn("running", F.lit(running)).select(F.explode(told).alias("caveat"))
 
 
 def new_files(spark: SparkSession, root: str):
@@ -93,6 +196,6 @@ def follow(store: Store, root: str, checkpoint: str):
             return
         parts = F.split("value", "\n", -1)
         lines = batch.select("file", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("line_no", "doc"))
-        store.store(lines, batch.select("file", "size", "modified", F.lit(VERSION).alias("version"), F.lit(number).alias("batch")), number)
+        store.store(lines, batch.select("file", "size", "modified", F.lit(VERSION).alias("version")), number)
 
     return new_files(store.spark, root).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
