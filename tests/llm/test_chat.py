@@ -20,7 +20,6 @@ def test_round_trip_of_hostile_content(spark):
     assert len(read) == 150
     for row in read:
         own = [d for d in data if d[0] == row.conv_id]
-        assert row.round_trip
         assert [(t.role, t.text) for t in row.turns] == [(d[2], d[3]) for d in own]
         assert row.loss == "".join(d[3] for d in own if d[2] == "assistant")
 
@@ -40,5 +39,4 @@ def test_odd_rows(spark):
     found = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(data, SCHEMA)).collect()}
     assert found[None].formatted == "### : </turn>\n### user: a</turn>\n"
     assert found[2].formatted == "### assistant: b</turn>\n" * 2 and len(found[2].loss_spans) == 2
-    assert all(r.round_trip for r in found.values())
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0

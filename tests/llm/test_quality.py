@@ -48,11 +48,11 @@ def test_binomial_tail(spark):
         assert r.p == (1.0 if r.k > r.n * 0.01 else pytest.approx(tail(r.n, r.k, 0.01), rel=1e-9))
 
 
-def brute_cutoffs(rows, good, limit, error):
-    """By rule and language, as quality.certified() but for pooled strata."""
-    held = [r for r in rows if not r.base_failed and r.doc_id in good]
+def brute_cutoffs(rows, texts, good, limit, error):
+    """By rule and language, as quality.certified()."""
+    held = list({(r.lang or "", texts[r.doc_id]): r for r in rows if not r.base_failed and r.doc_id in good}.values())
     names = {r.lang or "" for r in held}
-    level = error / ((len(names) + 1) * len(quality.RULES))
+    level = error / max(1, len(names) * len(quality.RULES))
     out = {rule: {} for rule in quality.RULES}
     for name in names:
         own = [r for r in held if (r.lang or "") == name]
@@ -73,7 +73,7 @@ def test_query_on_the_table(spark):
     docs = {d.doc_id: d for d in table(spark, sf_dir, "documents").collect()}
     good = {r.doc_id for r in table(spark, sf_dir, "labels").collect() if r.quality == 1}
     found = quality.apply_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).collect()
-    cutoffs = brute_cutoffs(found, good, quality.FALSE_REJECTIONS, quality.ERROR)
+    cutoffs = brute_cutoffs(found, {i: d.text for i, d in docs.items()}, good, quality.FALSE_REJECTIONS, quality.ERROR)
     assert any(cutoffs.values()) and len(found) == len(docs)
     lost = Counter()
     for r in found:
@@ -91,6 +91,21 @@ def test_query_on_the_table(spark):
         assert n <= quality.FALSE_REJECTIONS * sum(d.lang == lang and i in good for i, d in docs.items())
 
 
+def test_strata_stand_for_themselves(spark):
+    """A hundred languages; one whose good documents are like its bad ones, one of copies, one without labels."""
+    plain = lambda n: " ".join(f"word{n}a{j} on line" for j in range(10))
+    loud = lambda n: " ".join(f"word{n}a{j} # $ line" for j in range(10))
+    rows = [(lang * 1000 + k, (loud if lang == 98 and k % 2 else plain)(1000 * lang + k), f"l{lang}") for lang in range(99) for k in range(95)]
+    rows += [(99_000 + k, plain(0), "l99") for k in range(200)]
+    rows += [(500_000 + lang, loud(500_000 + lang), f"l{lang}") for lang in range(101)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i, _, _ in rows if i < 500_000], "doc_id long, quality int")
+    kept = {r.lang: r.kept for r in quality.apply_rules(docs, labels, limit=0.5).where("doc_id >= 500000").collect()}
+    found = quality.apply_rules(docs, labels, limit=0.5)
+    assert not found.where("base_failed").count()
+    assert [kept[f"l{lang}"] for lang in range(101)] == [False] * 98 + [True, True, True]
+
+
 def test_odd_rows(spark):
     labels = spark.createDataFrame([(3, 1), (3, 0), (5, 1), (None, 1), (6, None)], "doc_id long, quality int")
     rows = quality.apply_rules(odd(spark), labels).collect()

@@ -7,11 +7,12 @@ A turn is rendered as `### role: text</turn>` and a line feed. The grammar of a
 where neither role nor text holds a control string (`### ` or `</turn>`); a star marks escaped content. Each turn is first rendered as it is and
 parsed again; if the parser doesn't give back the same single turn, its content is escaped: `\\` as `\\\\`, `### ` as `\\h`,
 `</turn>` as `\\e`, and in a role also `:` as `\\c` and `*` as `\\s`. Then no control string is left, and undoing it is unique, since a backslash always
-begins one of these pairs. The whole conversation is then parsed and compared once more (`round_trip`).
+begins one of these pairs. The whole conversation is then parsed and compared once more, and the query fails if it isn't the source.
 
-Turns are rendered and checked row by row before they are grouped; a group only puts them in order, since a conversation is one text.
+Turns are rendered and checked row by row before they are grouped; a group only puts them in order, since a conversation is one text. So a conversation's text
+must fit in one row: at most 2 GB, and some multiples of it in its task's memory.
 
-Defined results: a null role or text is empty; rows of one turn number are ordered by role and text, and repeated rows are repeated turns; rows without
+Defined results: a null role or text is empty; a very long text is a turn like others; rows of one turn number are ordered by role and text, and repeated rows are repeated turns; rows without
 conv_id are one conversation; an empty table gives no rows; columns besides conv_id, turn, role and text are not read.
 """
 
@@ -76,7 +77,10 @@ def plain(turns: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted, loss_spans (start, end in code points of the assistant's texts as they are rendered) and round_trip."""
+    """conv_id, formatted and loss_spans (start, end in code points of the assistant's texts as they are rendered).
+
+    A conversation that isn't parsed back identically fails the query; escaping leaves none.
+    """
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
     own = F.array(F.struct("role", "text"))
@@ -95,7 +99,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<start: bigint, end: bigint, escaped: boolean>>")
     spans = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
     same = F.coalesce(plain(parse(F.col("formatted"))) == plain(F.col("turns")), F.lit(False))
-    return formatted.select("conv_id", "formatted", spans.alias("loss_spans"), same.alias("round_trip"))
+    failed = F.raise_error(F.concat(F.lit("no round trip of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
+    return formatted.select("conv_id", F.when(same, F.col("formatted")).otherwise(failed).alias("formatted"), spans.alias("loss_spans"))
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:

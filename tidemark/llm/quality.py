@@ -8,14 +8,15 @@ refuted: P(Binomial(n, limit) <= rejected) <= level, the exact one-sided binomia
 * The level `ERROR` is divided among all chains (strata times rules: Bonferroni). Within a chain cutoffs are tested in order until the
   first failure, which needs no further correction.
 
-So with a probability of 1 - `ERROR` at least, no stratum loses more than `FALSE_REJECTIONS` of its good documents. Where the holdout is too
-small to refute anything, nothing is rejected. Strata beyond the `STRATA` most labelled ones are pooled in one.
+So with a probability of 1 - `ERROR` at least, in no stratum the rules reject more than `FALSE_REJECTIONS` of its good documents that pass the base rule, where documents of
+one text count once: the bound takes draws to be independent, and copies aren't. What the base rule rejects is not bounded. A stratum for which no cutoff of a rule is certified, and one without
+labels, loses nothing to that rule.
 
-Text is measured once, each row in its own task; only a document's counts are joined with labels. What goes to the driver is
-a cutoff per stratum and rule, at most (`STRATA` + 1) times the number of rules.
+Text is measured once, each row in its own task; only a document's counts are joined with labels. Certified cutoffs are a table with a row for each stratum, however many
+there are, which Spark broadcasts if it is small and else joins by sorting.
 
-Defined results: a null or empty text has no words, which fails the base rule; repeated rows are each answered; a row without doc_id has no label; a null
-lang is a stratum of its own; a document that any label row calls bad is no good document; an empty table gives no rows; columns
+Defined results: a null or empty text has no words, which fails the base rule; a very long text is measured whole in one row; repeated rows are each answered; a row without doc_id has no label; rows whose lang
+is null or empty are one stratum; a document that any label row calls bad is no good document; a value equal to a cutoff is not over it; an empty table gives no rows; columns
 besides doc_id, text, lang and doc_id, quality are not read.
 """
 
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from ._shared import let, materialise, table
 
 WINDOW = 8
-FALSE_REJECTIONS, ERROR, STRATA = 0.05, 0.05, 64
+FALSE_REJECTIONS, ERROR = 0.05, 0.05
 #: By rule, the measure and its cutoffs from loose to tight; a text is rejected if the measure is over the cutoff.
 RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "symbols": ("n_symbols / n_words", (5.0, 3.0, 2.0, 1.5, 1.0, 0.7, 0.5, 0.3, 0.2, 0.1)),
@@ -36,7 +37,6 @@ RULES: dict[str, tuple[str, tuple[float, ...]]] = {
     "long_words": ("word_chars / n_words", (60.0, 40.0, 30.0, 25.0, 20.0, 17.0, 15.0, 13.0, 12.0)),
     "short_words": ("n_words / word_chars", (0.95, 0.8, 0.67, 0.5, 0.4, 0.36, 0.33)),
 }
-_OTHER = "\x00other"
 
 
 def without(text: Column, characters: str) -> Column:
@@ -120,17 +120,16 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, 1.0).otherwise(whole)
 
 
-def certified(measured: DataFrame, good: DataFrame, limit: float = FALSE_REJECTIONS, error: float = ERROR, strata: int = STRATA) -> dict[str, dict[str, int]]:
-    """By rule and stratum, the place of the tightest certified cutoff. measured: doc_id, lang and the counts; good: doc_id of good documents."""
+def certified(measured: DataFrame, good: DataFrame, limit: float = FALSE_REJECTIONS, error: float = ERROR) -> DataFrame:
+    """stratum and, in a column for each rule, the place of its tightest certified cutoff. measured: doc_id, lang, text_key and the counts; good: doc_id of good documents."""
     held = measured.where(~base_failed()).join(good.select("doc_id").distinct(), "doc_id", "left_semi")
-    held = held.withColumn("lang", F.coalesce("lang", F.lit("")))
-    names = [r.lang for r in held.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(strata).collect()]
-    stratum = F.when(F.col("lang").isin(names), F.col("lang")).otherwise(_OTHER) if names else F.lit(_OTHER)
+    held = held.withColumn("stratum", F.coalesce("lang", F.lit(""))).dropDuplicates(["stratum", "text_key"])
+    n_strata = held.agg(F.count_distinct("stratum")).first()[0]
     chains = F.array(*[F.struct(F.lit(rule).alias("rule"), first_rejected(rule).alias("place")) for rule in RULES])
-    counts = held.select(stratum.alias("stratum"), F.explode(chains).alias("c")).groupBy("stratum", "c.rule", "c.place").agg(F.count(F.lit(1)).alias("n"))
+    counts = held.select("stratum", F.explode(chains).alias("c")).groupBy("stratum", "c.rule", "c.place").agg(F.count(F.lit(1)).alias("n"))
     chain = Window.partitionBy("stratum", "rule")
     n = F.sum("n").over(chain).alias("total")
-    level = error / ((len(names) + 1) * len(RULES))
+    level = error / max(1, n_strata * len(RULES))
     # a cutoff rejects what it or a looser one rejects first
     places = counts.select("stratum", "rule", "place", "n", n).groupBy("stratum", "rule").agg(F.first("total").alias("total"), F.map_from_entries(F.collect_list(F.when(F.col("place").isNotNull(), F.struct("place", "n")))).alias("by_place"))
     cuts = F.create_map(*[x for rule, (_, c) in RULES.items() for x in (F.lit(rule), F.lit(len(c)))])
@@ -138,34 +137,22 @@ def certified(measured: DataFrame, good: DataFrame, limit: float = FALSE_REJECTI
     rejected = F.sum(F.coalesce(F.try_element_at("by_place", "cutoff"), F.lit(0))).over(chain.orderBy("cutoff"))
     steps = steps.withColumn("rejected", rejected).withColumn("p", binomial_tail(F.col("total"), F.col("rejected"), limit / len(RULES)))
     failed = F.max((F.col("p") > level).cast("int")).over(chain.orderBy("cutoff"))
-    passed = steps.withColumn("failed", failed).where("failed = 0").groupBy("stratum", "rule").agg(F.max("cutoff").alias("cutoff"))
-    out: dict[str, dict[str, int]] = {rule: {} for rule in RULES}
-    for r in passed.collect():
-        out[r.rule][r.stratum] = r.cutoff
-    return out
-
-
-def verdict(cutoffs: dict[str, dict[str, int]]) -> Column:
-    """True unless a certified cutoff of the row's stratum rejects it."""
-    known = sorted({s for by in cutoffs.values() for s in by} - {_OTHER})
-    lang = F.coalesce("lang", F.lit(""))
-    stratum = F.when(lang.isin(known), lang).otherwise(_OTHER) if known else F.lit(_OTHER)
-    out = F.lit(True)
-    for rule, by in cutoffs.items():
-        if by:
-            place = F.create_map(*[F.lit(x) for pair in by.items() for x in pair])[stratum]
-            out &= ~F.coalesce(first_rejected(rule) <= place, F.lit(False))
-    return out
+    passed = steps.withColumn("failed", failed).where("failed = 0")
+    return passed.groupBy("stratum").pivot("rule", list(RULES)).agg(F.max("cutoff"))
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, limit: float = FALSE_REJECTIONS, error: float = ERROR) -> DataFrame:
     """doc_id, lang, the counts, base_failed and kept of every row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), measures(F.col("text")).alias("m"))
-    measured = materialise(rows.select("doc_id", "lang", "m.*"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.xxhash64(text).alias("text_key"), measures(text).alias("m"))
+    measured = materialise(rows.select("doc_id", "lang", "text_key", "m.*"))
     quality = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("doc_id is not null and quality is not null")
     good = quality.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1")
-    cutoffs = certified(measured, good, limit, error)
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & verdict(cutoffs))
+    # written, so that its size is known when the join is planned
+    cutoffs = materialise(certified(measured, good, limit, error))
+    out = measured.drop("text_key").withColumn("stratum", F.coalesce("lang", F.lit(""))).join(cutoffs, "stratum", "left")
+    rejected = functools.reduce(lambda x, rule: x | F.coalesce(first_rejected(rule) <= F.col(rule), F.lit(False)), RULES, F.lit(False))
+    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected).drop("stratum", *RULES)
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +163,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _oracle() -> str:
     cuts = ", ".join(f"('{rule}', {k}, {cut})" for rule, (_, cutoffs) in RULES.items() for k, cut in enumerate(cutoffs))
     values = " UNION ALL ".join(
-        f"SELECT doc_id, lang, base_failed, '{rule}' AS rule, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} END AS value FROM b" for rule, (a, b) in ((r, m.split(" / ")) for r, (m, _) in RULES.items())
+        f"SELECT doc_id, lang, h, base_failed, '{rule}' AS rule, CASE WHEN {b} > 0 THEN {a}::DOUBLE / {b} END AS value FROM b" for rule, (a, b) in ((r, m.split(" / ")) for r, (m, _) in RULES.items())
     )
     p = FALSE_REJECTIONS / len(RULES)
     return rf"""
@@ -188,21 +175,21 @@ starts AS (SELECT doc_id, unnest(ks) AS k, generate_subscripts(ks, 1) AS i FROM
 again AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
 inside AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, unnest(range(8)) AS t(k) GROUP BY doc_id),
 m AS (
-  SELECT doc_id, lang, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  SELECT doc_id, lang, md5(t) AS h, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
     len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words FROM w LEFT JOIN inside USING (doc_id)
 ), b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
 v AS ({values}),
 good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-held AS (SELECT v.* FROM v SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
+held AS (SELECT DISTINCT lang, h, rule, value FROM v SEMI JOIN good USING (doc_id) WHERE NOT base_failed),
 cuts (rule, k, cut) AS (VALUES {cuts}),
 tried AS (SELECT lang, rule, k, cut, count(*) AS n, count(*) FILTER (WHERE value > cut) AS r FROM held JOIN cuts USING (rule) GROUP BY ALL),
 bound AS (SELECT *, CASE WHEN r > n * {p} THEN 1.0 ELSE list_sum(list_transform(range(0, r + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln({1 - p})))) END AS tail FROM tried),
-passed AS (SELECT * FROM bound QUALIFY max(tail) OVER (PARTITION BY lang, rule ORDER BY k) <= {ERROR} / (((SELECT count(DISTINCT lang) FROM held) + 1) * {len(RULES)})),
+passed AS (SELECT * FROM bound QUALIFY max(tail) OVER (PARTITION BY lang, rule ORDER BY k) <= {ERROR} / ((SELECT count(DISTINCT lang) FROM held) * {len(RULES)})),
 tightest AS (SELECT lang, rule, arg_max(cut, k) AS cut FROM passed GROUP BY lang, rule),
 rejected AS (SELECT DISTINCT doc_id FROM v JOIN tightest USING (lang, rule) WHERE value > tightest.cut)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT (doc_id IN (SELECT doc_id FROM rejected)) AS kept FROM b
 """
 
 
-#: The whole procedure; strata are not pooled, so it holds for up to STRATA languages.
+#: The whole procedure.
 ORACLE = _oracle()
