@@ -41,9 +41,8 @@ def _replaced(row: Column, text: Column, docs: DataFrame) -> Column:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which the benchmark covers a twentieth or more go; from the others, spans of thirteen benchmark words or more are cut out."""
-    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), row=True)
-    kept = decontaminate.without_spans(found.where(~F.col("contaminated")))
-    return kept.select(_replaced(F.col("row"), F.col("cleaned"), docs).alias("row")).select("row.*")
+    found = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"), row=True, cut=decontaminate.WINDOW)
+    return found.where(~F.col("contaminated")).select(_replaced(F.col("row"), F.col("cleaned"), docs).alias("row")).select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
