@@ -47,7 +47,7 @@ def test_against_brute_force(spark, monkeypatch, block_bytes):
     items = [(i, sentence(r.randint(0, 12))) for i in range(25)] + [(99, None), (98, "..."), (97, "ab"), (96, "ab")]
     texts = [sentence(r.randint(0, 40)) for _ in range(60)] + ["", "Ab"] + [f"x {t} y" for _, t in items if t]
     full = decontaminate.find_overlaps
-    monkeypatch.setattr(decontaminate, "find_overlaps", lambda d, b, w, row=False: full(d, b, w, block_bytes, row))
+    monkeypatch.setattr(decontaminate, "find_overlaps", lambda d, b, w, row=False, cut=None: full(d, b, w, block_bytes, row, cut))
     got = result(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string"), window=5)
     assert [got[i] for i in range(len(texts))] == brute(texts, items, 5)
 
@@ -65,8 +65,8 @@ def test_query_on_the_table(spark, sf_dir):
 def test_span_removal(spark, block_bytes):
     texts = ["One two, THREE four; five six seven. eight nine", "nothing here", "three four five six", "é x. Three four five six three four five six, z", "three four five"]
     items = spark.createDataFrame([(1, "three four five six"), (None, "one two three"), (3, "q " * 20)], "item_id long, text string")
-    found = decontaminate.find_overlaps(frame(spark, texts), items, 4, block_bytes, row=True)
-    out = {r.row.doc_id: r.cleaned for r in decontaminate.without_spans(found, 4).collect()}
+    found = decontaminate.find_overlaps(frame(spark, texts), items, 4, block_bytes, row=True, cut=4)
+    out = {r.row.doc_id: r.cleaned for r in found.collect()}
     assert out == {0: " seven. eight nine", 1: None, 2: "", 3: "é x, z", 4: None}
     names = {r.row.doc_id: (r.items, r.longest_match) for r in found.collect()}
     # matches shorter than every window of a block of items are not looked for
@@ -78,8 +78,8 @@ def test_removal_is_linear(spark):
     item = "three four five six"
     docs = frame(spark, [f"word word {item} other " * 30_000])
     items = spark.createDataFrame([(1, item)], "item_id long, text string")
-    found = decontaminate.find_overlaps(docs, items, 4, row=True)
-    assert decontaminate.without_spans(found, 4).first().cleaned == "word word other " * 29_999 + "word word other "
+    found = decontaminate.find_overlaps(docs, items, 4, row=True, cut=4)
+    assert found.first().cleaned == "word word other " * 29_999 + "word word other "
 
 
 def test_odd_rows(spark):

@@ -1,71 +1,72 @@
 """What the operators share about Spark itself."""
 
-import functools
-import tempfile
-import uuid
+import ctypes
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
+
+from ..functions.stored import materialise, shared_dir  # noqa: F401
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@functools.lru_cache
-def _own_dir(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-")
-
+def sliced(batches, size: int = 2 << 20):
+    """Slices of whole rows with about `size` bytes of text each: what a task computes on is small, whatever the session's Arrow batches are. batches: with a column text, or arrays of texts."""
+    for batch in batches:
+        texts = batch if isinstance(batch, pa.Array) else batch.column("text")
+        row, rows = 0, len(texts)
+        sizes = pc.cumulative_sum(pc.fill_null(pc.binary_length(texts), 0).cast("int64")).to_numpy() if rows else ()
+        while row < rows:
+            stop = max(row + 1, int(np.searchsorted(sizes, (sizes[row - 1] if row else 0) + size, "right")))
+            yield batch.slice(row, stop - row)
+            row = stop
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors see: the session's spark.checkpoint.dir. Only a session within one process may do without it."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    master = spark.sparkContext.master
-    if master != "local" and not master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-    return _own_dir(spark.sparkContext.applicationId)
 
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system: idle workers live on, beside those of the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
-def materialise(df: DataFrame, *instead: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and reads it again, which ends its lineage: a lost executor costs no recomputation.
-
-    instead: materialised tables that nothing reads once df is written; they are deleted. All others stay until the folder is cleared.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    for old in instead:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old.stored_at)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
 
+def released(run):
+    """The function for mapInArrow, with release() after each partition."""
 
-def given_rows(docs: DataFrame, row: bool = False) -> DataFrame:
-    """doc_id and text; or, if row, one struct `row` of all columns of docs, whatever their names."""
-    if row:
-        return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    def runs(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
 
+    return runs
 
-def found_rows(schema: str, docs: DataFrame, row: bool) -> T.StructType:
-    """The schema of carried() and what is found."""
-    found = T._parse_datatype_string(schema)
-    return T.StructType([*(T.StructType().add("row", docs.schema) if row else T._parse_datatype_string("doc_id long")), *found])
 
+def answered(docs: DataFrame, answers, schema: str, row: bool = False, *more: Column) -> DataFrame:
+    """For every row of docs its doc_id, or if row a struct `row` of all its columns, whatever their names; more; and what `answers` finds in its text.
 
-def text_of(batch):
-    """The texts of a batch of given_rows()."""
-    return batch.column("text") if "text" in batch.schema.names else batch.column("row").field("text")
-
-
-def carried(batch) -> dict:
-    """The columns of a batch of given_rows() that go with what is found: the whole row, or its id."""
-    return {c: batch.column(c) for c in ("row", "doc_id") if c in batch.schema.names}
+    answers: from an Arrow array of texts, arrays by the names of schema. Only texts go to Python; a row's other columns stay where they are.
+    """
+    kind = T._parse_datatype_string(schema)
+
+    def run(texts: pa.Array) -> pa.Array:
+        found = [answers(part) for part in sliced([texts])]
+        release()
+        columns = [pa.concat_arrays([f[c] for f in found]) if found else pa.array([], to_arrow_type(t.dataType)) for c, t in zip(kind.names, kind, strict=True)]
+        return pa.StructArray.from_arrays(columns, names=kind.names)
+
+    # taken for nondeterministic, so that no filter on the result has it computed twice
+    find = F.arrow_udf(run, kind).asNondeterministic()
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if row else F.col("doc_id").cast("long").alias("doc_id")
+    out = docs.select(own, *more, find(F.col("text").cast("string")).alias("found"))
+    return out.select(*out.columns[:-1], "found.*")
 
 
 def let(value: Column, body) -> Column:

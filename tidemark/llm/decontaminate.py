@@ -20,18 +20,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._shared import carried, found_rows, given_rows, materialise, table, text_of
+from ._shared import answered, materialise, sliced, table
 from ._text import ALNUM, Words, blocks, gram_starts, grams
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
 
 FOUND = "n_words long, longest_match long, spans array<struct<start: long, end: long>>, items array<string>"
-FOUND_NAMES = ("n_words", "longest_match", "spans", "items")
 
 
 class SuffixAutomaton:
@@ -173,37 +172,74 @@ def _spans(hit: np.ndarray, first: int) -> list[tuple[int, int]]:
     return [(int(a) + first, int(b) + first) for a, b in zip(edges[::2], edges[1::2], strict=True)]
 
 
+def _without(data: np.ndarray, w: Words, doc: int, offsets: np.ndarray, spans: list[dict], longest: int) -> bytes | None:
+    """The bytes of a document without the words under runs of at least `longest` hit words and what stands before each; None if there are none."""
+    first, last = int(w.first[doc]), int(w.first[doc + 1])
+    hit = np.zeros(last - first, bool)
+    for s in spans:
+        hit[s["start"] : s["end"]] = True
+    runs = [(a, b) for a, b in _spans(hit, 0) if b - a >= longest]
+    if not runs:
+        return None
+    out, at = [], int(offsets[doc])
+    for a, b in runs:
+        out.append(data[at : w.end[first + a - 1] if a else at].tobytes())
+        at = int(w.end[first + b - 1])
+    return b"".join([*out, data[at : offsets[doc + 1]].tobytes()])
+
+
+def _cleaned(cut: int):
+    """Column function of a text and its spans from several blocks of items: the text without them."""
+
+    def run(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        cleaned, spans = [], spans.to_pylist()
+        for row, stop, data, offsets in blocks(texts):
+            w = Words(data, offsets, ALNUM, lower=True) if any(spans[row:stop]) else None
+            cleaned += [_without(data, w, k - row, offsets, spans[k], cut) if spans[k] else None for k in range(row, stop)]
+        return pa.array(cleaned, pa.binary()).cast(pa.string())
+
+    return F.arrow_udf(run, "string").asNondeterministic()
+
+
 _SPANS, _NAMES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), pa.list_(pa.string())
 
 
-def _pass(matcher, others: bool = True):
-    """One pass of the rows through one block's automaton; spans are of words, ends exclusive. others: rows that nothing hits are given out too."""
+def _pass(matcher, cut: int | None = None):
+    """From texts what one pass through one block's automaton finds; spans are of words, ends exclusive. cut: if given, also the text without spans of at least so many words, null if it has none."""
 
-    def run(batches):
+    def answers(texts):
         m = matcher.value
-        for batch in batches:
-            n_words, spans, items, longest = [], [], [], []
-            for _, _, data, offsets in blocks(text_of(batch)):
-                w = Words(data, offsets, ALNUM, lower=True)
-                found = {}
-                for a, b in zip(*m.runs(w), strict=True):
-                    hit, by, size = m.automaton.match([w.word(i) for i in range(a, b + 1)])
-                    doc = int(w.doc[a])
-                    s, i, l = found.get(doc, ([], set(), 0))
-                    found[doc] = (s + _spans(hit, int(a - w.first[doc])), i | by, max(l, size))
-                n_words.append(w.count)
-                for doc in range(len(w.count)):
-                    s, i, l = found.get(doc, ((), (), 0))
-                    spans.append([{"start": a, "end": b} for a, b in s])
-                    items.append(sorted(x for x in i if x is not None))
-                    longest.append(l)
-            counts = np.concatenate([*n_words, np.zeros(0, np.int64)]).astype(np.int64)
-            out = {"n_words": pa.array(counts), "longest_match": pa.array(longest, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _NAMES)}
-            if others:
-                yield pa.RecordBatch.from_pydict(carried(batch) | out)
-            else:
-                rows = pa.RecordBatch.from_pydict({"t": batch.column("t"), "u": batch.column("u")} | out)
-                yield rows.filter(pa.array([bool(x) for x in longest], pa.bool_()))
+        n_words, spans, items, longest, cleaned = [], [], [], [], []
+        for _, _, data, offsets in blocks(texts):
+            w = Words(data, offsets, ALNUM, lower=True)
+            found = {}
+            for a, b in zip(*m.runs(w), strict=True):
+                hit, by, size = m.automaton.match([w.word(i) for i in range(a, b + 1)])
+                doc = int(w.doc[a])
+                s, i, l = found.get(doc, ([], set(), 0))
+                found[doc] = (s + _spans(hit, int(a - w.first[doc])), i | by, max(l, size))
+            n_words.append(w.count)
+            for doc in range(len(w.count)):
+                s, i, l = found.get(doc, ((), (), 0))
+                spans.append([{"start": a, "end": b} for a, b in s])
+                items.append(sorted(x for x in i if x is not None))
+                longest.append(l)
+                if cut is not None:
+                    cleaned.append(_without(data, w, doc, offsets, spans[-1], cut) if s else None)
+        counts = np.concatenate([*n_words, np.zeros(0, np.int64)]).astype(np.int64)
+        out = {"n_words": pa.array(counts), "longest_match": pa.array(longest, pa.int64()), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _NAMES)}
+        return out | ({} if cut is None else {"cleaned": pa.array(cleaned, pa.binary()).cast(pa.string())})
+
+    return answers
+
+
+def _hits(matcher):
+    """The keys of texts and what one pass finds, of texts that it finds something in."""
+
+    def run(batches):
+        for batch in sliced(batches):
+            rows = pa.RecordBatch.from_pydict({"t": batch.column("t"), "u": batch.column("u")} | _pass(matcher)(batch.column("text")))
+            yield rows.filter(pc.greater(rows.column("longest_match"), 0))
 
     return run
 
@@ -213,9 +249,11 @@ def _key(text):
     return F.xxhash64(text).alias("t"), F.hash(text).alias("u")
 
 
-def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, row: bool = False) -> DataFrame:
+def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, row: bool = False, cut: int | None = None) -> DataFrame:
     """doc_id, n_words, longest_match, spans of hit words and the items that hit, for every row of docs; if row, a struct of all its columns instead of doc_id.
 
+    cut: with row, adds `cleaned`, the text without spans of at least so many hit words and what stands before each of them, null if it has none.
+
     The first block of items goes by in the pass that answers all rows. Each further one is a pass by itself, written before the next automaton is built: it keeps
     only what it has hit, by the hash of the text. longest_match is 0 where no run of words is as long as the shortest window of the items.
     """
@@ -232,27 +270,22 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
     more = None
     for k in range(1, n):
         sent = matcher(k)
-        hits = docs.select(*_key(text), text.alias("text")).mapInArrow(_pass(sent, others=False), f"t long, u int, {FOUND}").dropDuplicates(["t", "u"])
+        hits = docs.select(*_key(text), text.alias("text")).mapInArrow(_hits(sent), f"t long, u int, {FOUND}").dropDuplicates(["t", "u"])
         hits = materialise(hits.drop("n_words"))
         more = hits if more is None else more.unionByName(hits)
         sent.destroy()
-    given = given_rows(docs, row)
-    own = F.col("row.text").cast("string") if row else F.col("text")
-    keyed = given if more is None else given.withColumns(dict(zip(("t", "u"), _key(own), strict=True)))
-    schema = found_rows(FOUND, docs, row)
     if more is None:
-        return keyed.mapInArrow(_pass(matcher(0)), schema)
-    # the keys ride in the row that is handed back
-    names = [f.name for f in schema][:1]
-    inside = keyed.select(F.struct(*names, "t", "u").alias("row"), own.alias("text")) if not row else keyed.select(F.struct("row", "t", "u").alias("row"), own.alias("text"))
-    first = inside.mapInArrow(_pass(matcher(0)), T.StructType([inside.schema["row"], *T._parse_datatype_string(FOUND)])).select("row.*", *FOUND_NAMES)
+        return answered(docs, _pass(matcher(0), cut), FOUND if cut is None else f"{FOUND}, cleaned string", row)
+    names = ["row"] if row else ["doc_id"]
+    first = answered(docs, _pass(matcher(0)), FOUND, row, *_key(text))
     of_text = more.groupBy("t", "u").agg(F.flatten(F.collect_list("spans")).alias("spans2"), F.flatten(F.collect_list("items")).alias("items2"), F.max("longest_match").alias("longest2"))
     both = first.join(of_text, ["t", "u"], "left")
     none = lambda c, like: F.coalesce(c, F.array().cast(both.schema[like].dataType))
-    return both.select(
+    out = both.select(
         *names, "n_words", F.greatest("longest_match", F.coalesce("longest2", F.lit(0).cast("long"))).alias("longest_match"), F.concat("spans", none("spans2", "spans")).alias("spans"),
         F.array_sort(F.array_distinct(F.concat("items", none("items2", "items")))).alias("items"),
     )
+    return out if cut is None else out.withColumn("cleaned", _cleaned(cut)(F.col("row.text").cast("string"), F.col("spans")))
 
 
 def merge_spans(spans):
@@ -266,9 +299,9 @@ def merge_spans(spans):
     return step["n"]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_percent: int = 5, row: bool = False) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_percent: int = 5, row: bool = False, cut: int | None = None) -> DataFrame:
     """Per document: n_words, n_hit, n_items, items (sorted ids) and contaminated, true when hits cover max_percent of the words or more."""
-    found = find_overlaps(docs, benchmark, window, row=row)
+    found = find_overlaps(docs, benchmark, window, row=row, cut=cut)
     n_hit = merge_spans(F.col("spans"))
     return (
         found.withColumn("n_hit", n_hit)
@@ -277,41 +310,6 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     )
 
 
-def _without(data: np.ndarray, w: Words, first: int, last: int, begin: int, end: int, spans, longest: int) -> bytes | None:
-    """The bytes from begin to end without the words (first to last of w) under runs of at least `longest` hit words and what stands before each; None if there are none."""
-    hit = np.zeros(last - first, bool)
-    for s in spans:
-        hit[s["start"] : s["end"]] = True
-    runs = [(a, b) for a, b in _spans(hit, 0) if b - a >= longest]
-    if not runs:
-        return None
-    out, at = [], begin
-    for a, b in runs:
-        out.append(data[at : w.end[first + a - 1] if a else begin].tobytes())
-        at = int(w.end[first + b - 1])
-    return b"".join([*out, data[at:end].tobytes()])
-
-
-def without_spans(found: DataFrame, longest: int = WINDOW) -> DataFrame:
-    """Rows of find_overlaps(row=True) with `cleaned`: the text without spans of `longest` hit words or more; null if it has none."""
-
-    def run(batches):
-        for batch in batches:
-            cleaned: list = []
-            spans = batch.column("spans").to_pylist()
-            for row, _, data, offsets in blocks(text_of(batch)):
-                if not any(spans[row : row + len(offsets) - 1]):
-                    cleaned += [None] * (len(offsets) - 1)
-                    continue
-                w = Words(data, offsets, ALNUM, lower=True)
-                for k in range(len(offsets) - 1):
-                    own = spans[row + k]
-                    cleaned.append(_without(data, w, int(w.first[k]), int(w.first[k + 1]), int(offsets[k]), int(offsets[k + 1]), own, longest) if own else None)
-            yield batch.append_column("cleaned", pa.array(cleaned, pa.binary()).cast(pa.string()))
-
-    return found.mapInArrow(run, T.StructType([*found.schema, T.StructField("cleaned", T.StringType())]))
-
-
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")

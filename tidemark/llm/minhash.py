@@ -26,9 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ._shared import materialise, table
+from ._shared import materialise, released, sliced, table
 from ._text import Words, blocks, grams
 from .components import connected_components
 
@@ -73,25 +72,26 @@ def _digest(shingles: np.ndarray) -> bytes:
     return np.array([shingles.sum(dtype=np.uint64), (x ^ (x >> np.uint64(29)) ^ np.uint64(len(shingles))).sum(dtype=np.uint64)]).tobytes()
 
 
-def sketch(docs: DataFrame, shingle: int = 3, row: bool = False) -> DataFrame:
-    """doc_id, text_key (a hash of the text), n_shingles, digest and signature (both null for an empty set); if row, also a struct of all columns."""
+def sketch(docs: DataFrame, shingle: int = 3) -> DataFrame:
+    """doc_id, two hashes of the text, n_shingles, digest and signature (both null for an empty set)."""
     kind = pa.schema([("n_shingles", pa.int64()), ("digest", pa.binary()), ("signature", pa.binary())])
-    names = ["doc_id", "text_key", *(["row"] if row else [])]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [(len(s), _digest(s), signature(s).tobytes()) if len(s) else (0, None, None) for s in shingle_sets(batch.column("text"), shingle)]
             found = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in names} | {f.name: pa.array(x, f.type) for f, x in zip(kind, found, strict=True)})
+            yield pa.RecordBatch.from_pydict({c: batch.column(c) for c in KEYS} | {f.name: pa.array(x, f.type) for f, x in zip(kind, found, strict=True)})
+
+    return docs.select(*_keys(), F.col("text").cast("string").alias("text")).mapInArrow(released(run), "doc_id long, text_key long, text_key2 int, n_shingles long, digest binary, signature binary")
 
-    given = docs.select(*_keys(), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if row else []), F.col("text").cast("string").alias("text"))
-    schema = T.StructType([*given.drop("text").schema, *T._parse_datatype_string("n_shingles long, digest binary, signature binary")])
-    return given.mapInArrow(run, schema)
 
+KEYS = ("doc_id", "text_key", "text_key2")
 
-def _keys() -> tuple:
+
+def _keys() -> list:
     """What tells the rows of a text: several may have one doc_id, or none."""
-    return F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("text_key")
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.hash(text).alias("text_key2")]
 
 
 def least_matches(threshold: float, miss: float = MISS) -> list[int]:
@@ -144,7 +144,7 @@ def member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     kind = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             sets = list(shingle_sets(batch.column("text"), shingle))
             same = [_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)]
             yield pa.record_batch([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], schema=kind).filter(pa.array(same, pa.bool_()))
@@ -152,7 +152,7 @@ def member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
     rows = docs.select(*_keys(), F.col("text").cast("string").alias("text"))
     own = members.select("node", F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "digest")
     found = rows.join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_key") == F.col("_key"))).select("node", "digest", "text")
-    return found.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    return found.mapInArrow(released(run), "node long, shingles binary").dropDuplicates(["node"])
 
 
 def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -161,8 +161,10 @@ def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int)
 
     def compared(batches):
         for batch in batches:
-            x, y = (_signatures(batch.column(c)) for c in ("sign_a", "sign_b"))
-            yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(alive(x, y, least), pa.int64()))
+            for i in range(0, batch.num_rows, 512):
+                part = batch.slice(i, 512)
+                x, y = (_signatures(part.column(c)) for c in ("sign_a", "sign_b"))
+                yield pa.record_batch([part.column("a"), part.column("b")], names=["a", "b"]).take(pa.array(alive(x, y, least), pa.int64()))
 
     def exact(batches):
         for batch in batches:
@@ -172,7 +174,8 @@ def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int)
     def of_both(rows, values, name):
         return rows.join(values.toDF("b", f"{name}_b"), "b").join(values.toDF("a", f"{name}_a"), "a")
 
-    left = of_both(pairs.select("a", "b"), signs, "sign").mapInArrow(compared, "a long, b long")
+    # written, so that no task needs a Python worker for each of the two steps
+    left = materialise(of_both(pairs.select("a", "b"), signs, "sign").mapInArrow(compared, "a long, b long"))
     return of_both(left, sets, "set").mapInArrow(exact, "a long, b long")
 
 
@@ -278,16 +281,16 @@ def link_classes(docs: DataFrame, classes: DataFrame, shingle: int, percent: int
     return connected_components(links)
 
 
-def _linked(docs: DataFrame, shingle: int, percent: int, row: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The sketches of all rows with a row_no; digest and component of the classes; and by component the smallest doc_id and the row_no of its first row."""
-    sketches = materialise(sketch(docs, shingle, row).withColumn("row_no", F.monotonically_increasing_id()))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no", "text_key", "signature"))
+def _linked(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketches of all rows with a row_no; digest and component of the classes; and by component the smallest doc_id with the row_no and the keys of its first row."""
+    sketches = materialise(sketch(docs, shingle).withColumn("row_no", F.monotonically_increasing_id()))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row_no", "text_key", "text_key2", "signature"))
     first = sketches.where("digest is not null").groupBy("digest").agg(least.alias("r"), F.first("n_shingles").alias("n_shingles"))
     # written once, so a class has one number wherever it is read
     classes = materialise(first.select("digest", "n_shingles", "r.*", F.monotonically_increasing_id().alias("node")))
     components = link_classes(docs, classes, shingle, percent)
     of_class = classes.drop("signature").join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    heads = of_class.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "row_no")).alias("h")).select("component", F.col("h.doc_id").alias("component_id"), F.col("h.row_no").alias("first_row"))
+    heads = of_class.groupBy("component").agg(F.min(F.struct("unnamed", "doc_id", "row_no", "text_key", "text_key2")).alias("h")).select("component", "h.*")
     return sketches, of_class.select("digest", "component"), heads
 
 
@@ -297,15 +300,21 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, percent: int = 85) -> Dat
     # rows without words get keys of their own, which match nothing: as nulls they would meet in one task
     key = F.coalesce("digest", F.col("row_no").cast("string").cast("binary"))
     rows = sketches.select("doc_id", "n_shingles", "row_no", key.alias("digest"), F.col("digest").isNull().alias("empty"))
-    out = rows.join(of_class.join(heads, "component"), "digest", "left")
+    of_row = of_class.join(heads.select("component", F.col("doc_id").alias("component_id"), F.col("row_no").alias("first_row")), "component")
+    out = rows.join(of_row, "digest", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("empty"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("empty") | (F.col("first_row") == F.col("row_no"))).alias("kept"))
 
 
 def first_rows(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, whole, that near_duplicates() keeps: one of each component, and all without words."""
-    sketches, _, heads = _linked(docs, shingle, percent, row=True)
-    first = heads.select(F.col("first_row").alias("row_no"), F.lit(True).alias("first"))
-    return sketches.select("row_no", "row", F.col("digest").isNull().alias("empty")).join(first, "row_no", "left").where("empty or first").select("row.*")
+    """The rows of docs, whole, that near_duplicates() keeps: one of each component, and all without words. Of repeated rows of one id and text any one."""
+    _, _, heads = _linked(docs, shingle, percent)
+    names = [f"_{k}" for k in ("unnamed", *KEYS)]
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    # a null id is a number and a flag here, so that all of it is one hash join
+    keyed = lambda keys, *more: [keys[0].isNull().alias(names[0]), F.coalesce(keys[0], F.lit(0)).alias(names[1]), keys[1].alias(names[2]), keys[2].alias(names[3]), *more]
+    rows = docs.select(*keyed(_keys(), row, (~F.coalesce(F.col("text").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).alias("_empty")))
+    kept = rows.where(~F.col("_empty")).join(heads.select(*keyed([F.col(k) for k in KEYS])), names, "left_semi").dropDuplicates(names)
+    return kept.select("row.*").unionByName(rows.where("_empty").select("row.*"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

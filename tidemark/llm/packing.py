@@ -30,10 +30,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import table
+from ._shared import released, sliced, table
 from ._text import Words, blocks
 
-WINDOW, END, BLOCK = 4096, 2, 1 << 20
+WINDOW, END, BLOCK = 4096, 2, 1 << 18
 SENTENCE, ANYWHERE, STRIDE, SEQUENCE = 8.0, 48.0, 32, 64.0
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
@@ -189,7 +189,7 @@ class WordTokenizer:
 
 @functools.lru_cache(1)
 def tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker: with its memory of words it takes under 150 MB, however much text has come."""
+    """One for each Python worker: with its memory of words it takes some 60 MB, however much text has come."""
     return WordTokenizer(path)
 
 
@@ -312,7 +312,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str = TOKENIZER,
     def run(batches):
         tok = tokenizer(tokenizer_path)
         stream = Stream(tok.stops, window, TaskContext.get().partitionId() << 36)
-        for batch in batches:
+        for batch in sliced(batches):
             for doc, ids in zip(batch.column(0).to_pylist(), tok.encode(batch.column(1)), strict=True):
                 stream.add(doc, np.append(ids, np.uint32(end_id)))
                 if stream.size >= block:
@@ -320,7 +320,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str = TOKENIZER,
         yield from rows_of(stream.cut(last=True))
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).mapInArrow(released(run), SCHEMA)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import carried, found_rows, given_rows, table, text_of
+from ._shared import answered, table
 from ._text import buffers
 
 KINDS = ("email", "ip", "card", "phone")
@@ -355,27 +355,26 @@ def find(docs: DataFrame, model: SkipChain | None = None, row: bool = False) ->
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     named = lambda s: [{"kind": NAMES[k], "start": a, "end": b} for k, a, b in s]
 
-    def run(batches):
-        evidence = np.zeros(256, bool)
-        evidence[[*range(0x30, 0x3A), 0x40]] = True
-        for batch in batches:
-            data, offsets = buffers(text_of(batch))
-            own = data[offsets[0] : offsets[-1]]
-            total = np.concatenate(([0], np.cumsum(evidence[own], dtype=np.int64)))
-            base, spans, hidden = ([[] for _ in range(batch.num_rows)] for _ in range(3))
-            changed: list = [None] * batch.num_rows
-            for k in np.flatnonzero(np.diff(total[offsets - offsets[0]])).tolist():
-                text = data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")
-                found, values = base_spans(text), secrets(text)
-                more = shared.value.added(Document(text, found + values, False)) if found or values else []
-                every = sorted(found + [x for x in more if x[0] < len(KINDS)])
-                values = sorted(values + [x for x in more if x[0] == len(KINDS)])
-                base[k], spans[k], hidden[k] = named(found), named(every), named(values)
-                changed[k] = redacted(text, every + values) if every or values else None
-            yield pa.RecordBatch.from_pydict(carried(batch) | {"base": pa.array(base, span), "spans": pa.array(spans, span), "secrets": pa.array(hidden, span), "redacted": pa.array(changed, pa.string())})
+    evidence = np.zeros(256, bool)
+    evidence[[*range(0x30, 0x3A), 0x40]] = True
+
+    def answers(texts):
+        data, offsets = buffers(texts)
+        total = np.concatenate(([0], np.cumsum(evidence[data[offsets[0] : offsets[-1]]], dtype=np.int64)))
+        base, spans, hidden = ([[] for _ in range(len(texts))] for _ in range(3))
+        changed: list = [None] * len(texts)
+        for k in np.flatnonzero(np.diff(total[offsets - offsets[0]])).tolist():
+            text = data[offsets[k] : offsets[k + 1]].tobytes().decode("utf-8", "replace")
+            found, values = base_spans(text), secrets(text)
+            more = shared.value.added(Document(text, found + values, False)) if found or values else []
+            every = sorted(found + [x for x in more if x[0] < len(KINDS)])
+            values = sorted(values + [x for x in more if x[0] == len(KINDS)])
+            base[k], spans[k], hidden[k] = named(found), named(every), named(values)
+            changed[k] = redacted(text, every + values) if every or values else None
+        return {"base": pa.array(base, span), "spans": pa.array(spans, span), "secrets": pa.array(hidden, span), "redacted": pa.array(changed, pa.string())}
 
     kinds = "array<struct<kind: string, start: long, end: long>>"
-    return given_rows(docs, row).mapInArrow(run, found_rows(f"base {kinds}, spans {kinds}, secrets {kinds}, redacted string", docs, row))
+    return answered(docs, answers, f"base {kinds}, spans {kinds}, secrets {kinds}, redacted string", row)
 
 
 def listed(spans):

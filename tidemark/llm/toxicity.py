@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import carried, fold, found_rows, given_rows, table, text_of
+from ._shared import answered, fold, released, sliced, table
 from ._text import ALNUM, Words, blocks
 
 BITS = 18
@@ -117,7 +117,7 @@ def _sampled(rows: DataFrame, most: int, most_bytes: int) -> list[np.ndarray]:
     kind = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("features", pa.binary())])
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             found = [f.astype(np.uint32).tobytes() for f in features(batch.column("text"))]
             yield pa.record_batch([batch.column("h"), batch.column("doc_id"), pa.array(found, pa.binary())], schema=kind)
 
@@ -137,7 +137,7 @@ def _sampled(rows: DataFrame, most: int, most_bytes: int) -> list[np.ndarray]:
     chosen = hashed.where(at <= F.struct(*[F.lit(x).alias(c) for x, c in zip(last, order, strict=True)]))
     # a row that is repeated teaches once
     chosen = chosen.dropDuplicates(order)
-    return [np.frombuffer(r.features, np.uint32).astype(np.int64) for r in sorted(chosen.mapInArrow(run, "h long, doc_id long, features binary").collect())]
+    return [np.frombuffer(r.features, np.uint32) for r in sorted(chosen.mapInArrow(released(run), "h long, doc_id long, features binary").collect())]
 
 
 def train(docs: DataFrame, labels: DataFrame, usable, positives: int = POSITIVES, unlabelled: int = UNLABELLED, most_bytes: int = SAMPLE_BYTES) -> Linear:
@@ -147,19 +147,16 @@ def train(docs: DataFrame, labels: DataFrame, usable, positives: int = POSITIVES
     prior = marks.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).where(usable(F.col("doc_id")) & text.isNotNull())
-    toxic = _sampled(rows.join(marks.where("toxic = 1").select("doc_id"), "doc_id", "left_semi"), positives, most_bytes)
+    # at most `positives` ids are broadcast
+    confirmed = F.broadcast(marks.where("toxic = 1").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(positives))
+    toxic = _sampled(rows.join(confirmed, "doc_id", "left_semi"), positives, most_bytes)
     return fit(toxic, _sampled(rows, unlabelled, most_bytes), prior) if toxic else Linear(prior)
 
 
 def score(docs: DataFrame, model: Linear, row: bool = False) -> DataFrame:
     """doc_id and score of every row; if row, a struct of all its columns and the score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_pydict(carried(batch) | {"score": pa.array(shared.value.score(text_of(batch)))})
-
-    return given_rows(docs, row).mapInArrow(run, found_rows("score double", docs, row))
+    return answered(docs, lambda texts: {"score": pa.array(shared.value.score(texts), pa.float64())}, "score double", row)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
