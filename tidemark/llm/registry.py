@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import chat, decontaminate, lm, minhash, packing, pii, quality, substrings, toxicity, warc
+from . import chat, decontaminate, lm, minhash, packing, pii, quality, substrings, templates, toxicity, variants, warc
 
 
 def queries() -> dict:
@@ -15,8 +15,10 @@ def queries() -> dict:
         "op8_toxicity_pu": toxicity.op8,
         "op9_ppm_score": lm.op9,
         "op10_substring_dedup": substrings.op10,
+        "op11_main_text": templates.op11,
+        "op12_spelling_variants": variants.op12,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op4_chat_format": chat.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_minhash": minhash.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_substring_dedup": substrings.ORACLE}
+    return {"op4_chat_format": chat.ORACLE, "op5_quality_rules": quality.ORACLE, "op6_minhash": minhash.ORACLE, "op7_decontaminate": decontaminate.ORACLE, "op10_substring_dedup": substrings.ORACLE, "op12_spelling_variants": variants.ORACLE}
