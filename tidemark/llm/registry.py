@@ -1,6 +1,6 @@
 """The queries of this subpackage, and the SQL of those that SQL can express."""
 
-from . import chat, decontaminate, lm, minhash, packing, pii, quality, substrings, templates, toxicity, variants, warc
+from . import chat, decontaminate, lm, minhash, packing, periodic, pii, quality, substrings, templates, toxicity, variants, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op10_substring_dedup": substrings.op10,
         "op11_main_text": templates.op11,
         "op12_spelling_variants": variants.op12,
+        "op13_periodic_runs": periodic.op13,
     }
 
 
