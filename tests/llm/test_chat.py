@@ -1,5 +1,8 @@
+import hashlib
 import random
+import time
 
+from pyspark.sql import functions as F
 from tidemark.llm import chat
 
 from tests import oracle
@@ -40,3 +43,13 @@ def test_odd_rows(spark):
     assert found[None].formatted == "### : </turn>\n### user: a</turn>\n"
     assert found[2].formatted == "### assistant: b</turn>\n" * 2 and len(found[2].loss_spans) == 2
     assert chat.format_chats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_a_long_conversation_is_linear(spark):
+    rows = spark.range(100_000).select(F.lit(5).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("### x "), F.repeat(F.lit("long "), 20), "id").alias("text"))
+    began = time.perf_counter()
+    found = chat.format_chats(rows)
+    row = found.select(F.size(chat.parse(F.col("formatted"))).alias("n"), F.sha2(chat.under_mask(F.col("formatted"), F.col("loss_spans")), 256).alias("loss")).first()
+    assert row.n == 100_000
+    assert row.loss == hashlib.sha256("".join("### x " + "long " * 20 + str(i) for i in range(1, 100_000, 2)).encode()).hexdigest()
+    assert time.perf_counter() - began < 60

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import exchange, lm, substrings
 
@@ -50,3 +51,14 @@ def test_code_lengths_by_a_tree(spark, deep):
     for i in range(40):
         assert got[i].n_tokens == want[i][0] and got[i].n_known == want[i][1] and got[i].train_tokens == want[i][2]
         assert got[i].base_score == pytest.approx(want[i][3]) and got[i].score == pytest.approx(want[i][4], rel=1e-5)
+
+
+def test_repeated_rows_are_dealt_out(spark, tmp_path):
+    """Equal rows, without an id too, spread over all blocks, and the same way each time."""
+    rows = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one text").alias("text"), F.lit(1).alias("block"))
+    rows.repartition(3).write.parquet(str(tmp_path / "rows"))
+    for docs in (rows, spark.read.parquet(str(tmp_path / "rows"))):
+        dealt = exchange.in_blocks(docs, 16)
+        first = {r.block: r["count"] for r in dealt.groupBy("block").count().collect()}
+        assert len(first) == 16 and max(first.values()) < 2 * 20_000 / 16
+        assert first == {r.block: r["count"] for r in dealt.groupBy("block").count().collect()}

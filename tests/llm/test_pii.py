@@ -152,3 +152,31 @@ def test_redaction(spark):
     docs = frame(spark, ["mail a@b.co or 10.0.0.1 now", "nothing"])
     assert {r.doc_id: r.redacted for r in pii.find(docs).collect()} == {0: "mail <email> or <ip> now", 1: None}
     assert pii.redacted("abcdef", [(0, 1, 4), (3, 2, 5), (1, 5, 6)]) == "a<email><ip>"
+
+
+def test_many_different_numbers_are_linear():
+    addresses = [f"{i % 200 + 1}.{i // 200 % 250}.{i // 50_000}.{i % 251}" for i in range(50_000)]
+    for gap in (" ", ", ", " / "):
+        text = gap.join(addresses)
+        began = time.process_time()
+        base = pii.base_spans(text)
+        assert len(base) == 50_000
+        pii.SkipChain().added(pii.Document(text, base, False))
+        assert time.process_time() - began < 5
+
+
+def test_numbers_are_found_wherever_they_come_again():
+    text = f"pay {CARD} or 12 4111/1111/1111/1111 99 and 4111.1111.1111.1111"
+    found = [text[a:b] for _, a, b in pii._places(text, {"4111111111111111"})]
+    assert found == [CARD, "4111/1111/1111/1111", "4111.1111.1111.1111"]
+    both = [d for d, _, _ in pii._places(text, {"4111111111111111", "1111"})]
+    assert (both.count("4111111111111111"), both.count("1111")) == (3, 9)  # three in each of three runs, none over another
+
+
+def test_a_huge_text_is_no_end_of_the_sample(spark):
+    """Whatever its place in the order, it costs the sample itself only."""
+    texts = {i: t for i, t in enumerate(SAMPLE)}
+    for huge in (500, 501, 502):
+        docs = frame(spark, texts | {huge: "call 1 " * 20_000})
+        some, all_ = pii.train(docs, most_bytes=100_000), pii.train(frame(spark, texts))
+        assert np.allclose(some.node, all_.node) and some.skip == all_.skip

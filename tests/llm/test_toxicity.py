@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -61,3 +62,41 @@ def test_odd_rows(spark):
     none = toxicity.train(odd(spark), labels.limit(0), lambda i: toxicity.fold(i) != 0)
     assert {r.score < 0.01 for r in toxicity.score(odd(spark), none).collect()} == {True}
     assert toxicity.score(empty(spark), toxicity.train(empty(spark), labels, lambda i: toxicity.fold(i) != 0)).count() == 0
+
+
+def brute_risk(p, u, prior):
+    """Both parts of the risk, a loss at a time."""
+    loss = lambda m, y: math.log(1 + math.exp(-y * m))
+    return prior * sum(loss(m, 1) for m in p) / len(p), sum(loss(m, -1) for m in u) / len(u) - prior * sum(loss(m, -1) for m in p) / len(p)
+
+
+def test_risk_and_slopes_against_brute_force():
+    rng = np.random.default_rng(4)
+    seen = set()
+    for prior in (0.05, 0.4, 0.9):
+        for shift in (-2.0, 0.0, 3.0):
+            p, u = rng.normal(shift, 2, 7), rng.normal(-shift, 2, 11)
+            plus, minus = brute_risk(p, u, prior)
+            value, slope_p, slope_u = toxicity.risk(p, u, prior)
+            assert abs(value - plus - max(0, minus)) < 1e-9
+            seen.add(minus >= 0)
+            goal = (lambda a, b: sum(brute_risk(a, b, prior))) if minus >= 0 else lambda a, b: -brute_risk(a, b, prior)[1]  # noqa: B023
+            for slope, at, other in ((slope_p, p, lambda x: goal(x, u)), (slope_u, u, lambda x: goal(p, x))):  # noqa: B023
+                for k in range(len(at)):
+                    up, down = at.copy(), at.copy()
+                    up[k] += 1e-6
+                    down[k] -= 1e-6
+                    assert abs((other(up) - other(down)) / 2e-6 - slope[k]) < 1e-6
+    assert seen == {True, False}
+
+
+def test_a_huge_text_is_no_end_of_the_sample(spark, planted):
+    docs, labels, _ = planted
+    usable = lambda i: toxicity.fold(i) != 0
+    plain = toxicity.train(docs, labels, usable)
+    for huge in (5001, 5002, 5003):
+        more = docs.unionByName(frame(spark, {huge: "grimble w1 " * 100_000}))
+        marked = labels.unionByName(spark.createDataFrame([(huge, 1, 0)], labels.schema))
+        one = toxicity.train(more, labels, usable, most_bytes=1_000_000)
+        assert np.array_equal(one.weights, plain.weights)
+        assert np.count_nonzero(toxicity.train(more, marked, usable, most_bytes=1_000_000).weights) > 0

@@ -79,5 +79,15 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % folds
 
 
+def within(rows: list, most_bytes: int) -> list:
+    """Those of some rows with a size that are within most_bytes together, in order: one that would pass it is left out, and the ones after it are tried."""
+    total, out = 0, []
+    for r in rows:
+        if total + r["size"] <= most_bytes:
+            total += r["size"]
+            out.append(r)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

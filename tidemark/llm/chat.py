@@ -16,7 +16,7 @@ Defined results: a null role or text is empty; a very long text is a turn like o
 conv_id are one conversation; an empty table gives no rows; columns besides conv_id, turn, role and text are not read.
 """
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._shared import let, table
@@ -77,7 +77,7 @@ def plain(turns: Column) -> Column:
 
 
 def format_chats(conversations: DataFrame) -> DataFrame:
-    """conv_id, formatted and loss_spans (start, end in code points of the assistant's texts as they are rendered).
+    """conv_id, formatted and loss_spans (start and end in code points of the assistant's texts as they are rendered; number of the turn from 1 and where it begins).
 
     A conversation that isn't parsed back identically fails the query; escaping leaves none.
     """
@@ -86,31 +86,31 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     own = F.array(F.struct("role", "text"))
     escaped = ~F.coalesce(plain(parse(render(F.col("role"), F.col("text"), F.lit(False)))) == own, F.lit(False))
     rows = rows.withColumn("escaped", escaped).withColumn("rendered", render(F.col("role"), F.col("text"), F.col("escaped")))
-    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", "rendered", "escaped"))).alias("turns"))
+    # where each turn begins, as a running sum over rows
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    size, body = F.char_length("rendered"), F.char_length(F.when(F.col("escaped"), escape(F.col("text"), _TEXT)).otherwise(F.col("text")))
+    end = F.sum(size.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumns({"number": F.row_number().over(order), "at": end - size, "end": end - (len(END) + 1), "start": end - (len(END) + 1) - body})
+    turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("number", "at", "start", "end", "role", "text", "rendered", "escaped"))).alias("turns"))
     formatted = turns.withColumn("formatted", F.array_join(F.transform("turns", lambda t: t["rendered"]), ""))
-
-    def step(a, t):
-        size = F.char_length(t["rendered"])
-        end = a["at"] + size - (len(END) + 1)
-        start = end - F.char_length(F.when(t["escaped"], escape(t["text"], _TEXT)).otherwise(t["text"]))
-        span = F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), t["escaped"].alias("escaped"))
-        return F.struct((a["at"] + size).alias("at"), F.when(t["role"] == LEARNED, F.array_append(a["spans"], span)).otherwise(a["spans"]).alias("spans"))
-
-    none = F.array().cast("array<struct<start: bigint, end: bigint, escaped: boolean>>")
-    spans = F.aggregate("turns", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+    learned = F.filter("turns", lambda t: t["role"] == LEARNED)
+    spans = F.transform(learned, lambda t: F.struct(*(t[c].alias(c) for c in ("start", "end", "escaped", "number", "at"))))
     same = F.coalesce(plain(parse(F.col("formatted"))) == plain(F.col("turns")), F.lit(False))
     failed = F.raise_error(F.concat(F.lit("no round trip of conversation "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null")))).cast("string")
     return formatted.select("conv_id", F.when(same, F.col("formatted")).otherwise(failed).alias("formatted"), spans.alias("loss_spans"))
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """The text under the loss mask, unescaped."""
+    """The text under the loss mask, unescaped. A span is cut from its own turn, so that all cuts together are linear in the text."""
+
+    def one(parts):
+        def cut(s):
+            found = F.substr(F.element_at(parts, s["number"]), (s["start"] - s["at"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
+            return F.when(s["escaped"], unescape(found, _TEXT)).otherwise(found)
 
-    def one(s):
-        cut = F.substr(formatted, (s["start"] + 1).cast("int"), (s["end"] - s["start"]).cast("int"))
-        return F.when(s["escaped"], unescape(cut, _TEXT)).otherwise(cut)
+        return F.array_join(F.transform(spans, cut), "")
 
-    return F.array_join(F.transform(spans, one), "")
+    return let(F.split(formatted, END + "\n", -1), one)
 
 
 CONTROL = "\\### Assistant: </turn> ok"

@@ -1,7 +1,7 @@
 """Blocks of documents, and packed messages between them and the owners of shares of all values.
 
 Counting or matching something that occurs many times in every document (words, byte contexts, windows) as a row each would shuffle far more than the text. Here
-documents are dealt by a hash into blocks of a few megabytes; a block counts its distinct 64-bit values and sends them in packed messages, and gets an answer for each
+documents are dealt by a hash of their place into blocks of a few megabytes; a block counts its distinct 64-bit values and sends them in packed messages, and gets an answer for each
 of them, in the order in which it sent them. A block's messages follow from its rows alone, so both ends agree after any number of lost and repeated tasks.
 
 A block sends `FAN` messages, one for each part of the values, whatever the number of blocks, so messages grow in proportion to the input. Parts hold a share of
@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +38,19 @@ def block_count(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
 
 
 def in_blocks(docs: DataFrame, n: int, *columns) -> DataFrame:
-    """block, doc_id, text and the given columns, dealt by block. A null text is empty."""
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    # with the text, so that rows without an id, or with one id, are dealt out too
-    block = F.pmod(F.xxhash64(doc_id, text), F.lit(n)).cast("long")
-    return docs.select(block.alias("block"), doc_id.alias("doc_id"), text.alias("text"), *columns).repartition(n, "block")
+    """block, doc_id, text and the given columns, dealt by block. A null text is empty.
+
+    Rows are dealt by their place in the files of their table, which repeated rows don't share and no lost task changes; rows of no files are written once.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), *columns)
+    place = ("_metadata.file_path", "_metadata.row_index")
+    try:
+        rows.select(*place)
+    except AnalysisException:
+        rows = materialise(rows)
+    block = F.pmod(F.xxhash64(*place), F.lit(n)).cast("long")
+    return rows.select(block.alias("block"), *rows.columns).repartition(n, "block")
 
 
 def _own_address(kind: int, keys: np.ndarray) -> np.ndarray:

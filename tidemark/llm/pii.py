@@ -20,12 +20,13 @@ some hundred bytes for each of its candidates; a row without doc_id is answered;
 import re
 from bisect import bisect_left
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import answered, table
+from ._shared import answered, table, within
 from ._text import buffers
 
 KINDS = ("email", "ip", "card", "phone")
@@ -43,6 +44,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _EVIDENCE = re.compile(r"[0-9@]")
 _NUMBERS = re.compile(r"[0-9](?:[\x20()./-]{0,3}[0-9])+")
+_NO_DIGIT = re.compile("[^0-9]+")
 #: What is assigned to a name that says so. All repetitions but the last are bounded, so a search is linear in the text.
 _ASSIGNED = re.compile(r"(?:token|secret|key|passw(?:or)?d|pwd|credential)[A-Za-z0-9_]{0,32}[\"']?[\x20\t]{0,8}[:=][\x20\t]{0,8}[\"']?([A-Za-z0-9_+/=-]{16,})", re.I)
 _TRIM = "()[]{}<>\"'.,;:!?"
@@ -138,6 +140,25 @@ def keys(word: str) -> set[str]:
     return found
 
 
+def _places(text: str, digits: set[str]):
+    """(digits, start, end) wherever one of the numbers is found among the digits of a run, whatever blanks and marks divide it; places of one number don't overlap. One pass over the text."""
+    if not digits:
+        return
+    known = ahocorasick.Automaton()
+    for d in digits:
+        known.add_word(d, d)
+    known.make_automaton()
+    for m in _NUMBERS.finditer(text):
+        place, free = None, {}
+        plain = _NO_DIGIT.sub("", m[0])
+        for last, d in known.iter(plain):
+            first = last - len(d) + 1
+            if first >= free.get(d, 0):
+                free[d] = last + 1
+                place = place or [m.start() + i for i, c in enumerate(m[0]) if "0" <= c <= "9"]
+                yield d, place[first], place[last] + 1
+
+
 class Document:
     """Tokens of one text, by place: spans, labels (0 where not observed) and the keys of those alike to another; chain and skip edges between them."""
 
@@ -169,15 +190,10 @@ class Document:
             if has:
                 shown.append((i, a, b))
                 near[a, b] = own
-        digits = {d for k, (label, own) in nodes.items() if label for d in own if d.isdigit()}
-        for m in _NUMBERS.finditer(text) if digits else ():
-            plain = re.sub("[^0-9]", "", m[0])
-            for d in digits:
-                if len(d) <= len(plain) and (at := plain.find(d)) >= 0:
-                    place = [i for i, c in enumerate(m[0], m.start()) if "0" <= c <= "9"]
-                    a, b = place[at], place[at + len(d) - 1] + 1
-                    if free(a, b) and (a, b) not in nodes:
-                        nodes[a, b] = (0, {d})
+        digits = {d for label, own in nodes.values() if label for d in own if d.isdigit() and d.isascii()}
+        for d, a, b in _places(text, digits):
+            if free(a, b) and (a, b) not in nodes:
+                nodes[a, b] = (0, {d})
         if not evidence:
             # candidates feel their neighbours too
             for (i, *x), (j, *y) in zip(shown, shown[1:], strict=False):
@@ -322,20 +338,17 @@ class SkipChain:
 
 
 def train(docs: DataFrame, size: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> SkipChain:
-    """A field fitted on the first documents with evidence by a hash of their ids: at most `size`, and those after `most_bytes` of text are left out."""
+    """A field fitted on the first `size` documents with evidence by a hash of their ids, but for those that would bring their texts over `most_bytes`: these are skipped one by one."""
     text = F.col("text").cast("string")
     some = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), F.xxhash64(text).alias("t"), text.alias("text")).where(text.rlike("[0-9@]"))
     # only hashes and sizes go to the driver from every task, then the texts of the chosen documents
-    total, last = 0, None
-    for r in some.select("h", "t", F.octet_length("text").alias("size")).orderBy("h", "t").limit(size).collect():
-        total += r["size"]
-        if last is not None and total > most_bytes:
-            break
-        last = (r.h, r.t)
-    if last is None:
+    first = some.select("h", "t", F.octet_length("text").alias("size")).orderBy("h", "t").limit(size).collect()
+    chosen = within(first, most_bytes)
+    if not chosen:
         return SkipChain().fit([])
-    chosen = some.where(F.struct("h", "t") <= F.struct(F.lit(last[0]).alias("h"), F.lit(last[1]).alias("t"))).dropDuplicates(["h", "t"])
-    return SkipChain().fit([Document(r.text, base_spans(r.text) + secrets(r.text), True) for r in chosen.orderBy("h", "t").collect()])
+    keys = F.broadcast(docs.sparkSession.createDataFrame([(r.h, r.t) for r in chosen], "h long, t long").distinct())  # `size` rows at most
+    rows = some.join(keys, ["h", "t"], "left_semi").dropDuplicates(["h", "t"])
+    return SkipChain().fit([Document(r.text, base_spans(r.text) + secrets(r.text), True) for r in rows.orderBy("h", "t").collect()])
 
 
 def redacted(text: str, spans: list[tuple[int, int, int]]) -> str:

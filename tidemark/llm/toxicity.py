@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import answered, fold, released, sliced, table
+from ._shared import answered, fold, released, sliced, table, within
 from ._text import ALNUM, Words, blocks
 
 BITS = 18
@@ -62,6 +62,20 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(self.margins(list(features(column))), -500, 500)))
 
 
+def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """The non-negative risk of these margins with the logistic loss, and the slopes to go down by for both.
+
+    It is prior * E_p[loss(+)] and, if not negative, E_u[loss(-)] - prior * E_p[loss(-)]. Where that difference is negative, the slopes lead it back up and leave the rest alone.
+    """
+    p, u = (np.clip(x, -50, 50) for x in (positive, unlabelled))
+    sig_p, sig_u = 1 / (1 + np.exp(-p)), 1 / (1 + np.exp(-u))
+    negative = np.log1p(np.exp(u)).mean() - prior * np.log1p(np.exp(p)).mean()
+    value = prior * np.log1p(np.exp(-p)).mean() + max(0.0, negative)
+    if negative >= 0:
+        return value, (prior * (sig_p - 1) - prior * sig_p) / len(p), sig_u / len(u)
+    return value, prior * sig_p / len(p), -sig_u / len(u)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 60, rate: float = 0.02, decay: float = 2e-4, seed: int = 0) -> Linear:
     """Minimises the non-negative risk with the logistic loss, by Adam over shuffled batches."""
     model = Linear(prior)
@@ -90,13 +104,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
                 owner = np.repeat(np.arange(len(at)), lengths)
                 flat.append((idx, owner))
                 margins.append(np.bincount(owner, weights=w[idx], minlength=len(at)) + bias)
-            sig = [1 / (1 + np.exp(-np.clip(x, -50, 50))) for x in margins]
-            negative = np.log1p(np.exp(np.clip(margins[1], -50, 50))).mean() - prior * np.log1p(np.exp(np.clip(margins[0], -50, 50))).mean()
-            if negative >= 0:
-                # slopes of p * loss(+) and of the negatives' risk
-                slope = [(prior * (sig[0] - 1) - prior * sig[0]) / len(p_at), sig[1] / len(u_at)]
-            else:
-                slope = [prior * sig[0] / len(p_at), -sig[1] / len(u_at)]
+            slope = risk(*margins, prior)[1:]
             g = np.zeros(size + 1)
             for (idx, owner), s in zip(flat, slope, strict=True):
                 g[:size] += np.bincount(idx, weights=s[owner], minlength=size)
@@ -113,7 +121,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def _sampled(rows: DataFrame, most: int, most_bytes: int) -> list[np.ndarray]:
-    """The features of the first rows by a hash of their ids: at most `most` rows, and those after `most_bytes` of text are left out."""
+    """The features of the first `most` rows by a hash of their ids, but for those that would bring their texts over `most_bytes`: these are skipped one by one."""
     kind = pa.schema([("h", pa.int64()), ("doc_id", pa.int64()), ("features", pa.binary())])
 
     def run(batches):
@@ -125,16 +133,9 @@ def _sampled(rows: DataFrame, most: int, most_bytes: int) -> list[np.ndarray]:
     order = ["h", "doc_id", "t"]
     hashed = rows.withColumns({"h": F.xxhash64("doc_id"), "t": F.xxhash64("text")})
     first = hashed.select(*order, F.octet_length("text").alias("size")).orderBy(*order).limit(most).collect()
-    total, last = 0, None
-    for r in first:
-        total += r["size"]
-        if last is not None and total > most_bytes:
-            break
-        last = (r.h, r.doc_id, r.t)
-    if last is None:
-        return []
-    at = F.struct(*order)
-    chosen = hashed.where(at <= F.struct(*[F.lit(x).alias(c) for x, c in zip(last, order, strict=True)]))
+    keys = rows.sparkSession.createDataFrame([tuple(r[c] for c in order) for r in within(first, most_bytes)], "h long, doc_id long, t long").distinct()
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in order]
+    chosen = hashed.alias("a").join(F.broadcast(keys.alias("b")), same, "left_semi")  # `most` keys at most
     # a row that is repeated teaches once
     chosen = chosen.dropDuplicates(order)
     return [np.frombuffer(r.features, np.uint32) for r in sorted(chosen.mapInArrow(released(run), "h long, doc_id long, features binary").collect())]
