@@ -68,6 +68,40 @@ def test_copies_of_a_key_over_days_and_files(place, spark):
     assert store.effective(dt.datetime(2031, 4, 1)).count() == 0
 
 
+def test_grown_and_rewritten_files(spark, tmp_path):
+    """What was read isn't read again: lines in the middle that change unseen keep what they gave, until the file's beginning or end tells that it is another."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    store, path = Store(spark, str(tmp_path / "store")), logs / "a.jsonl"
+    log = Log().session("a").turn("t")
+    for k in range(200):
+        log.spent(f"r{k}", 1)
+    log.totals(50, 50)
+    half = '{"type": "token_usage_record", "payl'
+    path.write_text(log.text(half))
+    assert store.refresh([str(logs)], 1, chunk=9000) == 1 and total(store) == {"a": 200}
+    size = path.stat().st_size
+    assert size > 3 * 8192
+    lines = log.text().encode()
+    middle = lines.index(b'"r100"')
+    path.write_bytes(lines[:middle] + b'"r1xx"' + lines[middle + 6 :] + Log(hour=20).turn("u").totals(57, limit="x").spent("last", 3).raw("{").text().encode())
+    # the half line was replaced, so the end tells; the file is read anew
+    assert store.refresh([str(logs)], 2, chunk=9000) == 1 and total(store) == {"a": 203}
+    text = path.read_bytes()
+    path.write_bytes(text[:middle] + b'"r1yy"' + text[middle + 6 :] + Log(hour=21).turn("v").totals(61).spent("more", 4).raw("{").text().encode())
+    assert store.refresh([str(logs)], 3, chunk=9000) == 1
+    read = {r.batch: r["size"] - r.start for r in store._read("files").collect()}
+    assert read[2] == len(text) and read[3] < 1000
+    keys = {r.event_key for r in store.effective().collect()}
+    assert "response:r1xx" in keys and "response:r1yy" not in keys and "response:more" in keys
+    # line numbers count on; the total goes on from the maximum of the lines before
+    assert sorted((r.line_no, r.issue) for r in store.issues().collect()) == [(206, "json"), (210, "json")]
+    assert {r.total_tokens for r in store.events().where("kind = 'legacy' and turn_id = 'v'").collect()} == {4}
+    path.write_bytes(b" " + path.read_bytes())
+    assert store.refresh([str(logs)], 4, chunk=9000) == 1 and "response:r1yy" in {r.event_key for r in store.effective().collect()}
+    assert facts(store.effective()) == facts(effective(judged(store.events(), store.threads())))
+
+
 def test_a_batch_that_failed_is_tried_again(place, spark, monkeypatch):
     store, refresh = place
     refresh(a=Log().session("a").spent("1", 5))

@@ -23,6 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialise(df: DataFrame, *instead: DataFrame) -> DataFrame:
     """Writes df to the shared folder and reads it again, which ends its lineage: a lost executor costs no recomputation.
 
@@ -31,9 +39,7 @@ def materialise(df: DataFrame, *instead: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    for old in instead:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(old.stored_at)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    discard(*instead)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     return out

@@ -8,6 +8,9 @@ earlier line of the file set: carried values are wrapped in structs, so that a l
   repeated included; repeated ones, and empty ones, are dropped after the windows.
 * A child's snapshots that its parent has too, up to the time it was made, are inherited: they are marked excluded until the first
   one that the parent lacks.
+
+A file may be cut into chunks of lines, each a partition of the windows. What the lines before a chunk have set is then a row at its beginning (see carry.py), so a large
+file is parsed by many tasks, and a file that grew from where it ended.
 """
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import instant, project_path, whole_number
 from ..schema import TOKENS, USAGE_EVENTS
-from ..sources.logs import issues as unusable
+from ..sources.logs import unusable
 
 VERSION = 1
 _UUID = r"([0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})"
@@ -30,6 +33,14 @@ _PAYLOAD = (
 )
 
 
+#: What the lines of a file have set up to some place. Structs tell null that is set from nothing set; high: the maximum of all totals of this life; limits: the last counted snapshot of each.
+STATE = (
+    "struct<lines: bigint, thread: string, segment: bigint, life: bigint, project: struct<v: string>, turn: struct<v: string>, model: struct<v: string>, effort: struct<v: string>, "
+    "edges: struct<subagent_parent_id: string, forked_from_id: string, cutoff: timestamp_ntz, source: string>, "
+    f"high: struct<{', '.join(f'{t}: bigint' for t in TOKENS)}>, started: boolean, signature: string, limits: map<string, string>>"
+)
+
+
 def tokens(usage: Column) -> Column:
     """A struct of the token counts of a usage object; what isn't reported is null."""
     at = lambda path: F.get_json_object(usage, f"$.{path}")
@@ -45,23 +56,29 @@ def _is_object(text: Column) -> Column:
     return F.startswith(F.ltrim(text), F.lit("{"))
 
 
-def read_lines(lines: DataFrame) -> DataFrame:
-    """The lines that matter, with the thread, project, turn, model and edges that hold there."""
+def decode(lines: DataFrame) -> DataFrame:
+    """The lines that matter of (file, line_no, doc) or (file, chunk, line_no, doc), taken apart: type, at and p (the payload).
+
+    Lines that are no JSON have the type `bad`, and the row that ends a chunk `end`.
+    """
+    chunk = F.col("chunk") if "chunk" in lines.columns else F.lit(0).cast("long")
     doc = F.from_json("doc", "type string, timestamp string, payload string")
-    rows = lines.select("file", "line_no", doc.alias("d")).where(_is_object(F.col("d.payload")))
-    rows = rows.select("file", "line_no", F.col("d.type").alias("type"), instant(F.col("d.timestamp")).alias("at"), F.from_json("d.payload", _PAYLOAD).alias("p"))
+    rows = lines.select("file", chunk.alias("chunk"), F.col("line_no").cast("long").alias("line_no"), doc.alias("d"), F.col("doc").isNull().alias("last"), unusable(F.col("doc")).alias("bad"))
+    payload = F.when(_is_object(F.col("d.payload")), F.from_json("d.payload", _PAYLOAD))
+    kind = F.when(F.col("last"), "end").when(F.col("bad"), "bad").otherwise(F.col("d.type"))
+    rows = rows.select("file", "chunk", "line_no", kind.alias("type"), instant(F.col("d.timestamp")).alias("at"), F.when(~F.col("last") & ~F.col("bad"), payload).alias("p"))
     token_event = (F.col("type") == "event_msg") & (F.col("p.type") == "token_count") & F.col("p.info").isNotNull()
-    rows = rows.where(F.col("type").isin("session_meta", "turn_context", "token_usage_record") | token_event)
+    return rows.where(F.col("type").isin("end", "bad") | F.col("p").isNotNull() & (F.col("type").isin("session_meta", "turn_context", "token_usage_record") | token_event))
+
+
+def named(file: Column) -> Column:
+    """The thread of a file's lines before one that names it."""
+    return F.coalesce(F.nullif(F.regexp_extract(file, _UUID, 1), F.lit("")), F.sha2(file, 256))
+
+
+def what_lines_set() -> dict[str, Column]:
+    """Of a line of decode(): is it a session's or a context's, and what it sets, in structs or null: thread, project, turn, model, effort and edges."""
     meta, context = F.col("type") == "session_meta", F.col("type") == "turn_context"
-    whole = Window.partitionBy("file").orderBy("line_no")
-    so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
-    own = F.coalesce(F.nullif("p.id", F.lit("")), "p.session_id")
-    first = F.coalesce(F.nullif(F.regexp_extract("file", _UUID, 1), F.lit("")), F.sha2("file", 256))
-    rows = rows.withColumn("thread", F.coalesce(F.last(F.when(meta, own), True).over(so_far), first)).withColumn("segment", F.sum(F.when(meta, 1).otherwise(0)).over(so_far))
-    rows = rows.withColumn("before", F.coalesce(F.lag("thread").over(whole), first))
-    rows = rows.withColumn("life", F.sum((F.col("thread") != F.col("before")).cast("int")).over(so_far))
-    in_meta = Window.partitionBy("file", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    in_life = Window.partitionBy("file", "life").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     path = project_path(F.col("p.cwd"))
     blank = lambda c: F.when(F.trim(c) != "", c)
     spawned = F.when(_is_object(F.col("p.source")), blank(F.get_json_object("p.source", "$.subagent.thread_spawn.parent_thread_id")))
@@ -69,17 +86,45 @@ def read_lines(lines: DataFrame) -> DataFrame:
         spawned.alias("subagent_parent_id"), blank(F.col("p.forked_from_id")).alias("forked_from_id"), F.coalesce(instant(F.coalesce(F.nullif("p.timestamp", F.lit("")), F.lit(None))), F.col("at")).alias("cutoff"),
         F.when(F.col("p.source").isNotNull() & ~_is_object(F.col("p.source")), F.col("p.source")).otherwise(F.col("p.thread_source")).alias("source"),
     )
-    carried = {
-        "project": F.last(_set(meta | (context & path.isNotNull()), path), True).over(in_meta)["v"],
-        "turn": F.last(_set(context, F.col("p.turn_id")), True).over(in_life)["v"],
-        "model": F.last(_set(context, F.col("p.model")), True).over(so_far)["v"],
-        "effort": F.last(_set(context, F.col("p.effort")), True).over(so_far)["v"],
-        "edges": F.last(F.when(meta, edges), True).over(in_meta),
+    return {
+        "meta": meta,
+        "own": F.when(meta, F.coalesce(F.nullif("p.id", F.lit("")), "p.session_id")),
+        "project": _set(meta | (context & path.isNotNull()), path),
+        "turn": _set(context, F.col("p.turn_id")),
+        "model": _set(context, F.col("p.model")),
+        "effort": _set(context, F.col("p.effort")),
+        "edges": F.when(meta, edges),
     }
-    rows = rows.withColumns(carried)
+
+
+def carried(rows: DataFrame) -> DataFrame:
+    """Rows of decode() with the thread, project, turn, model and edges that hold there.
+
+    rows may have a column s: the state at the beginning of a chunk (see carry.py), in a row before its lines.
+    """
+    if "s" not in rows.columns:
+        rows = rows.withColumn("s", F.lit(None).cast(STATE))
+    sets = what_lines_set()
+    whole = Window.partitionBy("file", "chunk").orderBy("line_no")
+    so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("thread", F.coalesce(F.last(F.coalesce("s.thread", sets["own"]), True).over(so_far), named(F.col("file"))))
+    rows = rows.withColumn("segment", F.sum(F.coalesce("s.segment", F.when(sets["meta"], 1).otherwise(0))).over(so_far))
+    rows = rows.withColumn("before", F.coalesce(F.lag("thread").over(whole), named(F.col("file"))))
+    rows = rows.withColumn("life", F.sum(F.coalesce("s.life", (F.col("thread") != F.col("before")).cast("long"))).over(so_far))
+    in_meta = Window.partitionBy("file", "chunk", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    in_life = Window.partitionBy("file", "chunk", "life").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    last = lambda name, over: F.last(F.coalesce(f"s.{name}", sets[name]), True).over(over)
+    rows = rows.withColumns({
+        "project": last("project", in_meta)["v"], "turn": last("turn", in_life)["v"], "model": last("model", so_far)["v"], "effort": last("effort", so_far)["v"], "edges": last("edges", in_meta),
+    })
     return rows.withColumn("parent", F.coalesce("edges.forked_from_id", "edges.subagent_parent_id"))
 
 
+def read_lines(lines: DataFrame) -> DataFrame:
+    """The lines that matter of whole files, with what holds there."""
+    return carried(decode(lines))
+
+
 def threads_of(read: DataFrame) -> DataFrame:
     """One row per thread: the last known project and source, and the edges of its last session line."""
     rows = read.where("type = 'session_meta'")
@@ -106,19 +151,28 @@ def explicit_events(read: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_deltas(rows: DataFrame, thread_segment: tuple[str, ...], order: str) -> DataFrame:
+def signature() -> Column:
+    """What tells a snapshot (total and last) from others."""
+    return F.to_json(F.struct("total", "last"), {"ignoreNullFields": "false"})
+
+
+def snapshot_deltas(rows: DataFrame, thread_segment: tuple[str, ...], order: str, seed: Column | None = None) -> DataFrame:
     """rows: total and last (structs of token counts, or null), limit and parent. Adds t (the delta), repeated and incomplete.
 
+    seed: a state (STATE) or null; the row that has one stands for all snapshots before, and its total is their maximum.
+
     A row's own counts (last) are taken as they are; else each count of total is what it is over the running maximum, and zero and
     incomplete where it is under it.
     """
     line = Window.partitionBy(*thread_segment).orderBy(order)
     before = line.rowsBetween(Window.unboundedPreceding, -1)
     counted = F.col("total").isNotNull()
-    rows = rows.withColumn("signature", F.to_json(F.struct("total", "last"), {"ignoreNullFields": "false"}))
+    rows = rows.withColumn("signature", signature() if seed is None else F.when(seed.isNull(), signature()).otherwise(seed["signature"]))
     previous = F.lag("signature").over(line)
     of_limit = Window.partitionBy(*thread_segment, "limit").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    last_of_limit = F.last(F.when(counted, F.col("signature")), True).over(of_limit)
+    last_of_limit = F.last(F.when(counted if seed is None else counted & seed.isNull(), F.col("signature")), True).over(of_limit)
+    if seed is not None:
+        last_of_limit = F.coalesce(last_of_limit, F.try_element_at(F.first(seed["limits"], True).over(before), F.col("limit")))
     repeated = counted & (F.coalesce(previous == F.col("signature"), F.lit(False)) | F.coalesce(last_of_limit == F.col("signature"), F.lit(False)))
     high = {t: F.coalesce(F.max(F.col(f"total.{t}")).over(before), F.lit(0).cast("bigint")) for t in TOKENS}
     rows = rows.withColumns({"repeated": repeated, "started": F.coalesce(F.max(counted.cast("int")).over(before), F.lit(0)) == 1, **{f"high_{t}": high[t] for t in TOKENS}})
@@ -149,11 +203,17 @@ def mark_inherited(rows: DataFrame, known: DataFrame, meta_segment: tuple[str, .
     return found.drop("_thread", "_signature", "_since", "_id", "_miss")
 
 
+def with_snapshots(rows: DataFrame) -> DataFrame:
+    """Adds total and last, null on all lines but snapshots with a time, and limit."""
+    usage = lambda name: F.when((F.col("type") == "event_msg") & F.col("at").isNotNull() & _is_object(F.col(f"p.info.{name}")), tokens(F.col(f"p.info.{name}")))
+    return rows.withColumns({"total": usage("total_token_usage"), "last": usage("last_token_usage"), "limit": F.coalesce("p.rate_limits.limit_id", F.lit("default"))})
+
+
 def _snapshot_rows(read: DataFrame) -> DataFrame:
     """Snapshots of running totals with their deltas; of repeated ones too."""
-    usage = lambda name: F.when(_is_object(F.col(f"p.info.{name}")), tokens(F.col(f"p.info.{name}")))
-    rows = read.where((F.col("type") == "event_msg") & F.col("at").isNotNull()).withColumns({"total": usage("total_token_usage"), "last": usage("last_token_usage"), "limit": F.coalesce("p.rate_limits.limit_id", F.lit("default"))})
-    return snapshot_deltas(rows.where("total is not null or last is not null"), ("file", "life"), "line_no")
+    rows = with_snapshots(read.where("type = 'event_msg' or s is not null")).withColumn("total", F.coalesce("total", F.when(F.col("s.started"), F.col("s.high"))))
+    rows = rows.where("total is not null or last is not null or s is not null")
+    return snapshot_deltas(rows, ("file", "chunk", "life"), "line_no", F.col("s")).where("s is null")
 
 
 def legacy_events(read: DataFrame) -> DataFrame:
@@ -166,22 +226,26 @@ def legacy_events(read: DataFrame) -> DataFrame:
     )
 
 
-def issues(lines: DataFrame) -> DataFrame:
-    """file, line_no and issue of every line that can't be used as it is.
+def issues_of(read: DataFrame) -> DataFrame:
+    """file, line_no and issue of every line of carried() that can't be used as it is.
 
     json: no JSON; time: usage without a time; total: usage without a total; baseline: a running total that fell, or the first one of a task that has a parent.
     Snapshots whose parent isn't known are told by judging all files together: see orphans().
     """
-    read = read_lines(lines)
     of = lambda rows, name: rows.select("file", "line_no", F.lit(name).alias("issue"))
     recorded = F.col("type") == "token_usage_record"
     timed = read.where(recorded | (F.col("type") == "event_msg"))
     explicit = timed.where(recorded & F.col("at").isNotNull() & tokens(F.col("p.usage"))["total_tokens"].isNull())
     snapshots = _snapshot_rows(read)
-    found = of(unusable(lines), "json").unionByName(of(timed.where("at is null"), "time")).unionByName(of(explicit, "total"))
+    found = of(read.where("type = 'bad'"), "json").unionByName(of(timed.where("at is null"), "time")).unionByName(of(explicit, "total"))
     return found.unionByName(of(snapshots.where("incomplete = 1"), "baseline")).unionByName(of(snapshots.where(~F.col("repeated") & F.col("t.total_tokens").isNull()), "total"))
 
 
+def issues(lines: DataFrame) -> DataFrame:
+    """issues_of() lines of whole files."""
+    return issues_of(read_lines(lines))
+
+
 def orphans(rows: DataFrame, threads: DataFrame) -> DataFrame:
     """file, line_no and issue of the snapshots of read_events() that can't be told from their parent's, which isn't known."""
     found = mark_inherited(rows.where("kind = 'legacy'"), threads, ("file", "segment"), "line_no")

@@ -58,9 +58,14 @@ def object_text(doc: Column) -> Column:
     return F.when(F.schema_of_variant(F.try_parse_json(doc)).startswith("OBJECT"), doc)
 
 
+def unusable(doc: Column) -> Column:
+    """Whether a line is no JSON; false for a null or blank line."""
+    return F.coalesce(F.try_parse_json(doc).isNull() & (F.trim(doc) != ""), F.lit(False))
+
+
 def issues(lines: DataFrame) -> DataFrame:
     """Lines that are no JSON."""
-    return lines.where(F.try_parse_json("doc").isNull() & (F.trim("doc") != ""))
+    return lines.where(unusable(F.col("doc")))
 
 
 def read_titles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

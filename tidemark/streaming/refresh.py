@@ -1,7 +1,8 @@
 """Keeping effective facts fresh as log files arrive and grow.
 
-Every refresh adds a batch with the events of new and changed files; a file's latest batch is what counts, and files that vanish keep theirs. A
-file that grew is read again from its start, which gives the events it had and the new ones.
+Every refresh adds a batch with the events of new and changed files; files that vanish keep theirs. A file that grew is read from where it ended, with the state that its lines had left
+there (see operators/carry.py); one that no longer begins and ends as it did up to there is read again from its start, and its batches before no longer count. Files are read in
+chunks, a task each.
 
 Effective facts are stored by day. A late parent, copy or record changes the verdict on rows of other files, however old, so a batch is judged with all that it can touch, and
 with nothing else:
@@ -13,7 +14,7 @@ Days on which such a key was or is effective are written anew, as the batch's ve
 over a range reads its days only, and no verdict is taken twice.
 
 Logs grow in place, which Spark's file source doesn't follow, so a refresh compares listings; for logs that are only ever added, new_files()
-is a stream, and each micro-batch is stored in the same way.
+is a stream of listings, and each micro-batch is stored in the same way.
 """
 
 import datetime as dt
@@ -23,10 +24,13 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.parse import VERSION, issues, judged, orphans, read_events, read_lines, threads_of
+from ..functions.stored import discard, materialise
+from ..operators.carry import END, read_split, states
+from ..operators.parse import STATE, VERSION, decode, issues_of, judged, orphans, read_events, threads_of
 from ..operators.reconcile import effective
 from ..schema import USAGE_EVENTS
-from ..sources.logs import manifest, read_logs
+from ..sources.logs import manifest
+from ..sources.ranges import CHUNK, fingerprints, read_ranges
 
 
 class Store:
@@ -54,15 +58,19 @@ class Store:
         rows, files = self._read(name), self._read("files")
         return None if rows is None or files is None else rows.join(F.broadcast(files.select("batch").distinct()), "batch", "left_semi")
 
-    def files(self) -> DataFrame | None:
-        """The latest listing of each file."""
+    def files(self, *more: str) -> DataFrame | None:
+        """The latest listing of each file. since: the batch that read it from its start; more: print (its fingerprint), s (the state at its end)."""
         rows = self._read("files")
-        return None if rows is None else rows.groupBy("file").agg(F.max_by(F.struct("size", "modified", "version", "batch"), "batch").alias("r")).select("file", "r.*")
+        kept = ("size", "modified", "version", "since", "batch", *more)
+        return None if rows is None else rows.groupBy("file").agg(F.max_by(F.struct(*kept), "batch").alias("r")).select("file", "r.*")
 
     def _latest(self, name: str) -> DataFrame | None:
-        """Rows of the latest batch of each file."""
+        """Rows of the batches of each file since it was last read from its start."""
         rows, files = self._read(name), self.files()
-        return None if rows is None or files is None else rows.join(files.select("file", "batch"), ["file", "batch"], "left_semi")
+        if rows is None or files is None:
+            return None
+        counts = self._read("files").select("file", "batch").join(files.select("file", "since"), "file").where("batch >= since").select("file", "batch")
+        return rows.join(counts, ["file", "batch"], "left_semi")
 
     def events(self) -> DataFrame | None:
         rows = self._latest("events")
@@ -81,31 +89,49 @@ class Store:
         rows = self._latest("issues")
         return None if rows is None else rows.drop("batch").unionByName(orphans(self.events(), self.threads()))
 
-    def refresh(self, roots: Sequence[str], batch: int) -> int:
-        """Reads the files that are new or changed since the last refresh; the number of them. Batches must rise."""
+    def refresh(self, roots: Sequence[str], batch: int, chunk: int = CHUNK) -> int:
+        """Reads what is new in the files that are new or changed since the last refresh; the number of them. Batches must rise."""
         now, had = manifest(self.spark, roots, VERSION), self.files()
-        changed = now if had is None else now.join(had, ["file", "size", "modified", "version"], "left_anti")
-        changed = changed.cache()
-        n = changed.count()
-        if n:
-            lines = read_logs(self.spark, roots).join(changed.select("file"), "file", "left_semi")
-            self.store(lines, changed, batch)
-        changed.unpersist()
-        return n
-
-    def store(self, lines: DataFrame, files: DataFrame, batch: int) -> None:
-        """The listing goes last but for the verdicts, which a reader of versions doesn't see before theirs."""
+        return self.store(now if had is None else now.join(had, ["file", "size", "modified", "version"], "left_anti"), batch, chunk)
+
+    def _found(self, files: DataFrame) -> DataFrame:
+        """files with start, from where they are to be read, print, since (null if from the start) and s (the state at start)."""
+        had = self.files("print", "s")
+        if had is None:
+            had = self.spark.createDataFrame([], f"file string, size long, version int, since int, print string, s {STATE}")
+        had = materialise(had.select("file", F.col("size").alias("had_size"), F.col("print").alias("had_print"), F.col("version").alias("had_version"), "since", "s"))
+        known = files.join(had.drop("since", "s"), "file", "left").withColumn("had_size", F.when(F.col("had_version") == F.col("version"), F.col("had_size")))
+        printed = fingerprints(known.select("file", "size", "modified", "version", "had_size", "had_print"))
+        found = materialise(printed.select("file", "size", "modified", "version", "start", "print").join(had.select("file", "since", "s"), "file", "left"))
+        discard(had)
+        return found
+
+    def store(self, files: DataFrame, batch: int, chunk: int = CHUNK) -> int:
+        """Reads files (file, size, modified, version) and stores the batch; how many they are. The listing goes last but for the verdicts, which a reader of versions doesn't see before theirs."""
+        found = self._found(files)
+        n = found.count()
+        if not n:
+            discard(found)
+            return 0
+        on = (F.col("start") > 0) & F.col("s").isNotNull()
+        found = materialise(found.withColumns({"start": F.when(on, F.col("start")).otherwise(0), "since": F.when(on, F.col("since")).otherwise(batch), "s": F.when(on, F.col("s"))}), found)
         # judged with the rows that the batch replaces, which no reader sees after the listing
         had = self._latest("events")
-        before = None if had is None else had.join(files.select("file"), "file", "left_semi").select("thread_id", "event_key")
+        before = None if had is None else had.join(found.where("start = 0").select("file"), "file", "left_semi").select("thread_id", "event_key")
         if before is not None:
             self._write(before.distinct(), "replaced", batch)
-        read = read_lines(lines)
+        rows = materialise(decode(read_ranges(found, chunk)))
+        kept = found.where("start > 0").select("file", "s")
+        begins = materialise(states(rows, None if kept.isEmpty() else kept))
+        read = read_split(rows, begins)
         self._write(read_events(read), "events", batch)
         self._write(threads_of(read), "threads", batch)
-        self._write(issues(lines), "issues", batch)
-        self._write(files.select("file", "size", "modified", "version"), "files", batch)
+        self._write(issues_of(read), "issues", batch)
+        ends = begins.where(F.col("chunk") == END).select("file", "s")
+        self._write(found.drop("s").join(ends, "file", "left"), "files", batch)
+        discard(rows, begins, found)
         self.judge(batch, before is not None)
+        return n
 
     def judge(self, batch: int, again: bool = True) -> None:
         """Writes the verdicts that a stored batch can change. If a run failed before this, calling it again completes the batch."""
@@ -182,20 +208,16 @@ def caveats(status: DataFrame, running: bool = False) -> DataFrame:
     return status.withColumn("running", F.lit(running)).select(F.explode(told).alias("caveat"))
 
 
-def new_files(spark: SparkSession, root: str):
-    """A stream of whole new log files (file, value)."""
-    rows = spark.readStream.format("text").option("wholetext", True).option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root)
-    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"), F.col("_metadata.file_modification_time").alias("modified"), "value")
+def new_files(spark: SparkSession, root: str) -> DataFrame:
+    """A stream of new log files: file, size and modified."""
+    rows = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).load(root)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
 
 
 def follow(store: Store, root: str, checkpoint: str):
     """Stores all files that have come since the last call, once each, and ends: a scheduled, exactly-once refresh."""
 
     def put(batch: DataFrame, number: int) -> None:
-        if batch.isEmpty():
-            return
-        parts = F.split("value", "\n", -1)
-        lines = batch.select("file", F.posexplode(F.slice(parts, 1, F.size(parts) - 1)).alias("line_no", "doc"))
-        store.store(lines, batch.select("file", "size", "modified", F.lit(VERSION).alias("version")), number)
+        store.store(batch.withColumn("version", F.lit(VERSION)), number)
 
     return new_files(store.spark, root).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
