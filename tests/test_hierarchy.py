@@ -1,5 +1,8 @@
+import random
+
 from pyspark.sql import functions as F
 
+from tidemark.operators import hierarchy
 from tidemark.operators.cost import costs
 from tidemark.operators.hierarchy import subtree
 from tidemark.plans.queries import Usage
@@ -16,6 +19,33 @@ def test_a_tree_deeper_than_a_hundred_levels(spark):
     assert found == {f"n{k:03d}": k for k in range(104)}
 
 
+def test_a_chain_of_ten_thousand_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    kept = hierarchy.materialise
+    monkeypatch.setattr(hierarchy, "materialise", lambda *a: rounds.append(1) or kept(*a))
+    chain = spark.range(10_000).select(F.concat(F.lit("n"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("n"), F.col("id") - 1)).alias("subagent_parent_id"))
+    found = subtree(chain, "n10", paths=False)
+    assert found.agg(F.count("*"), F.max("depth"), F.sum("depth")).first() == (9990, 9989, 9989 * 9990 // 2)
+    assert found.where("depth = 500").first().id == "n510" and len(rounds) < 20
+
+
+def test_random_forests_with_cycles(spark):
+    r = random.Random(6)
+    for n in (1, 7, 60):
+        up = {f"t{k}": r.choice([None, f"t{r.randrange(n)}", f"t{r.randrange(max(1, k))}", "lost"]) for k in range(n)}
+        for root in ("t0", f"t{n // 2}"):
+            want = {}
+            for k in up:
+                path, at = [k], k
+                while at != root and up.get(at) in up and up[at] not in path:
+                    at = up[at]
+                    path.append(at)
+                if at == root:
+                    want[k] = path[::-1]
+            found = subtree(threads(spark, list(up.items())), root).collect()
+            assert {x.id: x.path for x in found} == want and all(x.depth == len(x.path) - 1 for x in found)
+
+
 def test_cycles_end_and_unknown_roots_have_no_tree(spark):
     loop = threads(spark, [("a", "b"), ("b", "a"), ("c", "b"), ("s", "s")])
     assert {r.id: "/".join(r.path) for r in subtree(loop, "a").collect()} == {"a": "a", "b": "a/b", "c": "a/b/c"}

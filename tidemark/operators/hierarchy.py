@@ -5,25 +5,25 @@ from pyspark.sql import functions as F
 
 from ..functions.stored import materialise
 
-#: Levels after which what has been found is put in one table.
-TOGETHER = 20
 
+def subtree(threads: DataFrame, root: str, paths: bool = True) -> DataFrame:
+    """id, depth and path of the root and its descendants; without paths only id and depth.
 
-def subtree(threads: DataFrame, root: str) -> DataFrame:
-    """id, depth and path of the root and its descendants, each once: an edge to a node that was reached before is not followed, so cycles end.
-
-    One join of the edges with the last level for each level, however many there are; only the tree's own nodes are ever kept.
+    Every task points to its parent, then to the one that this one points to, and so on, so a tree of any depth takes a round for each doubling of its depth. What ends elsewhere than at the
+    root is dropped on the way, and so is what only leads around a cycle. A task has one parent; of several that are told, the smallest counts. Paths grow with the depth.
     """
-    edges = threads.select("id", F.col("subagent_parent_id").alias("parent")).distinct()
-    seen = level = materialise(edges.where(F.col("id") == root).select("id", F.array("id").alias("path")).distinct())
-    depth = 0
-    while not level.isEmpty():
-        below = edges.join(level.select(F.col("id").alias("parent"), "path"), "parent").groupBy("id").agg(F.min(F.array_append("path", F.col("id"))).alias("path"))
-        level = materialise(below.join(seen.select("id"), "id", "left_anti"))
-        seen, depth = seen.unionByName(level), depth + 1
-        if depth % TOGETHER == 0:
-            seen = materialise(seen)
-    return seen.select("id", (F.size("path") - 1).alias("depth"), "path")
+    parents = threads.groupBy("id").agg(F.min("subagent_parent_id").alias("up"))
+    top = F.col("id") == root
+    path = [F.array("id").alias("path")] * paths
+    rows = parents.select("id", F.when(~top, F.col("up")).alias("up"), F.when(top, 0).otherwise(1).alias("depth"), top.alias("top"), *path).where("top or up is not null")
+    rows = materialise(rows)
+    most = rows.count().bit_length() + 1  # what isn't at its end by then is in a cycle
+    while most and not (moving := rows.where("up is not null")).isEmpty():
+        ahead = rows.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("top").alias("_top"), *[F.col("path").alias("_path")] * paths)
+        path = [F.concat("_path", "path").alias("path")] * paths
+        moved = moving.join(ahead, "up").select("id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_top").alias("top"), *path)
+        rows, most = materialise(rows.where("up is null").unionByName(moved.where("top or up is not null")), rows), most - 1
+    return rows.where("top").select("id", "depth", *["path"] * paths)
 
 
 def related(threads: DataFrame, thread: str) -> DataFrame:

@@ -209,7 +209,7 @@ class Usage:
 
     def team(self, root: str, f: Filter = Filter()) -> DataFrame:
         """part (self, subagents, team) and its metrics."""
-        tree = subtree(self.threads, root).select(F.col("id").alias("thread_id"), "depth")
+        tree = subtree(self.threads, root, paths=False).withColumnRenamed("id", "thread_id")
         rows = self.rows(f.but(thread=None)).join(tree, "thread_id")
         parts = F.explode(F.array(F.lit("team"), F.when(F.col("depth") == 0, "self").otherwise("subagents")))
         rows = rows.withColumn("_part", parts)
