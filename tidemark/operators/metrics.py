@@ -46,17 +46,19 @@ def parts() -> list[Column]:
     ]
 
 
-def _merge(extra: Sequence[Column] = ()) -> list[Column]:
+def merged(extra: Sequence[Column] = ()) -> list[Column]:
+    """The sums of parts(), or of sums of them."""
     return [*(F.sum(c).alias(c) for c in _SUMS), F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"), F.min("project_min").alias("project_min"), *extra]
 
 
 def combined(events: DataFrame, keys: dict[str, Column]) -> DataFrame:
-    """The keys with all partial sums, thread_count and turn_count."""
+    """The keys with all partial sums, thread_count and turn_count. events may be rolled up (see rollup.py)."""
+    own = [F.col(c) for c in (*_SUMS, "first_at", "last_at", "project_min")] if "paired_input" in events.columns else parts()
     names = [f"k_{n}" for n in keys]
-    rows = events.select(*(c.alias(n) for n, c in zip(names, keys.values(), strict=True)), F.col("thread_id").alias("_thread"), F.col("turn_id").alias("_turn"), *parts())
-    by_turn = rows.groupBy(*names, "_thread", "_turn").agg(*_merge())
-    by_thread = by_turn.groupBy(*names, "_thread").agg(*_merge([F.count("_turn").alias("turn_count")]))
-    out = by_thread.groupBy(*names).agg(*_merge([F.sum("turn_count").alias("turn_count"), F.count(F.lit(1)).alias("thread_count")]))
+    rows = events.select(*(c.alias(n) for n, c in zip(names, keys.values(), strict=True)), F.col("thread_id").alias("_thread"), F.col("turn_id").alias("_turn"), *own)
+    by_turn = rows.groupBy(*names, "_thread", "_turn").agg(*merged())
+    by_thread = by_turn.groupBy(*names, "_thread").agg(*merged([F.count("_turn").alias("turn_count")]))
+    out = by_thread.groupBy(*names).agg(*merged([F.sum("turn_count").alias("turn_count"), F.count(F.lit(1)).alias("thread_count")]))
     return out.withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 

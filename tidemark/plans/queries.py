@@ -17,9 +17,12 @@ from ..operators.cost import costs
 from ..operators.filters import ANY, Filter
 from ..operators.hierarchy import related, subtree
 from ..operators.metrics import METRICS, combined, finished, grouped
+from ..operators.rollup import aligned, ceil, floor, roll_up
 from ..schema import DIMENSIONS
 
 MOST_PER_PAGE = 200
+#: Zones whose quarter hours were odd before have whole ones since.
+SINCE = dt.datetime(1970, 1, 1)
 
 
 def page(rows: DataFrame, order: list[Column], limit: int = 50, offset: int = 0) -> DataFrame:
@@ -40,6 +43,10 @@ class Usage:
     def rows(self, f: Filter) -> DataFrame:
         return f.apply(self.events, self.threads)
 
+    def metric_rows(self, f: Filter) -> DataFrame:
+        """What metrics are made of: events, or sums of them."""
+        return self.rows(f)
+
     def _with_costs(self, out: DataFrame, rows: DataFrame, keys: dict[str, Column], page: DataFrame | None = None) -> DataFrame:
         """page: at most MOST_PER_PAGE rows, to whose keys costs are restricted before they are summed."""
         if self.prices is None:
@@ -61,8 +68,7 @@ class Usage:
 
     def summary(self, f: Filter = Filter()) -> DataFrame:
         """One row, also for no events."""
-        rows = self.rows(f)
-        return self._with_costs(grouped(rows, {}), rows, {})
+        return self._with_costs(grouped(self.metric_rows(f), {}), self.rows(f), {})
 
     def trend(self, f: Filter = Filter(), size: str = "day") -> DataFrame:
         """time, bucket_start_utc and the metrics of every local day or hour that has events, by time.
@@ -71,7 +77,7 @@ class Usage:
         """
         rows = self.rows(f)
         keys = {"bucket_start_utc": bucket_start(F.col("event_at"), self.zone, size)}
-        out = combined(rows, keys).select(bucket(F.col("first_at"), self.zone, size).alias("time"), "bucket_start_utc", *finished())
+        out = combined(self.metric_rows(f), keys).select(bucket(F.col("first_at"), self.zone, size).alias("time"), "bucket_start_utc", *finished())
         return self._with_costs(out, rows, keys).orderBy("time")
 
     def trend_filled(self, f: Filter, size: str = "day") -> DataFrame:
@@ -88,9 +94,9 @@ class Usage:
 
     def groups(self, f: Filter, by: str) -> DataFrame:
         """key, label, share of the total of all groups, and the metrics. Unknown values are a group."""
-        rows, keys = self.rows(f), {"key": F.col(DIMENSIONS[by])}
-        out = grouped(rows, keys)
-        whole = rows.agg(F.sum("total_tokens")).scalar()
+        rows, keys, own = self.rows(f), {"key": F.col(DIMENSIONS[by])}, self.metric_rows(f)
+        out = grouped(own, keys)
+        whole = own.agg(F.sum("total_tokens")).scalar()
         name = label(F.col("key")) if by == "project" else F.coalesce(F.nullif("key", F.lit("")), F.lit(UNKNOWN))
         out = out.select("key", name.alias("label"), ratio(F.col("total_tokens"), whole).alias("share"), *METRICS)
         return self._with_costs(out, rows, keys)
@@ -100,8 +106,9 @@ class Usage:
 
     def threads_page(self, f: Filter = Filter(), limit: int = 50, offset: int = 0, sort: str = "tokens", cache_below: float | None = None, q: str | None = None) -> DataFrame:
         """Threads with title, project, first and last event; cache_below: only those whose cached share of input is lower."""
-        rows, keys = self.rows(f.but(q=q) if q else f), {"thread_id": F.col("thread_id")}
-        both = combined(rows, keys)
+        f = f.but(q=q) if q else f
+        rows, keys = self.rows(f), {"thread_id": F.col("thread_id")}
+        both = combined(self.metric_rows(f), keys)
         if cache_below is not None:
             both = both.where(self._under(cache_below))
         out = both.select("thread_id", F.col("project_min").alias("project"), "first_at", "last_at", *finished())
@@ -129,14 +136,14 @@ class Usage:
 
     def turns(self, f: Filter = Filter(), limit: int = 50, offset: int = 0, sort: str = "tokens") -> DataFrame:
         """Turns with the tokens of each of their models and efforts (composition). A thread's events without a turn are one row."""
-        rows, keys = self.rows(f), {"thread_id": F.col("thread_id"), "turn_id": F.col("turn_id")}
-        out = grouped(rows, keys, "first_at", "last_at", "project_min").withColumnRenamed("project_min", "project")
+        rows, keys, sums = self.rows(f), {"thread_id": F.col("thread_id"), "turn_id": F.col("turn_id")}, self.metric_rows(f)
+        out = grouped(sums, keys, "first_at", "last_at", "project_min").withColumnRenamed("project_min", "project")
         first = {"tokens": F.desc_nulls_last("total_tokens"), "recent": F.desc("last_at"), "oldest": F.asc("first_at")}[sort]
         order = [first, F.asc("thread_id"), F.asc_nulls_first("turn_id")]
         chosen = page(out, order, limit, offset)
         # only the page's turns are taken apart
         wanted = F.broadcast(chosen.select(F.col("thread_id").alias("_t"), F.col("turn_id").alias("_u")))
-        own = rows.join(wanted, (F.col("thread_id") == F.col("_t")) & F.col("turn_id").eqNullSafe(F.col("_u")), "left_semi")
+        own = sums.join(wanted, (F.col("thread_id") == F.col("_t")) & F.col("turn_id").eqNullSafe(F.col("_u")), "left_semi")
         each = grouped(own, keys | {"model": F.col("model"), "effort": F.col("effort")})
         tokens = F.struct(F.coalesce(-F.col("total_tokens"), F.lit(1)).alias("_o"), "model", "effort", "total_tokens", "event_count")
         parts = each.groupBy("thread_id", "turn_id").agg(F.array_sort(F.collect_list(tokens)).alias("_parts")).withColumnsRenamed({"thread_id": "_t", "turn_id": "_u"})
@@ -150,7 +157,7 @@ class Usage:
     def filter_values(self, f: Filter = Filter()) -> DataFrame:
         """dimension and value of what can be filtered by, in order."""
         pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(DIMENSIONS[d]).alias("value")) for d in ("project", "model", "effort")])
-        return self.rows(f).select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").distinct().orderBy("dimension", "value")
+        return self.metric_rows(f).select(F.explode(pairs).alias("p")).select("p.*").where("value is not null").distinct().orderBy("dimension", "value")
 
     @staticmethod
     def compared(f: Filter, base: tuple[dt.datetime, dt.datetime] | None = None, now: dt.datetime | None = None) -> dict[str, tuple[dt.datetime, dt.datetime]]:
@@ -230,3 +237,23 @@ class Usage:
 
     def related(self, thread: str) -> DataFrame:
         return related(self.threads, thread).orderBy("id", "relation")
+
+
+@dataclass(frozen=True)
+class RolledUsage(Usage):
+    """Usage whose summaries, trends, breakdowns, threads, turns and filter values are made of a roll-up of its events (rollup.roll_up()). Costs, which depend on each event, are made of events."""
+
+    rolled: DataFrame | None = None
+
+    def metric_rows(self, f: Filter) -> DataFrame:
+        """Events only of the first and last quarter hour of a range that isn't made of whole ones, and wherever the zone's days and hours aren't."""
+        if self.rolled is None or not aligned(self.zone, 1970):
+            return self.rows(f)
+        start, end, at = f.start and ceil(f.start), f.end and floor(f.end), lambda x: F.lit(x).cast("timestamp_ntz")
+        if not aligned(self.zone):
+            start = max(start or SINCE, SINCE)
+        if start and end and start >= end:
+            return self.rows(f)
+        out = f.but(start=start, end=end).apply(self.rolled, self.threads)
+        edges = [F.col("event_at") < at(start)] * (start != f.start) + [F.col("event_at") >= at(end)] * (end != f.end)
+        return out.unionByName(roll_up(self.rows(f).where(functools.reduce(lambda a, b: a | b, edges)))) if edges else out

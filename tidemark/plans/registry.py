@@ -1,25 +1,31 @@
 """The queries by name, with the same results in SQL over the plain tables."""
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import plotted
+from ..functions.stored import shared_dir
 from ..functions.timebuckets import bucket
 from ..operators.cost import price_table
 from ..operators.filters import Filter
 from ..operators.metrics import METRICS, combined, finished
 from ..operators.parse import mark_inherited, snapshot_deltas
 from ..operators.reconcile import effective, without_mirrors
+from ..operators.rollup import roll_up
 from ..schema import TOKENS
 from ..sources import account
 from ..sources.adapters import EVENT_COLUMNS, events_from_chats, events_from_lines, events_from_stream, threads_from_stream
-from .queries import Usage
+from ..streaming.refresh import Store
+from .queries import RolledUsage, Usage
 
 NEW_YORK, SHANGHAI, BERLIN = "America/New_York", "Asia/Shanghai", "Europe/Berlin"
 DAY = dt.datetime(2024, 1, 10)
 WEEK = Filter(start=DAY, end=DAY + dt.timedelta(days=7))
+#: Not made of whole quarter hours.
+RAGGED = Filter(start=dt.datetime(2024, 1, 10, 10, 7, 30), end=dt.datetime(2024, 1, 16, 21, 52, 10))
 #: Per million tokens; the threshold is low enough for both tiers to occur, and one model has no price.
 PRICES = (
     ("click", "10", "1", "12.5", "50", 5000, "20", "2", "25", "75"),
@@ -36,6 +42,13 @@ usage_events AS (
 ), effective AS (
   SELECT * FROM unmirrored QUALIFY row_number() OVER (PARTITION BY event_key ORDER BY incomplete, file) = 1
 )"""
+_LOGGED = """
+logged AS (
+  SELECT concat('t', user_id) AS thread_id, concat('u', day(ts)) AS turn_id, date_trunc('millisecond', ts) AS event_at, concat('/work/p', k % 6) AS project, event_type AS model,
+    CASE WHEN k % 3 = 0 THEN 'low' ELSE 'high' END AS effort, 'record' AS kind, v AS input_tokens, v // 2 AS cached_input_tokens, cast(NULL AS bigint) AS cache_write_input_tokens, k * 10 AS output_tokens,
+    cast(NULL AS bigint) AS reasoning_output_tokens, v + k * 10 AS total_tokens, 0 AS incomplete
+  FROM (SELECT *, cast(json_extract_string(props, '$.k') AS bigint) AS k, cast(round(value * 100) AS bigint) AS v FROM events)
+)"""
 _THREADS = """
 threads AS (
   SELECT concat('t', u) AS id, CASE WHEN u > 0 THEN concat('t', (u - 1) // 2) END AS subagent_parent_id,
@@ -74,6 +87,7 @@ _METRICS = f"""
   {_ratio(f'sum(cached_input_tokens) FILTER (WHERE {_PAIRED})', f'sum(input_tokens) FILTER (WHERE {_PAIRED})')} AS cache_ratio,
   cast(coalesce(sum(incomplete), 0) AS bigint) AS incomplete_events"""
 _NAMES = ", ".join(METRICS)
+_RAGGED = f"event_at >= timestamp '{RAGGED.start}' AND event_at < timestamp '{RAGGED.end}'"
 _WEEK = f"event_at >= timestamp '{WEEK.start}' AND event_at < timestamp '{WEEK.end}'"
 
 
@@ -144,6 +158,35 @@ def inherited_prefix(spark: SparkSession, d: str) -> DataFrame:
     return mark_inherited(rows, known, ("file",), "at").select("event_id", "thread_id", "excluded", "incomplete")
 
 
+def _rolled(spark: SparkSession, d: str, zone: str = "UTC") -> RolledUsage:
+    events = effective(events_from_stream(spark, d))
+    return RolledUsage(events, threads_from_stream(spark, d), None, zone, roll_up(events))
+
+
+def write_logs(spark: SparkSession, d: str, path: str) -> None:
+    """The stream as logs: of each event a session, a context and a record line, as some producer might write them."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    k, v, u = F.get_json_object("props", "$.k").cast("bigint"), F.round(F.col("value") * 100).cast("bigint"), F.col("user_id").cast("string")
+    text, at = lambda c: c.cast("string"), F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    line = lambda kind, payload: F.to_json(F.struct(at.alias("timestamp"), F.lit(kind).alias("type"), F.struct(*payload).alias("payload")))
+    usage = F.struct(v.alias("input_tokens"), F.floor(v / 2).alias("cached_input_tokens"), (k * 10).alias("output_tokens"), (v + k * 10).alias("total_tokens"))
+    lines = (
+        line("session_meta", [F.concat(F.lit("t"), u).alias("id"), F.concat(F.lit("/work/p"), text(k % 6)).alias("cwd")]),
+        line("turn_context", [F.concat(F.lit("u"), text(F.dayofmonth("ts"))).alias("turn_id"), F.col("event_type").alias("model"), F.when(k % 3 == 0, "low").otherwise("high").alias("effort")]),
+        line("token_usage_record", [text(F.col("event_id")).alias("response_id"), usage.alias("usage")]),
+    )
+    e.select(F.concat_ws("\n", *lines)).write.text(path)
+
+
+def _stored(spark: SparkSession, d: str, zone: str, start: dt.datetime, end: dt.datetime) -> RolledUsage:
+    """Through logs and a store: written, read by ranges, judged, kept by day and rolled up."""
+    place = f"{shared_dir(spark)}/{uuid.uuid4().hex}"
+    write_logs(spark, d, f"{place}/logs")
+    store = Store(spark, f"{place}/store")
+    store.refresh([f"{place}/logs"], 1, pattern="*.txt")
+    return store.usage(start, end, zone=zone)
+
+
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """A quota payload per customer, with missing and excessive numbers."""
     c, k = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey")
@@ -309,6 +352,12 @@ def queries() -> dict:
         "quota_windows": quota_windows,
         "latest_snapshot": latest_snapshot,
         "cost_by_thread": lambda s, d: _costs_only(u(s, d, priced=True).groups(Filter(), "thread"), "key"),
+        "rolled_summary": lambda s, d: _rolled(s, d).summary(RAGGED.but(model="click")),
+        "rolled_trend_hour_ny": lambda s, d: _rolled(s, d, NEW_YORK).trend(RAGGED, "hour"),
+        "rolled_breakdown": lambda s, d: _rolled(s, d).breakdown(RAGGED, by="thread", limit=200),
+        "rolled_turns": lambda s, d: _rolled(s, d).turns(RAGGED, limit=100).drop("composition"),
+        "stored_trend_day_ny": lambda s, d: _stored(s, d, NEW_YORK, WEEK.start, WEEK.end).trend(WEEK),
+        "stored_breakdown": lambda s, d: _stored(s, d, "UTC", WEEK.start, WEEK.end).breakdown(WEEK, by="project"),
     }
 
 
@@ -399,4 +448,10 @@ def oracle_sql() -> dict[str, str]:
               CASE WHEN k % 9 > 0 THEN (k % 9) * 60.0 END AS window_minutes, make_timestamp(k * 1000 * 1000000) AS resets_at, true AS no_secondary FROM b""",
         "latest_snapshot": "SELECT event_id AS id, cast(user_id AS varchar) AS identity_key, event_type AS kind, ts AS at, props AS data FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id DESC) = 1",
         "cost_by_thread": _cost_sql("thread_id", "k AS key,"),
+        "rolled_summary": summary(f"{_RAGGED} AND model = 'click'"),
+        "rolled_trend_hour_ny": e + _trend_sql("effective", _hour(NEW_YORK), _hour_start(NEW_YORK), _RAGGED),
+        "rolled_breakdown": _groups_sql("thread_id", _RAGGED) + " LIMIT 200",
+        "rolled_turns": _turns_sql(_RAGGED, "total_tokens DESC NULLS LAST, thread_id, turn_id NULLS FIRST", "LIMIT 100"),
+        "stored_trend_day_ny": f"WITH {_LOGGED} " + _trend_sql("logged", _day(NEW_YORK), _day_start(NEW_YORK), _WEEK),
+        "stored_breakdown": _groups_sql("project", _WEEK, label=_PATH_LABEL).replace(_EFFECTIVE, _LOGGED).replace("FROM effective", "FROM logged") + " LIMIT 50",
     }

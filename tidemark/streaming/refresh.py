@@ -11,7 +11,7 @@ with nothing else:
 * the event keys of these tasks, and all tasks that have one of the keys.
 
 Days on which such a key was or is effective are written anew, as the batch's version of them; the listing of versions, written last, makes them count. So a query
-over a range reads its days only, and no verdict is taken twice.
+over a range reads its days only, and no verdict is taken twice. Each version of a day is rolled up with it, so metrics read no events.
 
 Logs grow in place, which Spark's file source doesn't follow, so a refresh compares listings; for logs that are only ever added, new_files()
 is a stream of listings, and each micro-batch is stored in the same way.
@@ -28,8 +28,10 @@ from ..functions.stored import discard, materialise
 from ..operators.carry import END, read_split, states
 from ..operators.parse import STATE, VERSION, decode, issues_of, judged, orphans, read_events, threads_of
 from ..operators.reconcile import effective
+from ..operators.rollup import roll_up
+from ..plans.queries import RolledUsage
 from ..schema import USAGE_EVENTS
-from ..sources.logs import manifest
+from ..sources.logs import manifest, with_titles
 from ..sources.ranges import CHUNK, fingerprints, read_ranges
 
 
@@ -89,9 +91,9 @@ class Store:
         rows = self._latest("issues")
         return None if rows is None else rows.drop("batch").unionByName(orphans(self.events(), self.threads()))
 
-    def refresh(self, roots: Sequence[str], batch: int, chunk: int = CHUNK) -> int:
+    def refresh(self, roots: Sequence[str], batch: int, chunk: int = CHUNK, pattern: str = "*.jsonl") -> int:
         """Reads what is new in the files that are new or changed since the last refresh; the number of them. Batches must rise."""
-        now, had = manifest(self.spark, roots, VERSION), self.files()
+        now, had = manifest(self.spark, roots, VERSION, pattern), self.files()
         return self.store(now if had is None else now.join(had, ["file", "size", "modified", "version"], "left_anti"), batch, chunk)
 
     def _found(self, files: DataFrame) -> DataFrame:
@@ -158,7 +160,12 @@ class Store:
         changed = sorted(r.date for r in days.collect())
         if old is not None and (kept := {d: had[d] for d in changed if d in had}):
             new = new.unionByName(self._of_days(kept).join(keys, "event_key", "left_anti").select(*new.columns))
-        new.repartition("date", F.pmod(F.xxhash64("thread_id"), F.lit(16))).write.mode("overwrite").partitionBy("date").parquet(f"{self.path}/effective/version={batch}")
+        dealt = ("date", F.pmod(F.xxhash64("thread_id"), F.lit(16)))
+        new.repartition(*dealt).write.mode("overwrite").partitionBy("date").parquet(f"{self.path}/effective/version={batch}")
+        if changed:
+            # a quarter hour is within one day
+            rolled = roll_up(self.spark.read.schema(new.schema).parquet(f"{self.path}/effective/version={batch}")).withColumn("date", F.to_date("event_at"))
+            rolled.repartition(*dealt).write.mode("overwrite").partitionBy("date").parquet(f"{self.path}/rolled/version={batch}")
         found = {r.date for r in self.spark.read.parquet(f"{self.path}/effective/version={batch}").select("date").distinct().collect()} if changed and not new.isEmpty() else set()
         self._write(self.spark.createDataFrame([(d, d in found) for d in changed], "date date, rows boolean"), "versions", batch)
 
@@ -170,23 +177,36 @@ class Store:
         last = rows.groupBy("date").agg(F.max_by(F.struct("batch", "rows"), "batch").alias("r"))
         return {r.date: r.batch for r in last.select("date", "r.*").collect() if r.rows}
 
-    def _of_days(self, days: dict[dt.date, int]) -> DataFrame:
-        paths = [f"{self.path}/effective/version={v}/date={d}" for d, v in sorted(days.items())]
-        rows = self.spark.read.option("basePath", f"{self.path}/effective").parquet(*paths)
-        return rows.withColumn("date", F.col("date").cast("date")).select(*USAGE_EVENTS.fieldNames(), "date")
+    def _of_days(self, days: dict[dt.date, int], name: str = "effective") -> DataFrame:
+        paths = [f"{self.path}/{name}/version={v}/date={d}" for d, v in sorted(days.items())]
+        rows = self.spark.read.option("basePath", f"{self.path}/{name}").parquet(*paths)
+        rows = rows.withColumn("date", F.col("date").cast("date"))
+        return rows.select(*USAGE_EVENTS.fieldNames(), "date") if name == "effective" else rows.drop("version")
+
+    def _within(self, name: str, none: DataFrame, start: dt.datetime | None, end: dt.datetime | None) -> DataFrame:
+        days = {d: v for d, v in self._days().items() if (start is None or d >= start.date()) and (end is None or dt.datetime.combine(d, dt.time()) < end)}
+        return self._of_days(days, name).drop("date") if days else none
 
     def effective(self, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
         """The stored effective facts of [start, end), of which only its days are read."""
-        days = {d: v for d, v in self._days().items() if (start is None or d >= start.date()) and (end is None or dt.datetime.combine(d, dt.time()) < end)}
-        if not days:
-            return self.spark.createDataFrame([], USAGE_EVENTS)
-        rows = self._of_days(days).drop("date")
+        rows = self._within("effective", self.spark.createDataFrame([], USAGE_EVENTS), start, end)
         at = F.col("event_at")
         within = [at >= F.lit(start).cast("timestamp_ntz")] * (start is not None) + [at < F.lit(end).cast("timestamp_ntz")] * (end is not None)
         for condition in within:
             rows = rows.where(condition)
         return rows
 
+    def rolled(self, start: dt.datetime | None = None, end: dt.datetime | None = None) -> DataFrame:
+        """The roll-up of the days that [start, end) meets."""
+        return self._within("rolled", roll_up(self.spark.createDataFrame([], USAGE_EVENTS)), start, end)
+
+    def usage(self, start: dt.datetime | None = None, end: dt.datetime | None = None, prices: DataFrame | None = None, zone: str = "UTC", titles: DataFrame | None = None) -> RolledUsage:
+        """The queries over what is stored of [start, end): metrics from roll-ups, and events of these days only where they are needed. titles: of read_titles()."""
+        threads = self.threads()
+        if threads is not None:
+            threads = with_titles(threads, titles) if titles is not None else threads.withColumn("title", F.lit(None).cast("string"))
+        return RolledUsage(self.effective(start, end), threads, prices, zone, self.rolled(start, end))
+
     def status(self) -> DataFrame:
         """One row: the last batch, files that are known and that it changed, effective events and issues."""
         files, none = self.files(), self.spark.createDataFrame([(0,)], "n long")
