@@ -16,7 +16,7 @@ from ..operators.parse import mark_inherited, snapshot_deltas
 from ..operators.reconcile import effective, without_mirrors
 from ..operators.rollup import roll_up
 from ..schema import TOKENS
-from ..sources import account
+from ..sources import account, history
 from ..sources.adapters import EVENT_COLUMNS, events_from_chats, events_from_lines, events_from_stream, threads_from_stream
 from ..streaming.refresh import Store
 from .queries import RolledUsage, Usage
@@ -167,15 +167,13 @@ def write_logs(spark: SparkSession, d: str, path: str) -> None:
     """The stream as logs: of each event a session, a context and a record line, as some producer might write them."""
     e = spark.read.parquet(f"{d}/events.parquet")
     k, v, u = F.get_json_object("props", "$.k").cast("bigint"), F.round(F.col("value") * 100).cast("bigint"), F.col("user_id").cast("string")
-    text, at = lambda c: c.cast("string"), F.date_format(F.col("ts").cast("timestamp_ntz"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    line = lambda kind, payload: F.to_json(F.struct(at.alias("timestamp"), F.lit(kind).alias("type"), F.struct(*payload).alias("payload")))
+    text = lambda c: c.cast("string")
     usage = F.struct(v.alias("input_tokens"), F.floor(v / 2).alias("cached_input_tokens"), (k * 10).alias("output_tokens"), (v + k * 10).alias("total_tokens"))
-    lines = (
-        line("session_meta", [F.concat(F.lit("t"), u).alias("id"), F.concat(F.lit("/work/p"), text(k % 6)).alias("cwd")]),
-        line("turn_context", [F.concat(F.lit("u"), text(F.dayofmonth("ts"))).alias("turn_id"), F.col("event_type").alias("model"), F.when(k % 3 == 0, "low").otherwise("high").alias("effort")]),
-        line("token_usage_record", [text(F.col("event_id")).alias("response_id"), usage.alias("usage")]),
-    )
-    e.select(F.concat_ws("\n", *lines)).write.text(path)
+    lines = history.event_lines(
+        F.concat(F.lit("t"), u), F.concat(F.lit("/work/p"), text(k % 6)), F.concat(F.lit("u"), text(F.dayofmonth("ts"))), F.col("event_type"), F.when(k % 3 == 0, "low").otherwise("high"), text(F.col("event_id")),
+        F.col("ts").cast("timestamp_ntz"), usage,
+    )
+    e.select(lines).write.text(path)
 
 
 def _stored(spark: SparkSession, d: str, zone: str, start: dt.datetime, end: dt.datetime) -> RolledUsage:
