@@ -53,7 +53,7 @@ def listing(spark, folder):
 
 def split(lines, kept=None):
     rows = materialise(parse.decode(lines))
-    begins = materialise(carry.states(rows, kept))
+    begins = carry.states(rows, kept)
     return carry.read_split(rows, begins), begins, rows
 
 

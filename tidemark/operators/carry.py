@@ -13,6 +13,7 @@ A state that was kept is one more row, before all chunks, so a file that grew is
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import materialise
 from ..schema import TOKENS
 from .parse import STATE, carried, named, signature, what_lines_set, with_snapshots
 
@@ -33,8 +34,8 @@ def _highs(total: str) -> Column:
     return F.struct(*[F.max(f"{total}.{t}").alias(t) for t in TOKENS])
 
 
-def fold_chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows of decode(), by chunk: what it sets (a row each), and for each limit of its first and last zone the last counted snapshot."""
+def fold_zones(rows: DataFrame) -> DataFrame:
+    """rows of decode(), by zone and limit of each chunk: what they set."""
     sets = what_lines_set()
     whole = Window.partitionBy("file", "chunk").orderBy("line_no")
     so_far = whole.rowsBetween(Window.unboundedPreceding, 0)
@@ -43,16 +44,18 @@ def fold_chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = rows.withColumn("zone", F.sum(F.coalesce((F.col("named").isNotNull() & ~F.col("named").eqNullSafe(before)).cast("int"), F.lit(0))).over(so_far))
     snapshot, counted = F.col("total").isNotNull() | F.col("last").isNotNull(), F.col("total").isNotNull()
     rows = rows.withColumn("sign", F.when(snapshot, signature()))
-    by_limit = rows.groupBy("file", "chunk", "zone", F.when(snapshot, F.col("limit")).alias("limit")).agg(
+    return rows.groupBy("file", "chunk", "zone", F.when(snapshot, F.col("limit")).alias("limit")).agg(
         F.max(F.when(F.col("type") == "end", F.col("line_no"))).alias("lines"), F.count_if(sets["meta"]).alias("metas"),
         F.min(F.when(F.col("own").isNotNull(), F.struct("line_no", "own"))).alias("first_own"), _latest(F.col("own")).alias("last_own"),
         *[_latest(sets[c]).alias(c) for c in _CARRIED],
         _latest(sets["turn"]).alias("turn"), _highs("total").alias("high"), F.coalesce(F.bool_or(counted), F.lit(False)).alias("started"), _latest(F.col("sign")).alias("last"),
         _latest(F.when(counted, F.col("sign"))).alias("counted"),
     )
-    top = F.max("zone").over(Window.partitionBy("file", "chunk"))
-    # no more rows than zones and limits of each chunk
-    zones = by_limit.withColumn("top", top)
+
+
+def fold_chunks(zones: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """fold_zones() by chunk: what it sets (a row each), and for each limit of its first and last zone the last counted snapshot."""
+    zones = zones.withColumn("top", F.max("zone").over(Window.partitionBy("file", "chunk")))
     fold = lambda on: F.struct(F.max(F.when(on, F.col("turn"))).alias("turn"), F.struct(*[F.max(F.when(on, F.col(f"high.{t}"))).alias(t) for t in TOKENS]).alias("high"), F.bool_or(on & F.col("started")).alias("started"), F.max(F.when(on, F.col("last"))).alias("last")).cast(_FOLD)
     first, final = F.col("zone") == 0, (F.col("zone") > 0) & (F.col("zone") == F.col("top"))
     chunks = zones.groupBy("file", "chunk").agg(
@@ -78,11 +81,12 @@ def _kept(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def states(rows: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """file, chunk and s (STATE): what holds at the beginning of each chunk of rows (of decode()), and of chunk END at the end of each file.
+    """file, chunk and s (STATE), materialised: what holds at the beginning of each chunk of rows (of decode()), and of chunk END at the end of each file.
 
     kept: states (file, s) with which files begin; others begin with nothing.
     """
-    chunks, limits = fold_chunks(rows)
+    zones = materialise(fold_zones(rows))
+    chunks, limits = fold_chunks(zones)
     chunks = chunks.withColumn("lives", F.lit(None).cast("long"))
     if kept is not None:
         more, some = _kept(kept)
@@ -119,7 +123,7 @@ def states(rows: DataFrame, kept: DataFrame | None = None) -> DataFrame:
         F.col("lines_before").alias("lines"), "thread", "segment", "life", F.col("project_before").alias("project"), "turn", F.col("model_before").alias("model"), F.col("effort_before").alias("effort"), F.col("edges_before").alias("edges"),
         "high", "started", "signature", limits_or_none.alias("limits"),
     )
-    return out.select("file", "chunk", state.cast(STATE).alias("s"))
+    return materialise(out.select("file", "chunk", state.cast(STATE).alias("s")), zones)
 
 
 def seeded(rows: DataFrame, begins: DataFrame) -> DataFrame:
@@ -135,5 +139,5 @@ def numbered(read: DataFrame) -> DataFrame:
 
 
 def read_split(rows: DataFrame, begins: DataFrame) -> DataFrame:
-    """carried() of rows of decode() with chunks. Both are read several times: materialise them first."""
+    """carried() of rows of decode() with chunks, from states() of them. rows are read several times: materialise them first."""
     return numbered(carried(seeded(rows, begins)))

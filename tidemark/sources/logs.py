@@ -15,12 +15,12 @@ from ..functions.scalars import instant
 LINES = "file string, line_no int, doc string"
 
 
-def _files(spark: SparkSession, roots: Sequence[str], pattern: str = "*.jsonl") -> DataFrame | None:
-    """Those of the roots that exist, with all files of a pattern below them."""
+def _files(spark: SparkSession, roots: Sequence[str]) -> DataFrame | None:
+    """Those of the roots that exist, with all *.jsonl files below them."""
     found = None
     for root in roots:
         try:
-            rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=pattern)
+            rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.jsonl")
         except AnalysisException as e:
             if "PATH_NOT_FOUND" in str(e):
                 continue
@@ -47,10 +47,16 @@ def read_logs(spark: SparkSession, roots: Sequence[str], known: DataFrame | None
 
 def manifest(spark: SparkSession, roots: Sequence[str], version: int, pattern: str = "*.jsonl") -> DataFrame:
     """file, size, modified and parser version of every file; file contents are not read."""
-    files = _files(spark, roots, pattern)
-    if files is None:
-        return spark.createDataFrame([], "file string, size long, modified timestamp, version int")
-    return files.select("file", "size", "modified", F.lit(version).alias("version"))
+    found = spark.createDataFrame([], "file string, size long, modified timestamp, version int")
+    for root in roots:
+        try:
+            rows = spark.read.format("binaryFile").load(root, recursiveFileLookup=True, pathGlobFilter=pattern)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" in str(e):
+                continue
+            raise
+        found = found.unionByName(rows.select(F.col("_metadata.file_path").alias("file"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.lit(version).alias("version")))
+    return found
 
 
 def object_text(doc: Column) -> Column:

@@ -124,7 +124,7 @@ class Store:
             self._write(before.distinct(), "replaced", batch)
         rows = materialise(decode(read_ranges(found, chunk)))
         kept = found.where("start > 0").select("file", "s")
-        begins = materialise(states(rows, None if kept.isEmpty() else kept))
+        begins = states(rows, None if kept.isEmpty() else kept)
         read = read_split(rows, begins)
         self._write(read_events(read), "events", batch)
         self._write(threads_of(read), "threads", batch)
