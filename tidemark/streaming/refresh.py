@@ -125,13 +125,13 @@ class Store:
         rows = materialise(decode(read_ranges(found, chunk)))
         kept = found.where("start > 0").select("file", "s")
         begins = states(rows, None if kept.isEmpty() else kept)
-        read = read_split(rows, begins)
+        read = materialise(read_split(rows, begins), rows)
         self._write(read_events(read), "events", batch)
         self._write(threads_of(read), "threads", batch)
         self._write(issues_of(read), "issues", batch)
         ends = begins.where(F.col("chunk") == END).select("file", "s")
         self._write(found.drop("s").join(ends, "file", "left"), "files", batch)
-        discard(rows, begins, found)
+        discard(read, begins, found)
         self.judge(batch, before is not None)
         return n
 
