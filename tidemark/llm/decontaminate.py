@@ -12,7 +12,7 @@ Most text never reaches the automaton: only runs of word pairs that all occur in
 and those runs are found with numpy on word hashes. The automaton then compares the words themselves.
 
 Defined results: a null or empty text has no words and no hits; a very long text is held by one task, about fifty bytes for each of its words; repeated rows
-are each answered; a null item text or one without words matches nothing; an item without an id hits words but is not named or counted; items of
+are each answered, each by itself, so ties need no rule; a null item text or one without words matches nothing; an item without an id hits words but is not named or counted; items of
 equal text all count; an empty benchmark hits nothing; an empty table gives no rows; columns besides doc_id and text are not read.
 """
 

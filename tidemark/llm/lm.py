@@ -12,7 +12,7 @@ distinct keys and counts, and get the log probability of every key back (see exc
 bytes, of at most 65,536 counts. Words are counted in the same way, by ranges of their hashes; two words share
 a 64-bit hash with a probability of 5e-20.
 
-Defined results: a null or empty text is the end alone; a very long text is held by one task, some tens of bytes for each of its bytes; repeated rows each count and are each answered; a row without doc_id is
+Defined results: a null or empty text is the end alone; a very long text is held by one task, some tens of bytes for each of its bytes; repeated rows each count and are each answered; symbols of one count share alike, so ties need no rule; a row without doc_id is
 held out; without training documents all symbols are alike; an empty table gives no rows; columns besides doc_id and text are
 not read.
 """

@@ -192,7 +192,7 @@ def _torn(bands: DataFrame, components: DataFrame) -> DataFrame:
 
 
 def _stars(rows: DataFrame, salt: int) -> DataFrame:
-    """a, b: in each bucket, one member drawn by hash with every other one. Salted minima first, so a hot bucket is no hot task."""
+    """a, b: in each bucket, one member drawn by hash with every other one. Minima are combined before they are shuffled; that a hot bucket's join is split is left to the engine."""
     drawn = F.struct(F.xxhash64("node", F.lit(salt), "key").alias("h"), F.col("node"))
     centres = rows.groupBy("key").agg(F.min(drawn).alias("c")).select("key", F.col("c.node").alias("centre"))
     pairs = rows.join(centres, "key").where("node <> centre")

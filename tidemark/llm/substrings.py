@@ -13,7 +13,7 @@ non-overlapping blocking, wherever it starts. So:
 So a group of copies of any size is never paired. Probes use the upper 48 bits of a hash, which can only add work to step 3; its
 windows are compared by 64-bit hashes, of which two different ones are equal with a probability of 5e-20.
 
-Defined results: a null or empty text has no words; a very long text is held by one task, some tens of bytes for each word; repeated rows repeat each other's windows, so both lose them; a row without doc_id
+Defined results: a null or empty text has no words; a very long text is held by one task, some tens of bytes for each word; repeated rows repeat each other's windows, so both lose them (no copy is preferred, so ties need no rule); a row without doc_id
 takes part; an empty table gives no rows; columns besides doc_id and text are not read.
 """
 

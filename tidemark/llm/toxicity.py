@@ -14,7 +14,7 @@ their ids, as far as `SAMPLE_BYTES` of text in each group, whatever the length o
 A model has 2**`BITS` weights, whatever the corpus, and is sent to all tasks; every whole text is scored by its
 distinct words and word beginnings.
 
-Defined results: a null or empty text gets the score of no words; a very long text has the score of all its words and is held by one task, a few bytes for each of its bytes; repeated rows are each answered; a row without doc_id is held
+Defined results: a null or empty text gets the score of no words; a very long text has the score of all its words and is held by one task, a few bytes for each of its bytes; repeated rows are each answered; a score of 0.5 is predicted toxic; of sampled rows with one id hash, those with the smaller id and text hash come first; a row without doc_id is held
 out and scored; without usable positives every score is the prior; several labels of a document count as toxic if one does; an empty table
 gives no rows; columns besides doc_id and text, or doc_id and toxic, are not read.
 """

@@ -7,7 +7,7 @@ Identifiers follow from the source's identifier and the kind of derivative, so a
 All of it is one pass over the rows, without a shuffle; pages are parsed one at a time by one scanner that is linear in the page, however broken.
 
 Defined results: a very long page is held whole by its task; a null payload or header block is empty and gives both derivatives, with no text; a null URI is empty; repeated rows give
-repeated records; a row without an identifier gets one from its URI and payload; an empty table gives no rows; columns besides those named
+repeated records, and of two titles the first counts, so there are no ties to break; a row without an identifier gets one from its URI and payload; an empty table gives no rows; columns besides those named
 are not read.
 """
 
