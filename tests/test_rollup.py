@@ -57,3 +57,12 @@ def test_quarter_hours():
     at = dt.datetime(2031, 5, 20, 10, 7, 30)
     assert (floor(at), ceil(at)) == (dt.datetime(2031, 5, 20, 10), dt.datetime(2031, 5, 20, 10, 15))
     assert floor(floor(at)) == ceil(floor(at)) == floor(at)
+
+
+def test_long_ranges_are_filled_if_asked(spark):
+    rows = events(spark, n=30)
+    f = Filter(start=dt.datetime(2031, 1, 1), end=dt.datetime(2031, 12, 31))
+    two = RolledUsage(rows, None, None, "America/New_York", roll_up(rows))
+    some, all_ = two.trend_filled(f, "hour").collect(), two.trend_filled(f, "hour", most=None).collect()
+    assert all(r.has_records for r in some) and len(all_) == 364 * 24 and len({r.time for r in all_}) == len(all_)
+    assert [r.time for r in all_ if r.has_records] == [r.time for r in some]

@@ -87,10 +87,10 @@ def bucket_range(name: str, size: str, zone: str, start: dt.datetime | None = No
     return (a, b) if a < b else None
 
 
-def spine(spark: SparkSession, start: dt.datetime, end: dt.datetime, zone: str, size: str) -> DataFrame | None:
-    """time and bucket_start_utc of every bucket that meets [start, end); None for more than MOST_BUCKETS."""
+def spine(spark: SparkSession, start: dt.datetime, end: dt.datetime, zone: str, size: str, most: int | None = MOST_BUCKETS) -> DataFrame | None:
+    """time and bucket_start_utc of every bucket that meets [start, end); None for more than `most`, if that isn't None."""
     hours = (end - start).total_seconds() / 3600
-    if (hours if size == "hour" else hours / 24) > MOST_BUCKETS:
+    if most is not None and (hours if size == "hour" else hours / 24) > most:
         return None
     one = spark.range(1).select(F.lit(start).cast("timestamp_ntz").alias("a"), (F.lit(end).cast("timestamp_ntz") - F.expr("INTERVAL '0.001' SECOND")).alias("z"))
     a, z = F.col("a"), F.col("z")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import UNKNOWN, label, ratio
-from ..functions.timebuckets import bucket, bucket_start, spine
+from ..functions.timebuckets import MOST_BUCKETS, bucket, bucket_start, spine
 from ..operators.cost import costs
 from ..operators.filters import ANY, Filter
 from ..operators.hierarchy import related, subtree
@@ -80,11 +80,14 @@ class Usage:
         out = combined(self.metric_rows(f), keys).select(bucket(F.col("first_at"), self.zone, size).alias("time"), "bucket_start_utc", *finished())
         return self._with_costs(out, rows, keys).orderBy("time")
 
-    def trend_filled(self, f: Filter, size: str = "day") -> DataFrame:
-        """The trend with every bucket of the filter's range; one without events has no records and totals of zero."""
+    def trend_filled(self, f: Filter, size: str = "day", most: int | None = MOST_BUCKETS) -> DataFrame:
+        """The trend with every bucket of the filter's range; one without events has no records and totals of zero.
+
+        A range of more than `most` buckets, as charts can't show them, has only those with events; None fills any range.
+        """
         if f.start is None or f.end is None:
             raise ValueError("a filled trend needs start and end")
-        found, ticks = self.trend(f, size), spine(self.events.sparkSession, f.start, f.end, self.zone, size)
+        found, ticks = self.trend(f, size), spine(self.events.sparkSession, f.start, f.end, self.zone, size, most)
         if ticks is None:
             return found.withColumn("has_records", F.lit(True))
         out = ticks.join(found.drop("bucket_start_utc").withColumn("has_records", F.lit(True)), "time", "left")
