@@ -23,12 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir(spark.sparkContext.applicationId)
 
 
+def folder(spark: SparkSession, path: str):
+    """The file system of a path, and the path for it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes materialised tables that nothing reads any more."""
     for table in tables:
-        spark = table.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table.stored_at)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        fs, at = folder(table.sparkSession, table.stored_at)
+        fs.delete(at, True)
 
 
 def materialise(df: DataFrame, *instead: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ with nothing else:
 * its tasks, those of its files before, and their children (a parent may have come);
 * the event keys of these tasks, and all tasks that have one of the keys.
 
+Events are split by task, and the tasks of keys by key, so only parts that hold one of them are read (see runs.py). Batches are joined to larger runs as they come, without the
+rows of files that were read anew since, so the folders that a refresh opens don't grow with the number of batches. tidy() deletes what no longer counts.
+
 Days on which such a key was or is effective are written anew, as the batch's version of them; the listing of versions, written last, makes them count. So a query
 over a range reads its days only, and no verdict is taken twice. Each version of a day is rolled up with it, so metrics read no events.
 
@@ -20,11 +23,10 @@ is a stream of listings, and each micro-batch is stored in the same way.
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.stored import discard, materialise
+from ..functions.stored import discard, folder, materialise
 from ..operators.carry import END, read_split, states
 from ..operators.parse import STATE, VERSION, decode, issues_of, judged, orphans, read_events, threads_of
 from ..operators.reconcile import effective
@@ -33,27 +35,35 @@ from ..plans.queries import RolledUsage
 from ..schema import USAGE_EVENTS
 from ..sources.logs import manifest, with_titles
 from ..sources.ranges import CHUNK, fingerprints, read_ranges
+from .runs import Runs
+
+#: About how many bytes of a log become one of stored events; it decides how finely a batch is split, never what it holds.
+LOG_TO_PARQUET = 8
 
 
 class Store:
-    """events, threads, issues, files, effective facts and their versions as Parquet below a folder that all executors see.
+    """events, keys (with their tasks), threads, issues, files, effective facts and their versions as Parquet below a folder that all executors see.
 
-    Each has a folder for each batch. A batch that failed half-way has no listing of files, so nothing of it is seen, and trying it again overwrites what it left.
+    A batch that failed half-way has no listing of files, so nothing of it is seen, and trying it again overwrites what it left. fan: how many batches are joined at once. One
+    refresh at a time; any number of readers.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
+    def __init__(self, spark: SparkSession, path: str, fan: int = 16):
         self.spark, self.path = spark, path.rstrip("/")
+        keys = {"events": "thread_id", "keys": "event_key", "threads": None, "issues": None, "files": None, "versions": None}
+        self.tables = {name: Runs(spark, f"{self.path}/{name}", key, fan) for name, key in keys.items()}
 
-    def _read(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-                return None
-            raise
+    def _read(self, name: str, of: DataFrame | None = None) -> DataFrame | None:
+        return self.tables[name].read(of)
 
     def _write(self, df: DataFrame, name: str, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}/batch={batch}")
+        self.tables[name].append(df, batch)
+
+    def _put(self, df: DataFrame, name: str, batch: int) -> DataFrame:
+        """What only its batch reads."""
+        path = f"{self.path}/{name}/batch={batch}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def _listed(self, name: str) -> DataFrame | None:
         """All rows of a table, of batches that have a listing."""
@@ -66,13 +76,14 @@ class Store:
         kept = ("size", "modified", "version", "since", "batch", *more)
         return None if rows is None else rows.groupBy("file").agg(F.max_by(F.struct(*kept), "batch").alias("r")).select("file", "r.*")
 
-    def _latest(self, name: str) -> DataFrame | None:
+    def _counting(self, rows: DataFrame) -> DataFrame:
         """Rows of the batches of each file since it was last read from its start."""
-        rows, files = self._read(name), self.files()
-        if rows is None or files is None:
-            return None
-        counts = self._read("files").select("file", "batch").join(files.select("file", "since"), "file").where("batch >= since").select("file", "batch")
-        return rows.join(counts, ["file", "batch"], "left_semi")
+        counts = self._read("files").select("file", "batch").join(self.files().select("file", "since"), "file").where("batch >= since").select("file", "batch")
+        return rows.join(counts, ["file", "batch"], "left_semi").select(*rows.columns)
+
+    def _latest(self, name: str, of: DataFrame | None = None) -> DataFrame | None:
+        rows = self._read(name, of)
+        return None if rows is None or self._read("files") is None else self._counting(rows)
 
     def events(self) -> DataFrame | None:
         rows = self._latest("events")
@@ -118,40 +129,49 @@ class Store:
         on = (F.col("start") > 0) & F.col("s").isNotNull()
         found = materialise(found.withColumns({"start": F.when(on, F.col("start")).otherwise(0), "since": F.when(on, F.col("since")).otherwise(batch), "s": F.when(on, F.col("s"))}), found)
         # judged with the rows that the batch replaces, which no reader sees after the listing
-        had = self._latest("events")
-        before = None if had is None else had.join(found.where("start = 0").select("file"), "file", "left_semi").select("thread_id", "event_key")
-        if before is not None:
-            self._write(before.distinct(), "replaced", batch)
+        had, anew = self._latest("keys"), found.where("start = 0").select("file")
+        again = had is not None and not anew.join(self.files().select("file"), "file", "left_semi").isEmpty()
+        before = had.join(anew, "file", "left_semi").select("thread_id", "event_key").distinct() if again else self.spark.createDataFrame([], "thread_id string, event_key string")
+        self._put(before, "replaced", batch)
         rows = materialise(decode(read_ranges(found, chunk)))
         kept = found.where("start > 0").select("file", "s")
         begins = states(rows, None if kept.isEmpty() else kept)
         read = materialise(read_split(rows, begins), rows)
-        self._write(read_events(read), "events", batch)
+        size = found.agg(F.coalesce(F.sum(F.col("size") - F.col("start")), F.lit(0)).alias("n")).first().n // LOG_TO_PARQUET
+        self.tables["events"].append(read_events(read), batch, size)
+        mine = self.tables["events"].batch(batch)
+        self.tables["keys"].append(mine.select("event_key", "thread_id", "file").distinct(), batch, size)
         self._write(threads_of(read), "threads", batch)
         self._write(issues_of(read), "issues", batch)
         ends = begins.where(F.col("chunk") == END).select("file", "s")
         self._write(found.drop("s").join(ends, "file", "left"), "files", batch)
         discard(read, begins, found)
-        self.judge(batch, before is not None)
+        self.judge(batch)
+        self.compact()
         return n
 
-    def judge(self, batch: int, again: bool = True) -> None:
+    def _events_of(self, ids: DataFrame) -> DataFrame:
+        """Events of the tasks in the column `id`; only their parts are read."""
+        return self._latest("events", ids).drop("batch").join(ids.withColumnRenamed("id", "thread_id"), "thread_id", "left_semi")
+
+    def _touched(self, batch: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """What a batch can touch: its event keys, the tasks that have one of them, and these with their parents."""
+        threads = self.threads()
+        mine = self.tables["keys"].batch(batch).select("thread_id", "event_key").unionByName(self.spark.read.parquet(f"{self.path}/replaced/batch={batch}"))
+        own = mine.select(F.col("thread_id").alias("id")).unionByName(self.tables["threads"].batch(batch).select("id")).distinct()
+        children = threads.join(own.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")
+        tasks = self._put(own.unionByName(children).distinct(), "tasks", batch)
+        keys = self._put(mine.select("event_key").unionByName(self._events_of(tasks).select("event_key")).distinct(), "touched", batch)
+        wide = self._put(self._latest("keys", keys).join(keys, "event_key", "left_semi").select(F.col("thread_id").alias("id")).distinct(), "wide", batch)
+        parents = self._events_of(wide).where("parent is not null").select(F.col("parent").alias("id"))
+        return keys, wide, self._put(wide.unionByName(parents).distinct(), "judged", batch)
+
+    def judge(self, batch: int) -> None:
         """Writes the verdicts that a stored batch can change. If a run failed before this, calling it again completes the batch."""
-        events, threads = self.events(), self.threads()
-        mine = self.spark.read.parquet(f"{self.path}/events/batch={batch}").select("thread_id", "event_key")
-        if again:
-            mine = mine.unionByName(self.spark.read.parquet(f"{self.path}/replaced/batch={batch}"))
-        own = mine.select(F.col("thread_id").alias("id")).distinct().unionByName(self.spark.read.parquet(f"{self.path}/threads/batch={batch}").select("id")).distinct()
-        tasks = own.unionByName(threads.join(own.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id")).distinct()
-        of = lambda ids: events.join(ids.withColumnRenamed("id", "thread_id"), "thread_id", "left_semi")
-        self._write(mine.select("event_key").unionByName(of(tasks).select("event_key")).distinct(), "touched", batch)
-        keys = self.spark.read.parquet(f"{self.path}/touched/batch={batch}")
-        wide = events.join(keys, "event_key", "left_semi").select(F.col("thread_id").alias("id")).distinct()
-        parents = of(wide).where("parent is not null").select(F.col("parent").alias("id"))
-        rows = judged(of(wide.unionByName(parents).distinct()), threads).join(wide.withColumnRenamed("id", "thread_id"), "thread_id", "left_semi").select(*USAGE_EVENTS.fieldNames())
+        keys, wide, ids = self._touched(batch)
+        rows = judged(self._events_of(ids), self.threads()).join(wide.withColumnRenamed("id", "thread_id"), "thread_id", "left_semi").select(*USAGE_EVENTS.fieldNames())
         new = effective(rows).join(keys, "event_key", "left_semi").withColumn("date", F.to_date("event_at"))
-        self._write(new, "verdicts", batch)
-        new, had = self.spark.read.parquet(f"{self.path}/verdicts/batch={batch}"), self._days()
+        new, had = self._put(new, "verdicts", batch), self._days()
         days, old = new.select("date").distinct(), None
         if had:
             old = self._of_days(had)
@@ -169,6 +189,31 @@ class Store:
         found = {r.date for r in self.spark.read.parquet(f"{self.path}/effective/version={batch}").select("date").distinct().collect()} if changed and not new.isEmpty() else set()
         self._write(self.spark.createDataFrame([(d, d in found) for d in changed], "date date, rows boolean"), "versions", batch)
 
+    def compact(self) -> None:
+        """Joins batches to runs. Rows that no reader sees are left out."""
+        for name in ("events", "keys", "issues"):
+            self.tables[name].merge(self._counting)
+        for name in ("threads", "versions", "files"):
+            self.tables[name].merge()
+
+    def tidy(self) -> None:
+        """Deletes runs and versions of days that no longer count, and what only its batch read; for when no reader is at work that began before the last refresh."""
+        days = {(v, d.isoformat()) for d, v in self._days().items()}
+        for table in self.tables.values():
+            table.clean()
+        for name in ("replaced", "tasks", "touched", "wide", "judged", "verdicts"):
+            fs, at = folder(self.spark, f"{self.path}/{name}")
+            fs.delete(at, True)
+        for name in ("effective", "rolled"):
+            fs, at = folder(self.spark, f"{self.path}/{name}")
+            for version in fs.listStatus(at) if fs.exists(at) else ():
+                number = int(version.getPath().getName().removeprefix("version="))
+                for day in fs.listStatus(version.getPath()):
+                    if (number, day.getPath().getName().removeprefix("date=")) not in days:
+                        fs.delete(day.getPath(), True)
+                if not any(v == number for v, _ in days):
+                    fs.delete(version.getPath(), True)
+
     def _days(self) -> dict[dt.date, int]:
         """The version that counts of each day that has effective facts."""
         rows = self._read("versions")
