@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import found_in
 from ..schema import DIMENSIONS
+from .search import TextIndex
 
 #: Longer id lists become a semi-join.
 MOST_INLINE = 200
@@ -68,8 +69,8 @@ class Filter:
             out &= F.col("thread_id").isin(*self.threads) if self.threads else F.lit(False)
         return out
 
-    def apply(self, events: DataFrame, threads: DataFrame | None = None) -> DataFrame:
-        """threads: for searches in titles."""
+    def apply(self, events: DataFrame, threads: DataFrame | None = None, index: TextIndex | None = None) -> DataFrame:
+        """threads: for searches in titles; index: to search in instead, which finds the same."""
         rows = events.where(self.condition())
         if self.threads is not None and len(self.threads) > MOST_INLINE:
             wanted = rows.sparkSession.createDataFrame([(t,) for t in self.threads], "thread_id string")
@@ -77,6 +78,8 @@ class Filter:
         needle = (self.q or "").strip()
         if not needle:
             return rows
+        if index is not None:
+            return index.rows(rows, needle, self.search_turns)
         hit = found_in(F.col("thread_id"), needle) | found_in(F.col("project"), needle)
         if self.search_turns:
             hit |= found_in(F.col("turn_id"), needle)

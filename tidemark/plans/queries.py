@@ -6,7 +6,7 @@ pages are sorted and cut in one top-k step.
 
 import datetime as dt
 import functools
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +18,7 @@ from ..operators.filters import ANY, Filter
 from ..operators.hierarchy import related, subtree
 from ..operators.metrics import METRICS, combined, finished, grouped
 from ..operators.rollup import aligned, ceil, floor, roll_up
+from ..operators.search import TextIndex
 from ..schema import DIMENSIONS
 
 MOST_PER_PAGE = 200
@@ -33,15 +34,16 @@ def page(rows: DataFrame, order: list[Column], limit: int = 50, offset: int = 0)
 
 @dataclass(frozen=True)
 class Usage:
-    """events: effective events; threads: the table of threads; prices: of cost.price_table(), or None for no costs; zone: of local buckets."""
+    """events: effective events; threads: the table of threads; prices: of cost.price_table(), or None for no costs; zone: of local buckets; index: of texts, for searches."""
 
     events: DataFrame
     threads: DataFrame | None = None
     prices: DataFrame | None = None
     zone: str = "UTC"
+    index: TextIndex | None = field(default=None, kw_only=True)
 
     def rows(self, f: Filter) -> DataFrame:
-        return f.apply(self.events, self.threads)
+        return f.apply(self.events, self.threads, self.index)
 
     def metric_rows(self, f: Filter) -> DataFrame:
         """What metrics are made of: events, or sums of them."""
@@ -257,6 +259,6 @@ class RolledUsage(Usage):
             start = max(start or SINCE, SINCE)
         if start and end and start >= end:
             return self.rows(f)
-        out = f.but(start=start, end=end).apply(self.rolled, self.threads)
+        out = f.but(start=start, end=end).apply(self.rolled, self.threads, self.index)
         edges = [F.col("event_at") < at(start)] * (start != f.start) + [F.col("event_at") >= at(end)] * (end != f.end)
         return out.unionByName(roll_up(self.rows(f).where(functools.reduce(lambda a, b: a | b, edges)))) if edges else out

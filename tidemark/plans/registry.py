@@ -1,5 +1,6 @@
 """The queries by name, with the same results in SQL over the plain tables."""
 
+import dataclasses
 import datetime as dt
 import uuid
 
@@ -15,6 +16,7 @@ from ..operators.metrics import METRICS, combined, finished
 from ..operators.parse import mark_inherited, snapshot_deltas
 from ..operators.reconcile import effective, without_mirrors
 from ..operators.rollup import roll_up
+from ..operators.search import TextIndex
 from ..schema import TOKENS
 from ..sources import account, history
 from ..sources.adapters import EVENT_COLUMNS, events_from_chats, events_from_lines, events_from_stream, threads_from_stream
@@ -185,6 +187,11 @@ def _stored(spark: SparkSession, d: str, zone: str, start: dt.datetime, end: dt.
     return store.usage(start, end, zone=zone)
 
 
+def _indexed(usage: Usage) -> Usage:
+    """With an index of its texts, written before."""
+    return dataclasses.replace(usage, index=TextIndex.write(f"{shared_dir(usage.events.sparkSession)}/{uuid.uuid4().hex}", usage.events, usage.threads))
+
+
 def _payloads(spark: SparkSession, d: str) -> DataFrame:
     """A quota payload per customer, with missing and excessive numbers."""
     c, k = spark.read.parquet(f"{d}/customer.parquet"), F.col("c_custkey")
@@ -322,6 +329,8 @@ def queries() -> dict:
         "threads_low_cache": lambda s, d: u(s, d).threads_page(Filter(effort="low"), limit=50, cache_below=0.5),
         "threads_search": lambda s, d: u(s, d).threads_page(q=" TASK 1", limit=100),
         "threads_search_titles": lambda s, d: _chats(s, d).threads_page(q="Ti", limit=100).select("thread_id", "title", "total_tokens", "turn_count"),
+        "indexed_threads_search": lambda s, d: _indexed(u(s, d)).threads_page(q=" TASK 1", limit=100),
+        "indexed_search_titles": lambda s, d: _indexed(_chats(s, d)).threads_page(q="Ti", limit=100).select("thread_id", "title", "total_tokens", "turn_count"),
         "threads_count": lambda s, d: u(s, d).count_threads(WEEK),
         "turns_global": lambda s, d: u(s, d).turns(limit=100).drop("composition"),
         "turns_oldest": lambda s, d: u(s, d).thread_turns("t5", limit=100).drop("composition"),
@@ -366,6 +375,9 @@ def oracle_sql() -> dict[str, str]:
       ticks AS (SELECT {_hour(NEW_YORK)} AS time, event_at AS bucket_start_utc FROM (SELECT unnest(generate_series(timestamp '{WEEK.start}', timestamp '{WEEK.end}' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS event_at))"""
     fold = f"""WITH {_LINES}, found AS ({_trend_sql('lines', _hour(NEW_YORK), _hour_start(NEW_YORK), "event_at >= timestamp '1996-10-25' AND event_at < timestamp '1996-10-29' AND effort = 'F'")}),
       ticks AS (SELECT {_hour(NEW_YORK)} AS time, event_at AS bucket_start_utc FROM (SELECT unnest(generate_series(timestamp '1996-10-25', timestamp '1996-10-29' - INTERVAL 1 HOUR, INTERVAL 1 HOUR)) AS event_at))"""
+    searched = _threads_sql("contains(lower(thread_id), 'task 1') OR contains(lower(coalesce(project, '')), 'task 1') OR thread_id IN (SELECT id FROM threads WHERE contains(lower(title), 'task 1'))", "true", "total_tokens DESC NULLS LAST, thread_id", "LIMIT 100")
+    searched_titles = f"""WITH {_CHATS} SELECT thread_id, any_value(title) AS title, cast(sum(total_tokens) AS bigint) AS total_tokens, count(DISTINCT turn_id) AS turn_count FROM chats LEFT JOIN titles ON id = thread_id
+          WHERE contains(thread_id, 'ti') OR contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ti') GROUP BY thread_id ORDER BY total_tokens DESC, thread_id LIMIT 100"""
     filled = f" SELECT t.time, t.bucket_start_utc, {', '.join(f'CASE WHEN f.time IS NULL THEN 0 ELSE f.{m} END AS {m}' if m != 'cache_ratio' else 'f.cache_ratio' for m in METRICS)}, f.time IS NOT NULL AS has_records FROM ticks t LEFT JOIN found f USING (time)"
     return {
         "daily_trend_by_model": f"{e} SELECT {_day(NEW_YORK)} AS time, model, {_METRICS} FROM effective GROUP BY 1, 2",
@@ -390,9 +402,8 @@ def oracle_sql() -> dict[str, str]:
         "threads_top": _threads_sql("true", "true", "total_tokens DESC NULLS LAST, thread_id", "LIMIT 20"),
         "threads_recent": _threads_sql(_WEEK, "true", "last_at DESC, thread_id", "LIMIT 20 OFFSET 5"),
         "threads_low_cache": _threads_sql("effort = 'low'", "pi > 0 AND cast(pc AS double) / cast(pi AS double) < 0.5", "total_tokens DESC NULLS LAST, thread_id", "LIMIT 50"),
-        "threads_search": _threads_sql("contains(lower(thread_id), 'task 1') OR contains(lower(coalesce(project, '')), 'task 1') OR thread_id IN (SELECT id FROM threads WHERE contains(lower(title), 'task 1'))", "true", "total_tokens DESC NULLS LAST, thread_id", "LIMIT 100"),
-        "threads_search_titles": f"""WITH {_CHATS} SELECT thread_id, any_value(title) AS title, cast(sum(total_tokens) AS bigint) AS total_tokens, count(DISTINCT turn_id) AS turn_count FROM chats LEFT JOIN titles ON id = thread_id
-          WHERE contains(thread_id, 'ti') OR contains(translate(title, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), 'ti') GROUP BY thread_id ORDER BY total_tokens DESC, thread_id LIMIT 100""",
+        **dict.fromkeys(("threads_search", "indexed_threads_search"), searched),
+        **dict.fromkeys(("threads_search_titles", "indexed_search_titles"), searched_titles),
         "threads_count": f"{e} SELECT count(DISTINCT thread_id) AS total FROM effective WHERE {_WEEK}",
         "turns_global": _turns_sql("true", "total_tokens DESC NULLS LAST, thread_id, turn_id NULLS FIRST", "LIMIT 100"),
         "turns_oldest": _turns_sql("thread_id = 't5'", "first_at, thread_id, turn_id NULLS FIRST", "LIMIT 100"),
