@@ -1,6 +1,7 @@
 """What the operators share about Spark itself."""
 
 import ctypes
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,32 @@ def release() -> None:
         trim(0)
 
 
+#: In a Python worker: what clears the caches that operators keep there for their next task, and the operator that ran last.
+_caches: list[Callable[[], None]] = []
+_last: list[str] = []
+
+
+def kept(clear: Callable[[], None]) -> None:
+    """Registers what clears a cache of this worker."""
+    _caches.append(clear)
+
+
+def begin(operator: str) -> None:
+    """A worker serves one operator after another: what one keeps for its next task goes as another one's begins, so that no stage holds the tables of those before."""
+    if _last != [operator]:
+        if _last:
+            for clear in _caches:
+                clear()
+            release()
+        _last[:] = [operator]
+
+
 def released(run):
-    """The function for mapInArrow, with release() after each partition."""
+    """The function for mapInArrow, with begin() before and release() after each partition."""
+    operator = run.__module__
 
     def runs(batches):
+        begin(operator)
         try:
             yield from run(batches)
         finally:
@@ -54,9 +77,10 @@ def answered(docs: DataFrame, answers, schema: str, row: bool = False, *more: Co
 
     answers: from an Arrow array of texts, arrays by the names of schema. Only texts go to Python; a row's other columns stay where they are.
     """
-    kind = T._parse_datatype_string(schema)
+    kind, operator = T._parse_datatype_string(schema), answers.__module__
 
     def run(texts: pa.Array) -> pa.Array:
+        begin(operator)
         found = [answers(part) for part in sliced([texts])]
         release()
         columns = [pa.concat_arrays([f[c] for f in found]) if found else pa.array([], to_arrow_type(t.dataType)) for c, t in zip(kind.names, kind, strict=True)]

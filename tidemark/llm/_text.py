@@ -9,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK = 1 << 20
+from ._shared import kept
+
+BLOCK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD1342543DE82EF95 | 1
 
@@ -24,6 +26,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 _powers: dict = {}
+kept(_powers.clear)
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:

@@ -175,8 +175,8 @@ def verified(pairs: DataFrame, signs: DataFrame, sets: DataFrame, percent: int)
         return rows.join(values.toDF("b", f"{name}_b"), "b").join(values.toDF("a", f"{name}_a"), "a")
 
     # written, so that no task needs a Python worker for each of the two steps
-    left = materialise(of_both(pairs.select("a", "b"), signs, "sign").mapInArrow(compared, "a long, b long"))
-    return of_both(left, sets, "set").mapInArrow(exact, "a long, b long")
+    left = materialise(of_both(pairs.select("a", "b"), signs, "sign").mapInArrow(released(compared), "a long, b long"))
+    return of_both(left, sets, "set").mapInArrow(released(exact), "a long, b long")
 
 
 def _labelled(bands: DataFrame, components: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import released, sliced, table
+from ._shared import kept, released, sliced, table
 from ._text import Words, blocks
 
 WINDOW, END, BLOCK = 4096, 2, 1 << 18
@@ -189,10 +189,13 @@ class WordTokenizer:
 
 @functools.lru_cache(1)
 def tokenizer(path: str) -> WordTokenizer:
-    """One for each Python worker: with its memory of words it takes some 60 MB, however much text has come."""
+    """One for each Python worker, as long as it packs: with its memory of words it takes some 60 MB, however much text has come."""
     return WordTokenizer(path)
 
 
+kept(tokenizer.cache_clear)
+
+
 def _powers_back(positions: np.ndarray, window: int) -> tuple[list[int], list[int]]:
     """Of each boundary, the boundaries that lie a power of two before it: those of j are the second list from first[j] to first[j + 1]."""
     found, by = [], []
