@@ -59,3 +59,13 @@ def test_combined_status(spark):
     r = account.combined_status(spark.createDataFrame([("x", False, b, None), ("y", True, a, "e")], kind)).first()
     assert (r.running, r.updated_at, r.error) == (True, a, "e")
     assert account.combined_status(spark.createDataFrame([("x", False, b, None), ("y", False, None, None)], kind)).first().updated_at is None
+
+
+def test_payloads_are_spread_and_their_buckets_made_once(spark):
+    rows = spark.createDataFrame([("a", json.dumps({"rate_limit": None, "additional_rate_limits": []})), ("b", "{}"), (None, None)], "account_id string, data string").coalesce(1)
+    found = account.limits(rows, "http")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RebalancePartitions" in plan and plan.count("$.additional_rate_limits") == 1
+    assert [(r.account_id, r.id, r.primary) for r in found.collect()] == [("a", "main", None)]
+    one = spark.createDataFrame([('{"used_percent": "7", "limit_window_seconds": 60, "reset_at": "x"}',)], "j string").select(account.window(account.F.col("j"), "http").alias("w")).first().w
+    assert (one.used_percent, one.remaining_percent, one.window_minutes, one.resets_at) == (7, 93, 1, None)

@@ -14,20 +14,25 @@ FORMS = {
 MAIN = "main"
 
 
+def _once(value: Column, body) -> Column:
+    """body of the value, which is computed once and not wherever body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def _number(json: Column, path: str) -> Column:
-    text = F.get_json_object(json, path)
-    return F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), text.cast("double"))
+    return _once(F.get_json_object(json, path), lambda text: F.when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"), text.cast("double")))
 
 
 def window(json: Column, form: str) -> Column:
     """A struct of one window: null for a missing window, null in it what isn't reported. What remains is held within 0 and 100."""
     used, length, reset, unit, _, _ = FORMS[form]
-    share, size, at = _number(json, f"$.{used}"), _number(json, f"$.{length}"), _number(json, f"$.{reset}")
-    left = F.when(share.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - share)))
-    return F.when(
-        json.isNotNull(),
-        F.struct(share.alias("used_percent"), left.alias("remaining_percent"), F.when(size > 0, size / unit).alias("window_minutes"), from_millis((at * 1000).cast("bigint")).alias("resets_at")),
-    )
+
+    def of(x: Column) -> Column:
+        left = F.when(x["share"].isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), F.lit(100.0) - x["share"])))
+        return F.struct(x["share"].alias("used_percent"), left.alias("remaining_percent"), F.when(x["size"] > 0, x["size"] / unit).alias("window_minutes"), from_millis((x["at"] * 1000).cast("bigint")).alias("resets_at"))
+
+    read = lambda j: F.struct(_number(j, f"$.{used}").alias("share"), _number(j, f"$.{length}").alias("size"), _number(j, f"$.{reset}").alias("at"))
+    return _once(json, lambda j: F.when(j.isNotNull(), _once(read(j), of)))
 
 
 def _fields(json: Column) -> Column:
@@ -54,7 +59,8 @@ def limits(payloads: DataFrame, form: str, main: str = MAIN) -> DataFrame:
         many = F.transform(by_id, lambda e: F.struct(e["key"].alias("id"), F.coalesce(F.get_json_object(e["value"], "$.limitName"), e["key"]).alias("name"), e["value"].alias("rate")))
         one = F.when(_has("rateLimits"), F.array(F.struct(F.lit(main).alias("id"), F.lit(main).alias("name"), F.get_json_object("data", "$.rateLimits").alias("rate"))))
         buckets = F.when(F.size(many) > 0, many).otherwise(one)
-    rows = payloads.select("account_id", F.explode(buckets).alias("b")).select("account_id", "b.id", "b.name", "b.rate")
+    # spread, since payloads may lie in few partitions; outer, since for an inner one all buckets are made once more to filter the payloads
+    rows = payloads.hint("rebalance").select("account_id", F.explode_outer(buckets).alias("b")).where("b is not null").select("account_id", "b.id", "b.name", "b.rate")
     part = lambda name: window(F.get_json_object("rate", f"$.{name}"), form)
     return rows.select("account_id", "id", "name", part(first).alias("primary"), part(second).alias("secondary"))
 
