@@ -141,3 +141,11 @@ def test_source_of_lines_as_batch_and_stream(spark, tmp_path):
     texts["f1"] += " a line\n"
     written(tmp_path / "logs", texts)
     assert follow() == want()
+
+
+def test_chunks_are_dealt_apart_and_sorted_once(spark):
+    rows = parse.decode(spark.createDataFrame([("f", c, 0, '{"type":"session_meta","timestamp":"2026-01-01T00:00:00Z","payload":{"id":"a","cwd":"/x"}}') for c in range(8)], "file string, chunk long, line_no long, doc string"))
+    begins = spark.createDataFrame([], f"file string, chunk long, s {carry.STATE}")
+    read = carry.read_split(rows, begins, 32)
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [") == 1 and "REPARTITION_BY_NUM" in plan and plan.count("Exchange hashpartitioning") == 1

@@ -80,12 +80,12 @@ def _kept(kept: DataFrame) -> tuple[DataFrame, DataFrame]:
     return chunks, limits
 
 
-def states(rows: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+def states(rows: DataFrame, kept: DataFrame | None = None, tasks: int | None = None) -> DataFrame:
     """file, chunk and s (STATE), materialised: what holds at the beginning of each chunk of rows (of decode()), and of chunk END at the end of each file.
 
-    kept: states (file, s) with which files begin; others begin with nothing.
+    kept: states (file, s) with which files begin; others begin with nothing. tasks: see dealt().
     """
-    zones = materialise(fold_zones(rows))
+    zones = materialise(fold_zones(dealt(rows, tasks)))
     chunks, limits = fold_chunks(zones)
     chunks = chunks.withColumn("lives", F.lit(None).cast("long"))
     if kept is not None:
@@ -126,18 +126,23 @@ def states(rows: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     return materialise(out.select("file", "chunk", state.cast(STATE).alias("s")), zones)
 
 
-def seeded(rows: DataFrame, begins: DataFrame) -> DataFrame:
+def dealt(rows: DataFrame, tasks: int | None) -> DataFrame:
+    """Chunks dealt into so many tasks. Left alone, as many chunks share a task as compress to one partition, which are sorted uncompressed."""
+    return rows if tasks is None else rows.repartition(tasks, "file", "chunk")
+
+
+def seeded(rows: DataFrame, begins: DataFrame, tasks: int | None = None) -> DataFrame:
     """Rows of decode() with the state of each chunk in a row before its lines, for carried(); lines are numbered on from those before their chunk."""
     first = begins.where(F.col("chunk") != END).select("file", "chunk", F.lit(-1).cast("long").alias("line_no"), "s")
-    return rows.unionByName(first, allowMissingColumns=True)
+    return dealt(rows.unionByName(first, allowMissingColumns=True), tasks)
 
 
 def numbered(read: DataFrame) -> DataFrame:
     """Rows of carried() with line numbers that count from the file's start."""
-    base = F.first("s.lines", True).over(Window.partitionBy("file", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    base = F.first("s.lines", True).over(Window.partitionBy("file", "chunk").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     return read.withColumn("line_no", F.when(F.col("s").isNull(), F.col("line_no") + F.coalesce(base, F.lit(0))).otherwise(F.col("line_no")))
 
 
-def read_split(rows: DataFrame, begins: DataFrame) -> DataFrame:
-    """carried() of rows of decode() with chunks, from states() of them. rows are read several times: materialise them first."""
-    return numbered(carried(seeded(rows, begins)))
+def read_split(rows: DataFrame, begins: DataFrame, tasks: int | None = None) -> DataFrame:
+    """carried() of rows of decode() with chunks, from states() of them. rows are read several times: materialise them first. tasks: see dealt()."""
+    return numbered(carried(seeded(rows, begins, tasks)))

@@ -111,12 +111,10 @@ def carried(rows: DataFrame) -> DataFrame:
     rows = rows.withColumn("segment", F.sum(F.coalesce("s.segment", F.when(sets["meta"], 1).otherwise(0))).over(so_far))
     rows = rows.withColumn("before", F.coalesce(F.lag("thread").over(whole), named(F.col("file"))))
     rows = rows.withColumn("life", F.sum(F.coalesce("s.life", (F.col("thread") != F.col("before")).cast("long"))).over(so_far))
-    in_meta = Window.partitionBy("file", "chunk", "segment").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    in_life = Window.partitionBy("file", "chunk", "life").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    last = lambda name, over: F.last(F.coalesce(f"s.{name}", sets[name]), True).over(over)
-    rows = rows.withColumns({
-        "project": last("project", in_meta)["v"], "turn": last("turn", in_life)["v"], "model": last("model", so_far)["v"], "effort": last("effort", so_far)["v"], "edges": last("edges", in_meta),
-    })
+    # a segment's first line sets its project and edges, and a life's first line no turn: so all are the last ones of one window, and a chunk is sorted once
+    sets["turn"] = F.coalesce(sets["turn"], _set(F.col("thread") != F.col("before"), F.lit(None).cast("string")))
+    last = lambda name: F.last(F.coalesce(f"s.{name}", sets[name]), True).over(so_far)
+    rows = rows.withColumns({"project": last("project")["v"], "turn": last("turn")["v"], "model": last("model")["v"], "effort": last("effort")["v"], "edges": last("edges")})
     return rows.withColumn("parent", F.coalesce("edges.forked_from_id", "edges.subagent_parent_id"))
 
 
@@ -257,10 +255,16 @@ def read_events(read: DataFrame) -> DataFrame:
     return explicit_events(read).unionByName(legacy_events(read), allowMissingColumns=True)
 
 
-def judged(rows: DataFrame, threads: DataFrame) -> DataFrame:
-    """USAGE_EVENTS of read_events(): inherited rows excluded, and of a file's lines of one key the last."""
+#: Events that a task sorts at once, about.
+TASK_ROWS = 200_000
+
+
+def judged(rows: DataFrame, threads: DataFrame, parts: int | None = None) -> DataFrame:
+    """USAGE_EVENTS of read_events(): inherited rows excluded, and of a file's lines of one key the last. parts: into how many tasks they are dealt before they are sorted."""
     legacy = mark_inherited(rows.where("kind = 'legacy'"), threads, ("file", "segment"), "line_no")
     rows = rows.where("kind <> 'legacy'").unionByName(legacy.where("total_tokens is not null").select(*rows.columns))
+    # else a task sorts all that it scans, or what compresses to a partition
+    rows = rows.repartition("file", "event_key") if parts is None else rows.repartition(parts, "file", "event_key")
     last = Window.partitionBy("file", "event_key").orderBy(F.desc("line_no"))
     return rows.withColumn("_n", F.row_number().over(last)).where("_n = 1").select(*USAGE_EVENTS.fieldNames())
 
