@@ -100,3 +100,55 @@ def test_a_huge_text_is_no_end_of_the_sample(spark, planted):
         one = toxicity.train(more, labels, usable, most_bytes=1_000_000)
         assert np.array_equal(one.weights, plain.weights)
         assert np.count_nonzero(toxicity.train(more, marked, usable, most_bytes=1_000_000).weights) > 0
+
+
+def copied(rng, positive, size, share=0.1):
+    """Feature rows: 0 to 9 tell, three to thirty of them in a toxic row; 40 to 400 others of 6,000. A third of the rows are near copies of a few texts, toxic ones or not."""
+    rows = []
+    toxic = np.ones(size, bool) if positive else rng.permutation(size) < share * size
+    fillers = np.random.default_rng(7)
+    kinds = {x: [10 + fillers.choice(6000, 400, replace=False) for _ in range(6)] for x in (True, False)}
+    for bad in toxic:
+        copy = rng.random() < 0.35
+        own = kinds[bool(bad)][rng.integers(6)][rng.random(400) < 0.98] if copy else 10 + rng.choice(6000, rng.integers(40, 400), replace=False)
+        words = rng.integers(0, 10, 4 if copy else rng.integers(3, 30)) if bad else []
+        rows.append(np.unique(np.concatenate([own, words])).astype(np.uint32))
+    return rows, toxic
+
+
+def test_copies_and_many_telling_words_hide_no_toxic_document():
+    rng = np.random.default_rng(5)
+    positive, unlabelled, (held, toxic) = copied(rng, True, 1500)[0], copied(rng, False, 6000)[0], copied(rng, False, 4000)
+    model = toxicity.fit(positive, unlabelled, 0.1)
+    flagged = model.margins(held) >= 0
+    assert flagged[toxic].mean() >= 0.95 and flagged[~toxic].mean() <= 0.01
+    assert set(np.flatnonzero(model.weights)) >= set(range(10)) and np.count_nonzero(model.weights) < 100
+
+
+def test_near_copies_count_once():
+    rng = np.random.default_rng(2)
+    rows = [rng.choice(1 << 18, 300, replace=False).astype(np.uint32) for _ in range(40)]
+    near = [np.append(r[:-5], r[-5:] + 1 & 0x3FFFF).astype(np.uint32) for r in rows]
+    mixed = rows + near + rows
+    first = toxicity.firsts(np.stack([toxicity.sketch(r) for r in mixed]))
+    assert first[:40].all() and not first[80:].any() and first[40:80].sum() <= 2
+    none = [np.zeros(0, np.uint32)] * 3
+    assert toxicity.firsts(np.stack([toxicity.sketch(r) for r in none])).tolist() == [True, False, False]
+    assert np.array_equal(toxicity.frequencies(rows * 10), np.bincount(np.concatenate(rows), minlength=1 << 18) * 10)
+
+
+def test_slopes_of_bounded_margins():
+    rng = np.random.default_rng(4)
+    squash = lambda x: toxicity.BOUND * np.tanh(x / toxicity.BOUND)
+    for shift in (0.0, 3.0, -2.0):
+        p, u = rng.normal(shift, 4, 7), rng.normal(-shift, 4, 11)
+        plus, minus = brute_risk(squash(p), squash(u), 0.4)
+        slopes = toxicity.bounded(p, u, 0.4)
+        goal = lambda a, b: (lambda r: r[0] + r[1] if minus >= 0 else -r[1])(brute_risk(squash(a), squash(b), 0.4))  # noqa: B023, E731
+        for k, (at, slope) in enumerate(zip((p, u), slopes, strict=True)):
+            for i in range(len(at)):
+                up, down = at.copy(), at.copy()
+                up[i] += 1e-6
+                down[i] -= 1e-6
+                pair = [(up, u), (down, u)] if k == 0 else [(p, up), (p, down)]
+                assert abs((goal(*pair[0]) - goal(*pair[1])) / 2e-6 - slope[i]) < 1e-6

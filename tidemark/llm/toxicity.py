@@ -9,6 +9,10 @@ called negative, the risk is
 where the second term estimates the negatives' risk; where a batch takes it below zero, the step goes against it
 instead, so the classifier can't gain by fitting single unlabelled documents.
 
+Which words tell is judged by documents that aren't near copies of each other, since the words of one text that was copied often would all seem to tell. Margins enter
+the risk as BOUND * tanh(margin / BOUND): in both groups, documents with many telling words cancel out but for the noise of sampling, which would outweigh
+documents with a few. Batches are large for the same reason: in small ones the negatives' risk is below zero by chance every other time.
+
 The classifier is fitted on a bounded sample: the `POSITIVES` confirmed and `UNLABELLED` other rows with the smallest hashes of
 their ids, as far as `SAMPLE_BYTES` of text in each group, whatever the length of a single text. The prior is the share of toxic rows among all labelled ones that may be used.
 A model has 2**`BITS` weights, whatever the corpus, and is sent to all tasks; every whole text is scored by its
@@ -25,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import answered, fold, released, sliced, table, within
-from ._text import ALNUM, Words, blocks
+from ._text import ALNUM, Words, blocks, mix
 
 BITS = 18
 POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 9000, 64 << 20
@@ -33,6 +37,11 @@ POSITIVES, UNLABELLED, SAMPLE_BYTES = 3000, 9000, 64 << 20
 HEADS = (4, 5, 6)
 #: A feature counts if so many sampled documents have it, and if its shares in the two groups differ by so many standard errors.
 LEAST_DOCS, TELLING = 4, 4.0
+#: A text's sketch are the least of SKETCH hashes of its features. Texts with BAND of them alike in one place are near copies if ALIKE of all are.
+SKETCH, BAND, ALIKE = 16, 4, 12
+_SALTS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64)) | np.uint64(1)
+#: Margins further from 0 than this hardly count for more in the risk; unlabelled documents in a batch; steps of the descent.
+BOUND, BATCH, STEPS = 6.0, 3000, 400
 
 
 def features(column):
@@ -47,6 +56,22 @@ def features(column):
             yield pair[a:b] & ((1 << BITS) - 1)
 
 
+def sketch(row: np.ndarray) -> np.ndarray:
+    """The least of each of SKETCH hashes over a text's features."""
+    h = mix(row.astype(np.uint64) + np.uint64(1))
+    return np.array([(h * salt).min(initial=np.iinfo(np.uint64).max) for salt in _SALTS], np.uint64)
+
+
+def firsts(sketches: np.ndarray) -> np.ndarray:
+    """True where a row is no near copy of the first row of a band that it is in."""
+    first = np.ones(len(sketches), bool)
+    for b in range(0, SKETCH, BAND):
+        _, at, group = np.unique(sketches[:, b : b + BAND], axis=0, return_index=True, return_inverse=True)
+        other = at[group.ravel()]
+        first &= (other == np.arange(len(sketches))) | ((sketches == sketches[other]).sum(axis=1) < ALIKE)
+    return first
+
+
 class Linear:
     """score = logistic(bias + the sum of the weights of a text's distinct words)."""
 
@@ -76,21 +101,43 @@ def risk(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[fl
     return value, prior * sig_p / len(p), -sig_u / len(u)
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 60, rate: float = 0.02, decay: float = 2e-4, seed: int = 0) -> Linear:
-    """Minimises the non-negative risk with the logistic loss, by Adam over shuffled batches."""
+def bounded(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, np.ndarray]:
+    """The slopes of the risk of BOUND * tanh(margin / BOUND)."""
+    tanh = [np.tanh(x / BOUND) for x in (positive, unlabelled)]
+    slopes = risk(*(BOUND * t for t in tanh), prior)[1:]
+    return tuple(s * (1 - t * t) for s, t in zip(slopes, tanh, strict=True))
+
+
+def frequencies(rows: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each feature is."""
+    found = np.zeros(1 << BITS, np.int64)
+    for i in range(0, len(rows), 256):
+        found += np.bincount(np.concatenate(rows[i : i + 256]), minlength=1 << BITS)
+    return found
+
+
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """True for the features that count; near copies in a group count once."""
+    groups = [[r for r, one in zip(rows, firsts(np.stack([sketch(r) for r in rows])), strict=True) if one] for rows in (positive, unlabelled)]
+    (own, other), (m, n) = map(frequencies, groups), map(len, groups)
+    share = (own + other) / (m + n)
+    spread = np.sqrt(share * (1 - share) * (1 / m + 1 / n)) + 1e-12
+    return (own + other >= LEAST_DOCS) & (np.abs(own / m - other / n) >= TELLING * spread)
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = STEPS, rate: float = 0.02, decay: float = 5e-5, seed: int = 0) -> Linear:
+    """Minimises the non-negative risk with the logistic loss of bounded margins, by Adam over shuffled batches at a falling rate."""
     model = Linear(prior)
     if not positive or not unlabelled:
         return model
-    size = 1 << BITS
-    own, other = (np.bincount(np.concatenate(rows), minlength=size) for rows in (positive, unlabelled))
-    share = (own + other) / (len(positive) + len(unlabelled))
-    spread = np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled))) + 1e-12
-    common = (own + other >= LEAST_DOCS) & (np.abs(own / len(positive) - other / len(unlabelled)) >= TELLING * spread)
-    groups = [[r[common[r]] for r in rows] for rows in (positive, unlabelled)]
+    common = telling(positive, unlabelled)
+    place, size = np.cumsum(common) - 1, int(common.sum())
+    groups = [[place[r[common[r]]] for r in rows] for rows in (positive, unlabelled)]
     w, bias = np.zeros(size), model.bias
     m, v = np.zeros(size + 1), np.zeros(size + 1)
     rng = np.random.default_rng(seed)
-    batches = max(1, len(unlabelled) // 500)
+    batches = max(1, len(unlabelled) // BATCH)
+    rounds = -(-steps // batches)
     step = 0
     for _ in range(rounds):
         parts = [np.array_split(rng.permutation(len(rows)), batches) for rows in groups]
@@ -104,19 +151,20 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
                 owner = np.repeat(np.arange(len(at)), lengths)
                 flat.append((idx, owner))
                 margins.append(np.bincount(owner, weights=w[idx], minlength=len(at)) + bias)
-            slope = risk(*margins, prior)[1:]
+            slope = bounded(*margins, prior)
             g = np.zeros(size + 1)
             for (idx, owner), s in zip(flat, slope, strict=True):
                 g[:size] += np.bincount(idx, weights=s[owner], minlength=size)
                 g[size] += s.sum()
             g[:size] += decay * w
+            now = rate * (1 - step / (rounds * batches))
             step += 1
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            move = now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             w -= move[:size]
             bias -= move[size]
-    model.weights, model.bias = w.astype(np.float32), float(bias)
+    model.weights[common], model.bias = w, float(bias)
     return model
 
 
